@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -139,16 +139,21 @@ def l2_norm(col) -> Column:
                               lambda total, x: total + x.cast("double") * x.cast("double")))
 
 
+def with_value(expr: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(expr)`` with ``expr`` computed once per row, also where ``use`` reads it inside a lambda."""
+    return F.element_at(F.transform(F.array(expr), use), 1)
+
+
 def clip_by_norm(col, max_norm: float = MAX_NORM) -> Column:
     """Scale a vector down so that its norm is at most ``max_norm``."""
     factor = F.least(F.lit(1.0), F.lit(float(max_norm)) / (l2_norm(col) + F.lit(NORM_GUARD)))
-    return F.transform(_col(col), lambda x: x.cast("double") * factor)
+    return with_value(factor, lambda f: F.transform(_col(col), lambda x: x.cast("double") * f))
 
 
 def logsumexp_array(col) -> Column:
     a = _col(col)
-    top = F.array_max(a)
-    return top + F.log(sum_array(F.transform(a, lambda x: F.exp(x - top))))
+    return with_value(F.array_max(a), lambda top: top + F.log(
+        F.aggregate(a, F.lit(0.0), lambda total, x: total + F.exp(x - top))))
 
 
 def softmax_array(col, temp=1.0) -> Column:
@@ -158,14 +163,24 @@ def softmax_array(col, temp=1.0) -> Column:
     largest score. Probabilities are floored and made to sum to 1 again.
     """
     t = F.greatest(F.lit(MIN_TEMPERATURE), _number(temp).cast("double"))
-    scores = F.transform(_col(col), lambda x: replace_nonfinite(x.cast("double")))
-    best = F.array_position(scores, F.array_max(scores)) - 1
-    one_hot = F.transform(scores, lambda x, i: F.when(i == best, 1.0).otherwise(0.0))
-    scaled = F.transform(scores, lambda x: clamp(x / t, -SCORE_LIMIT, SCORE_LIMIT))
-    lse = logsumexp_array(scaled)
-    floored = F.transform(scaled, lambda x: F.greatest(F.lit(PROBABILITY_FLOOR), F.exp(x - lse)))
-    total = sum_array(floored)
-    return F.when(t < ARGMAX_TEMPERATURE, one_hot).otherwise(F.transform(floored, lambda p: p / total))
+
+    def one_hot(scores):
+        return with_value(argmax_array(scores), lambda best: F.transform(
+            scores, lambda x, i: F.when(i == best, 1.0).otherwise(0.0)))
+
+    def floored(scaled):
+        return with_value(logsumexp_array(scaled), lambda lse: F.transform(
+            scaled, lambda x: F.greatest(F.lit(PROBABILITY_FLOOR), F.exp(x - lse))))
+
+    def to_one(parts):
+        return with_value(sum_array(parts), lambda total: F.transform(parts, lambda p: p / total))
+
+    def probabilities(scores):
+        scaled = F.transform(scores, lambda x: clamp(x / t, -SCORE_LIMIT, SCORE_LIMIT))
+        return F.when(t < ARGMAX_TEMPERATURE, one_hot(scores)).otherwise(
+            with_value(with_value(scaled, floored), to_one))
+
+    return with_value(F.transform(_col(col), lambda x: replace_nonfinite(x.cast("double"))), probabilities)
 
 
 def pick_index(probs, u) -> Column:
@@ -173,21 +188,25 @@ def pick_index(probs, u) -> Column:
 
     A total that is not finite or not positive falls back to the largest entry.
     """
-    p = _col(probs)
-    total = sum_array(p)
     start = F.struct(F.lit(0.0).alias("run"), F.lit(-1).alias("hit"), F.lit(-1).alias("last"),
                      F.lit(0).alias("i"))
 
-    def step(acc, x):
-        run = acc["run"] + x / total
-        return F.struct(
-            run.alias("run"),
-            F.when((acc["hit"] < 0) & (_number(u) < run), acc["i"]).otherwise(acc["hit"]).alias("hit"),
-            F.when(x > 0, acc["i"]).otherwise(acc["last"]).alias("last"),
-            (acc["i"] + 1).alias("i"))
+    def draw(given):
+        p, total, r = given["p"], given["total"], given["u"]
+
+        def step(acc, x):
+            run = acc["run"] + x / total
+            return F.struct(
+                run.alias("run"),
+                F.when((acc["hit"] < 0) & (r < run), acc["i"]).otherwise(acc["hit"]).alias("hit"),
+                F.when(x > 0, acc["i"]).otherwise(acc["last"]).alias("last"),
+                (acc["i"] + 1).alias("i"))
 
-    drawn = F.aggregate(p, start, step, lambda acc: F.when(acc["hit"] >= 0, acc["hit"]).otherwise(acc["last"]))
-    return F.when(is_finite(total) & (total > 0), drawn).otherwise(argmax_array(p))
+        drawn = F.aggregate(p, start, step, lambda acc: F.when(acc["hit"] >= 0, acc["hit"]).otherwise(acc["last"]))
+        return F.when(is_finite(total) & (total > 0), drawn).otherwise(argmax_array(p))
+
+    p = _col(probs)
+    return with_value(F.struct(p.alias("p"), sum_array(p).alias("total"), _number(u).alias("u")), draw)
 
 
 # ---- text ----------------------------------------------------------------------------------

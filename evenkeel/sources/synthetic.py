@@ -1,0 +1,30 @@
+"""Seeded records: the same row for a given (seed, depth) on any layout."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.draws import DEFAULT_SEED, uniform, uniform_int
+from ..functions.scalars import log_depth
+
+# Fixed values.
+ENEMY_NAMES = ("Goblin", "Imp", "Wisp", "Bandit", "Golem", "Specter")
+
+
+def with_encounters(df: DataFrame, depth: str, seed: int = DEFAULT_SEED, base: float = 1.0,
+                    domain: str = "env") -> DataFrame:
+    """Add the encounter met at each row's depth."""
+    difficulty = log_depth(depth, base)
+    names = F.array(*[F.lit(n) for n in ENEMY_NAMES])
+    pick = F.element_at(names, (uniform_int(0, len(ENEMY_NAMES), seed, f"{domain}/name", depth) + 1).cast("int"))
+    label = F.concat(pick, F.lit("_"), F.pmod(F.col(depth), F.lit(100)).cast("string"))
+    hp = 10.0 + difficulty * (1.0 + 0.5 * uniform(seed, f"{domain}/hp", depth))
+    attack = 1.0 + 0.1 * difficulty * (1.0 + uniform(seed, f"{domain}/attack", depth))
+    return df.withColumns({"enemy_name": label, "difficulty": difficulty,
+                           "enemy_hp": F.greatest(F.lit(1.0), hp), "enemy_attack": F.greatest(F.lit(1.0), attack)})
+
+
+def synth_encounters(spark: SparkSession, seed: int, n: int, base: float = 1.0) -> DataFrame:
+    """Encounters of depths 0 to n-1."""
+    return with_encounters(spark.range(n).withColumnRenamed("id", "depth"), "depth", seed, base)
