@@ -85,7 +85,8 @@ def noise_impute(col_name: str, seed: int, *key, finite=None) -> Column:
 
 def ratio_feature(num, den, floor: float = 1.0) -> Column:
     """num / max(floor, den); a NULL denominator counts as the floor."""
-    return _col(num).cast("double") / F.greatest(_number(den).cast("double"), F.lit(float(floor)))
+    bottom = _col(den) if isinstance(den, str) else _number(den)
+    return _col(num).cast("double") / F.greatest(bottom.cast("double"), F.lit(float(floor)))
 
 
 def log_depth(depth, base: float = 1.0, rate: float = 0.5, cap: float = 100.0) -> Column:

@@ -6,7 +6,8 @@ from ..functions import draws as SM
 from ..functions import scalars as P
 from ..operators import sampling as S
 from ..sources.synthetic import ENEMY_NAMES, with_encounters
-from .registry import ORDER, SQL_BAD_VALUES, query, read, sql_uniform, sql_uniform_int, with_bad_values
+from .registry import (ORDER, SQL_BAD_VALUES, off_tie, query, read, sql_off_tie, sql_uniform, sql_uniform_int,
+                       with_bad_values)
 
 SEED = 7
 
@@ -139,10 +140,11 @@ def resolve_outcomes(spark, sf_dir):
 
 
 @query(f"""
-select event_id, round(hp / greatest(1, max_hp), 6) as f0, round(xp / greatest(1, 10.0 * level), 6) as f1, round(level / 50.0, 6) as f2,
+select event_id, round(hp / greatest(1, max_hp), 6) as f0, {sql_off_tie("xp / greatest(1, 10.0 * level)")} as f1, round(level / 50.0, 6) as f2,
        round({DIFFICULTY_SQL} / 10, 6) as f3, round(enemy_hp / 200, 6) as f4, round(enemy_hp / 50, 6) as f5 from {BATTLE_SQL}""")
 def actor_features(spark, sf_dir):
     rows = battle_rows(spark, sf_dir).withColumn("difficulty", P.log_depth("event_id"))
     both = F.concat(P.actor_features("hp", "max_hp", "xp", "level"), P.opponent_features("difficulty", "enemy_hp", "enemy_hp"))
     return rows.select("event_id", both.alias("f")).select(
-        "event_id", *[F.round(F.element_at("f", i + 1), 6).alias(f"f{i}") for i in range(6)])
+        "event_id", off_tie(F.element_at("f", 2)).alias("f1"),
+        *[F.round(F.element_at("f", i + 1), 6).alias(f"f{i}") for i in range(6) if i != 1])
