@@ -41,7 +41,8 @@ def spread(hot: DataFrame, key: Sequence[str], order_by: Sequence[str], desc: bo
     if RN in hot.columns:
         return hot
     order = _ordering(order_by, desc)
-    placed = (hot.repartitionByRange(*[F.col(k) for k in key], *order)
+    tasks = int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = (hot.repartitionByRange(tasks, *[F.col(k) for k in key], *order)
               .sortWithinPartitions(*[F.col(k) for k in key], *order)
               .withColumn("__at", F.monotonically_increasing_id()))
     placed = cut_lineage(placed).withColumn(CHUNK, F.shiftright("__at", 33))

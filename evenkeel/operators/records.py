@@ -8,6 +8,7 @@ from typing import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .heat import as_list
 from .ordered import running
@@ -38,7 +39,7 @@ def flatten_record(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in names], *[f"{n}.*" for n in names])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _wrapped(text: pd.Series, width: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else textwrap.wrap(t, width=int(w)) for t, w in zip(text, width)], dtype=object)
 

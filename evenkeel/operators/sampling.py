@@ -59,19 +59,20 @@ def sample_categorical(df: DataFrame, group, key, weight: str, seed: int = 0, do
 
     The drawn key is the first whose running share exceeds the draw, or the last with a positive
     weight if rounding leaves none. A total that is not finite or not positive gives the key with
-    the largest weight. Weights must not be negative.
+    the largest weight, NaN counting as largest. Weights must not be negative.
     """
     group, key = as_list(group), as_list(key)
     slim = df.select(*dict.fromkeys([*group, *key, weight]))
     pick = F.struct(*key)
     w = F.col(weight)
+    largest_first = F.struct((~F.isnan(w.cast("double"))).alias("nan_first"), (-w.cast("double")).alias("w"), *key)
 
     def finish(rows):
         drawn = rows.withColumn("__u", uniform(seed, domain, *group)).groupBy(*group).agg(
             F.min(F.when(F.col("__u") < _share(), pick)).alias("__hit"),
             F.max(F.when(w > 0, pick)).alias("__last"),
-            F.min_by(pick, F.struct((-w.cast("double")).alias("w"), *key)).alias("__best"),
-            (F.coalesce(F.bool_and(is_finite(w)), F.lit(False))
+            F.min_by(pick, largest_first).alias("__best"),
+            (F.coalesce(F.bool_and(F.when(w.isNotNull(), is_finite(w) & quantize(w).isNotNull())), F.lit(False))
              & (F.coalesce(F.max("__total"), F.lit(0)) > 0)).alias("__usable"))
         chosen = F.when(F.col("__usable"), F.coalesce("__hit", "__last")).otherwise(F.col("__best"))
         return drawn.withColumn("__chosen", chosen).select(*group, *[F.col(f"__chosen.{k}").alias(k) for k in key])

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..operators.heat import as_list
 from ..operators.ordered import shard_index
+from .artifacts import TIME_FORMATS
 
 
 def write_trace(df: DataFrame, path: str, key, order_by, seed: int, n: int = 512, shard_dirs: bool = False,
@@ -23,12 +24,12 @@ def write_trace(df: DataFrame, path: str, key, order_by, seed: int, n: int = 512
     sharded = shard_index(df, key, order_by, n, "shard", hot_rows).withColumn("seed", F.lit(seed))
     placed = sharded.repartition(*key, "shard").sortWithinPartitions(*key, "shard", *order_by)
     dirs = ["seed", "shard"] if shard_dirs else ["seed"]
-    placed.write.mode("overwrite").partitionBy(*dirs).json(path)
+    placed.write.mode("overwrite").partitionBy(*dirs).options(**TIME_FORMATS).json(path)
 
 
 def read_trace(spark: SparkSession, path: str, schema: T.StructType, seeds: Sequence[int] | None = None) -> DataFrame:
     """Read shards with an explicit schema; ``seeds`` prunes directories."""
     full = T.StructType([f for f in schema.fields if f.name not in ("seed", "shard")]
                         + [T.StructField("shard", T.LongType()), T.StructField("seed", T.LongType())])
-    trace = spark.read.schema(full).option("mode", "FAILFAST").json(path)
+    trace = spark.read.schema(full).options(mode="FAILFAST", **TIME_FORMATS).json(path)
     return trace if seeds is None else trace.filter(F.col("seed").isin(list(seeds)))

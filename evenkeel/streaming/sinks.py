@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..operators.heat import as_list
+from ..sources.artifacts import TIME_FORMATS
 from ..sources.snapshots import save_snapshot
 
 
@@ -39,7 +40,7 @@ def stream_trace_sink(stream: DataFrame, path: str, checkpoint: str, n: int = 51
                       interval: str | None = None) -> StreamingQuery:
     """Append trace records as JSON below ``seed=...`` in files of at most ``n`` records, exactly once."""
     writer = (stream.writeStream.outputMode("append").format("json").partitionBy("seed")
-              .option("path", path).option("maxRecordsPerFile", n))
+              .options(path=path, maxRecordsPerFile=n, **TIME_FORMATS))
     return _triggered(writer, checkpoint, interval).start()
 
 
