@@ -7,6 +7,8 @@ the sums and can be counted with ``bad_count``.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,13 +27,47 @@ def quantize(col, scale: int = 10) -> Column:
     return _col(col).try_cast(T.DecimalType(28, scale))
 
 
-def exact_sum(col, scale: int = 10) -> Column:
-    return F.sum(quantize(col, scale))
+def fits(col, scale: int = 10) -> Column:
+    """True for numbers that ``quantize`` can hold; NULL for NULL."""
+    x = _col(col).cast("double")
+    return ~F.isnan(x) & (F.abs(x) < F.lit(10.0 ** (28 - scale)))
+
+
+def fit_count(col, scale: int = 10) -> Column:
+    return F.count(F.when(fits(col, scale), F.lit(1)))
 
 
 def bad_count(col, scale: int = 10) -> Column:
-    """Non-NULL values that ``exact_sum`` cannot hold."""
-    return F.count_if(_col(col).isNotNull() & quantize(col, scale).isNull())
+    """Non-NULL values that the exact sums leave out."""
+    return F.count_if(~fits(col, scale))
+
+
+def exact_sum(col, scale: int = 10) -> Column:
+    """Exact sum of a float or double column, rounded once per value, as ``decimal(38, scale)``.
+
+    Values below 2**51 in units of 10**-scale are cut into a whole part and two groups of at most
+    five digits, which are summed as whole numbers: as fast as a sum of doubles, and far from
+    overflow for any number of rows. Larger ones are summed as decimals.
+    """
+    if not 5 <= scale <= 10:
+        return F.sum(quantize(col, scale))
+    x = _col(col).cast("double")
+    near = F.abs(x) < F.lit(2.0 ** 51 / 10.0 ** scale)
+    low_digits = scale - 5
+    whole = F.floor(x)
+    digits = F.rint((x - whole) * F.lit(10.0 ** scale)).cast("bigint")
+    base = F.lit(10 ** low_digits)
+
+    def total(part: Column, shift: int) -> Column:
+        moved = F.sum(F.when(near, part)).cast("decimal(20,0)")
+        return moved * F.lit(Decimal(1).scaleb(-shift)) if shift else moved
+
+    far = F.sum(F.when(fits(x, scale) & ~near, quantize(col, scale)))
+    result = T.DecimalType(38, scale)
+    room = T.DecimalType(36, scale)
+    close = total(whole, 0) + total(F.floor(digits / base), 5) + total(F.pmod(digits, base), scale)
+    both = F.coalesce(close.cast(room), F.lit(0).cast(room)) + F.coalesce(far.cast(room), F.lit(0).cast(room))
+    return F.when(close.isNotNull() | far.isNotNull(), both.cast(result))
 
 
 def mean_of(total: Column, n: Column) -> Column:
@@ -40,20 +76,26 @@ def mean_of(total: Column, n: Column) -> Column:
 
 def stable_mean(col, scale: int = 10) -> Column:
     """Exact sum over count; NaN when there is nothing to average."""
-    return mean_of(exact_sum(col, scale), F.count(quantize(col, scale)))
+    return mean_of(exact_sum(col, scale), fit_count(col, scale))
 
 
 def units(col, scale: int = 6) -> Column:
     """The value as a whole number of 10**-scale."""
+    x = _col(col).cast("double")
+    near = F.abs(x) < F.lit(2.0 ** 51 / 10.0 ** scale)
     value = _col(col).try_cast(T.DecimalType(18, scale))
-    return (value * F.lit(10 ** scale).cast("decimal(10,0)")).cast("decimal(18,0)")
+    moved = (value * F.lit(10 ** scale).cast("decimal(10,0)")).cast("decimal(18,0)")
+    return F.when(near, F.rint(x * F.lit(10.0 ** scale)).cast("bigint").cast("decimal(18,0)")).otherwise(moved)
 
 
-def unit_square(col, scale: int = 6) -> Column:
-    u = units(col, scale)
+def square(u: Column) -> Column:
     return (u * u).cast("decimal(37,0)")
 
 
+def unit_square(col, scale: int = 6) -> Column:
+    return square(units(col, scale))
+
+
 def variance_of(n: Column, total: Column, squares: Column, scale: int = 6) -> Column:
     """Sample variance from the count and the exact sums of units and of their squares.
 
@@ -73,8 +115,12 @@ def variance_of(n: Column, total: Column, squares: Column, scale: int = 6) -> Co
 
 def stable_variance(col, scale: int = 6) -> Column:
     """Sample variance in one pass from exact sums."""
-    return variance_of(F.count(units(col, scale)), F.sum(units(col, scale).cast("decimal(28,0)")),
-                       F.sum(unit_square(col, scale)), scale)
+    return unit_variance(units(col, scale), scale)
+
+
+def unit_variance(u: Column, scale: int = 6) -> Column:
+    """The same from ``units`` that were computed before: decimal sums read their input repeatedly."""
+    return variance_of(F.count(u), F.sum(u.cast("decimal(28,0)")), F.sum(square(u)), scale)
 
 
 def all_finite(*cols) -> Column:
@@ -86,7 +132,7 @@ def all_finite(*cols) -> Column:
 
 
 def positive_sum(col, scale: int = 10) -> Column:
-    return F.coalesce(F.sum(quantize(F.greatest(F.lit(0.0), _col(col).cast("double")), scale)),
+    return F.coalesce(exact_sum(F.greatest(F.lit(0.0), _col(col).cast("double")), scale),
                       F.lit(0).cast(T.DecimalType(38, scale)))
 
 

@@ -75,7 +75,7 @@ def row_fingerprint(df: DataFrame, cols: Sequence[str] | None = None, scale: int
 
 def fingerprint_number(digest: Column) -> Column:
     """The first 60 bits of a hex digest as a decimal, ready to be summed."""
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(28,0)")
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint").cast("decimal(28,0)")
 
 
 def schema_digest(df: DataFrame, cols: Sequence[str] | None = None) -> str:

@@ -7,8 +7,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tokens import row_fingerprint
-from .fingerprint import hash_sum
+from .fingerprint import hash_sum, row_number_of
 from .heat import as_list
 
 
@@ -23,7 +22,7 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key, scale: int | None =
     names = [c for c in before.columns if c not in set(exclude)]
 
     def side(df: DataFrame, is_after: bool) -> DataFrame:
-        return df.select(*key, row_fingerprint(df, names, scale).alias("__h"), F.lit(is_after).alias("__after"))
+        return df.select(*key, row_number_of(df, names, scale).alias("__h"), F.lit(is_after).alias("__after"))
 
     old, new = F.when(~F.col("__after"), F.col("__h")), F.when(F.col("__after"), F.col("__h"))
     sums = side(before, False).unionByName(side(after, True)).groupBy(*key).agg(

@@ -7,7 +7,7 @@ makes no difference to the result.
 
 from __future__ import annotations
 
-from typing import Callable
+from typing import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -184,44 +184,39 @@ def level_history(df: DataFrame, key, order_by, d_hp: str, d_xp: str, hot_rows:
     def finish(rows):
         flat = block_steps(rows, key, "__k", size).select(
             *key, "__block", *[F.col(f"__step.{c}").cast("double").alias(f"__{c}") for c in parts])
-        begin_schema = T.StructType([*flat.select(*key, "__block").schema.fields,
-                                     T.StructField("__start", T.DoubleType())])
-        begin = flat.groupBy(*key).applyInPandas(_block_starts([*key, "__block"]), begin_schema)
+        begin = _replayed(flat.withColumns({"__start": F.lit(START_HP), "__first": F.col("__block") == 0}),
+                          key, "__block", [*key, "__block"], "__end", before=True)
         here = rows.withColumn("__block", F.floor((F.col("__k") - 1) / size).cast("bigint"))
         joined = (here.alias("h").join(begin.alias("b"), same_keys("h", "b", [*key, "__block"]))
-                  .select(*[F.col(f"h.{c}") for c in [*keep, "__block", "__k"]], "__start",
+                  .select(*[F.col(f"h.{c}") for c in [*keep, "__block", "__k"]], F.col("__end").alias("__start"),
+                          (F.pmod(F.col("h.__k") - 1, F.lit(size)) == 0).alias("__first"),
                           *[F.col(f"h.__{c}").cast("double").alias(f"__{c}") for c in parts]))
-        schema = T.StructType([*joined.select(*keep).schema.fields, T.StructField("hp", T.DoubleType())])
-        return joined.groupBy(*key, "__block").applyInPandas(_replay(keep), schema)
+        return _replayed(joined, [*key, "__block"], "__k", keep, "hp")
 
     return _level_rows(df, key, order_by, d_hp, d_xp, hot_rows, finish)
 
 
-def _states(pdf: pd.DataFrame, start: float) -> np.ndarray:
-    out, state = np.empty(len(pdf)), start
-    for i, (d, lo, hi) in enumerate(zip(pdf["__d"].to_numpy(), pdf["__lo"].to_numpy(), pdf["__hi"].to_numpy())):
-        state = min(hi, max(lo, state + d))
-        out[i] = state
-    return np.round(out, SCALE)
+def _replayed(df: DataFrame, group: list[str], position: str, keep: list[str], name: str, before: bool = False) -> DataFrame:
+    """Run clamp steps in order within each group, and give the state after (or before) each.
 
-
-def _block_starts(keep: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The hp each block of one key starts with, from one composed step per block."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__block", kind="stable")
-        ends = _states(pdf, START_HP)
-        return pdf[keep].assign(__start=np.concatenate([[START_HP], ends[:-1]]))
-
-    return run
-
-
-def _replay(keep: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Run the steps of one block of rows in order."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__k", kind="stable")
-        return pdf[keep].assign(hp=_states(pdf, float(pdf["__start"].iloc[0])))
-
-    return run
+    ``__start`` is a group's first state and ``__first`` marks its first row. Tasks stream through
+    their sorted rows batch by batch and carry one number over.
+    """
+    placed = df.repartition(*group).sortWithinPartitions(*group, position)
+    schema = T.StructType([*df.select(*keep).schema.fields, T.StructField(name, T.DoubleType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = 0.0
+        for pdf in batches:
+            out = np.empty(len(pdf))
+            columns = [pdf[c].to_numpy() for c in ("__first", "__start", "__d", "__lo", "__hi")]
+            for i, (first, start, d, lo, hi) in enumerate(zip(*columns)):
+                was = start if first else state
+                state = min(hi, max(lo, was + d))
+                out[i] = was if before else state
+            yield pdf[keep].assign(**{name: np.round(out, SCALE)})
+
+    return placed.mapInPandas(run, schema)
 
 
 def recover_all(df: DataFrame, rate: float = 0.1, stop_at_floor: bool = False) -> DataFrame:

@@ -41,7 +41,8 @@ def flatten_record(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _wrapped(text: pd.Series, width: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else textwrap.wrap(t, width=int(w)) for t, w in zip(text, width)], dtype=object)
+    wrappers = {w: textwrap.TextWrapper(width=int(w)) for w in width.unique()}
+    return pd.Series([None if t is None else wrappers[w].wrap(t) for t, w in zip(text, width)], dtype=object)
 
 
 def _measured(df: DataFrame, key, order_by, text: str, width: int, hot_rows: int | None) -> DataFrame:

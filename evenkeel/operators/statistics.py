@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.accumulators import (bad_count, exact_sum, mean_of, quantize, stable_mean, stable_variance)
+from ..functions.accumulators import (bad_count, exact_sum, fit_count, mean_of, quantize, stable_mean, unit_variance,
+                                      units)
 from ..session import block_rows as session_block_rows
 from .heat import as_list, attach, by_heat
 from .ordered import number_rows
@@ -17,12 +18,12 @@ from .ordered import number_rows
 def stable_stats(df: DataFrame, by, value: str, prefix: str = "", scale: int = 10) -> DataFrame:
     """Count, bad values, exact sum, mean and sample variance per group, in one pass."""
     v = F.col(value)
-    return df.groupBy(*as_list(by)).agg(
-        F.count(quantize(v, scale)).alias(f"{prefix}n"),
+    return df.select(*as_list(by), v, units(v).alias("__u")).groupBy(*as_list(by)).agg(
+        fit_count(v, scale).alias(f"{prefix}n"),
         bad_count(v, scale).alias(f"{prefix}n_bad"),
         exact_sum(v, scale).alias(f"{prefix}sum"),
         stable_mean(v, scale).alias(f"{prefix}mean"),
-        stable_variance(v).alias(f"{prefix}var"))
+        unit_variance(F.col("__u")).alias(f"{prefix}var"))
 
 
 def kahan_sum(df: DataFrame, key, order_by, value: str, name: str = "kahan_sum",
@@ -95,15 +96,19 @@ def run_metrics(df: DataFrame, key, ts: str, values: Mapping[str, str], distinct
                - F.unix_micros(F.min(F.col(ts).cast("timestamp")))) / F.lit(1e6)
     aggs = [seconds.alias("duration_s"), F.count(F.lit(1)).alias("depth"),
             F.count_distinct(F.col(distinct)).alias("encounters")]
+    measured = dict.fromkeys([*values.values(), *([losses] if losses else [])])
+    slim = df.select(*dict.fromkeys([*as_list(key), ts, distinct, *measured]),
+                     *[units(F.col(c)).alias(f"__u_{c}") for c in measured])
+
+    def three(column, prefix):
+        return [fit_count(F.col(column)).alias(f"{prefix}_count"), stable_mean(F.col(column)).alias(f"{prefix}_mean"),
+                unit_variance(F.col(f"__u_{column}")).alias(f"{prefix}_var")]
+
     for prefix, column in values.items():
-        aggs += [stable_mean(F.col(column)).alias(f"{prefix}_mean"),
-                 F.count(quantize(F.col(column))).alias(f"{prefix}_count"),
-                 stable_variance(F.col(column)).alias(f"{prefix}_var")]
+        aggs += three(column, prefix)
     if losses:
-        aggs.append(F.struct(F.count(quantize(F.col(losses))).alias("loss_count"),
-                             stable_mean(F.col(losses)).alias("loss_mean"),
-                             stable_variance(F.col(losses)).alias("loss_var")).alias("grad_loss_stats"))
-    return df.groupBy(*as_list(key)).agg(*aggs)
+        aggs.append(F.struct(*three(losses, "loss")).alias("grad_loss_stats"))
+    return slim.groupBy(*as_list(key)).agg(*aggs)
 
 
 def l1_distance(left: DataFrame, right: DataFrame, key, value: str, by=(), name: str = "l1",
@@ -124,7 +129,7 @@ def l1_distance(left: DataFrame, right: DataFrame, key, value: str, by=(), name:
 def log_loss(df: DataFrame, prob_of_label: Column, name: str = "log_loss") -> DataFrame:
     """Mean of -ln(p of the true label), from an exact sum."""
     term = -F.log(prob_of_label)
-    return df.agg(mean_of(exact_sum(term, 12), F.count(quantize(term, 12))).alias(name))
+    return df.agg(stable_mean(term).alias(name))
 
 
 def canonical_order(col) -> Column:

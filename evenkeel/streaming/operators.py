@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.accumulators import all_finite, bad_count, exact_sum, quantize, stable_mean, stable_variance
+from ..functions.accumulators import all_finite, bad_count, exact_sum, fit_count, stable_mean, stable_variance
 from ..operators.heat import as_list
 from ..operators.sampling import promote
 
@@ -30,7 +30,7 @@ def stream_monitor(stream: DataFrame, by, value: str) -> DataFrame:
     """
     v = F.col(value)
     return stream.groupBy(*as_list(by)).agg(
-        F.count(quantize(v)).alias("n"), bad_count(v).alias("n_bad"), exact_sum(v).alias("sum"),
+        fit_count(v).alias("n"), bad_count(v).alias("n_bad"), exact_sum(v).alias("sum"),
         stable_mean(v).alias("mean"), stable_variance(v).alias("var"), all_finite(v).alias("all_finite"))
 
 
