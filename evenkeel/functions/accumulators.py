@@ -62,7 +62,7 @@ def exact_sum(col, scale: int = 10) -> Column:
         moved = F.sum(F.when(near, part)).cast("decimal(20,0)")
         return moved * F.lit(Decimal(1).scaleb(-shift)) if shift else moved
 
-    far = F.sum(F.when(fits(x, scale) & ~near, quantize(col, scale)))
+    far = F.sum(F.when(~near, quantize(col, scale)))
     result = T.DecimalType(38, scale)
     room = T.DecimalType(36, scale)
     close = total(whole, 0) + total(F.floor(digits / base), 5) + total(F.pmod(digits, base), scale)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from typing import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -205,18 +205,19 @@ def _replayed(df: DataFrame, group: list[str], position: str, keep: list[str], n
     placed = df.repartition(*group).sortWithinPartitions(*group, position)
     schema = T.StructType([*df.select(*keep).schema.fields, T.StructField(name, T.DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = 0.0
-        for pdf in batches:
-            out = np.empty(len(pdf))
-            columns = [pdf[c].to_numpy() for c in ("__first", "__start", "__d", "__lo", "__hi")]
+        for batch in batches:
+            out = np.empty(batch.num_rows)
+            columns = [batch.column(c).to_pylist() for c in ("__first", "__start", "__d", "__lo", "__hi")]
             for i, (first, start, d, lo, hi) in enumerate(zip(*columns)):
                 was = start if first else state
                 state = min(hi, max(lo, was + d))
                 out[i] = was if before else state
-            yield pdf[keep].assign(**{name: np.round(out, SCALE)})
+            kept = [batch.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.round(out, SCALE))], names=[*keep, name])
 
-    return placed.mapInPandas(run, schema)
+    return placed.mapInArrow(run, schema)
 
 
 def recover_all(df: DataFrame, rate: float = 0.1, stop_at_floor: bool = False) -> DataFrame:
