@@ -25,11 +25,14 @@ def canonical_layout(df: DataFrame, key, n: int) -> DataFrame:
 
 
 def fit_classifier(df: DataFrame, key, features: str, label: str, layers: Sequence[int], seed: int,
-                   partitions: int = 8, max_iter: int = 50):
+                   partitions: int | None = None, max_iter: int = 50):
     """Multilayer perceptron on an array column, trained on the canonical layout.
 
-    The layout is cut off from its source, since training passes over the rows many times.
+    ``partitions`` (by default ``spark.sql.shuffle.partitions``) is part of the layout: keep it equal
+    for equal weights. Rows are cached, since training passes over them many times.
     """
+    if partitions is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = df.select(*as_list(key), array_to_vector(F.col(features).cast("array<double>")).alias("features"),
                      F.col(label).cast("double").alias("label"))
     rows = canonical_layout(slim, key, partitions).persist()

@@ -64,19 +64,24 @@ def leak_scan(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
     return _as_rows(totals, ["column_name", "pattern", "n_rows", "clean"], items)
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def determinism_audit(build: Callable[[DataFrame], DataFrame], df: DataFrame, layouts: Sequence[int],
                       scale: int | None = None) -> DataFrame:
     """Run an operator on several layouts of its input and compare the fingerprints of its results.
 
-    Rows are dealt round-robin over each number of partitions. One row per layout.
+    Layout n deals the rows over n times ``spark.sql.shuffle.partitions`` tasks. One row per layout.
     """
-    runs = [table_fingerprint(build(df.repartition(n)), scale=scale).withColumn("layout", F.lit(n)) for n in layouts]
+    runs = [table_fingerprint(build(df.repartition(n * _tasks(df))), scale=scale).withColumn("layout", F.lit(n))
+            for n in layouts]
     return _agree(reduce(DataFrame.unionByName, runs), "layout")
 
 
 def order_invariance(df: DataFrame, scale: int | None = None) -> DataFrame:
     """Fingerprints of a table as it is, with its columns reversed, and with its rows dealt anew."""
-    variants = {"as_is": df, "columns_reversed": df.select(*reversed(df.columns)), "rows_dealt": df.repartition(5)}
+    variants = {"as_is": df, "columns_reversed": df.select(*reversed(df.columns)), "rows_dealt": df.repartition(_tasks(df))}
     runs = [table_fingerprint(v, scale=scale).withColumn("variant", F.lit(n)) for n, v in variants.items()]
     return _agree(reduce(DataFrame.unionByName, runs), "variant")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.accumulators import quantize
 from ..functions.draws import bernoulli, uniform, uniform_int
 from ..functions.scalars import is_finite
-from .heat import ALL_COLD, ALL_HOT, as_list, attach, by_heat
+from .heat import ALL_COLD, ALL_HOT, as_list, attach, by_heat, same_keys
 from .ordered import number_rows, running
 
 
@@ -92,4 +92,5 @@ def minibatch(df: DataFrame, key, order_by, n: int = 32, seed: int = 0, domain:
     sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= n)
     draws = (sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
              .withColumn("__pos", uniform_int(0, F.col("__n"), seed, domain, *key, "draw")).drop("__n"))
-    return numbered.join(draws, [*key, "__pos"]).withColumnRenamed("__pos", "position")
+    return (numbered.alias("b").join(draws.alias("d"), same_keys("b", "d", [*key, "__pos"]))
+            .select("b.*", "d.draw").withColumnRenamed("__pos", "position"))

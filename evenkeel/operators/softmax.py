@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import (ARGMAX_TEMPERATURE, MIN_TEMPERATURE, PROBABILITY_FLOOR, SCORE_LIMIT, clamp,
                                  replace_nonfinite)
-from .heat import as_list, attach, by_heat
+from .heat import as_list, attach, by_heat, same_keys
 
 _TERM = T.DecimalType(28, 18)
 
@@ -102,7 +102,13 @@ def plain_softmax(df: DataFrame, group, score: str, name: str = "p") -> DataFram
     x = clamp(F.col(score).cast("double"), -SCORE_LIMIT, SCORE_LIMIT)
     base = df.withColumn("__x", x)
     tops = base.groupBy(*group).agg(F.max("__x").alias("__top"))
-    shifted = base.join(tops, group).withColumn("__e", F.exp(F.col("__x") - F.col("__top")))
+    shifted = _with_group(base, tops, group).withColumn("__e", F.exp(F.col("__x") - F.col("__top")))
     sums = shifted.groupBy(*group).agg(F.sum(_exact(F.col("__e"))).alias("__s"))
-    return (shifted.join(sums, group).withColumn(name, F.col("__e") / F.col("__s").cast("double"))
+    return (_with_group(shifted, sums, group).withColumn(name, F.col("__e") / F.col("__s").cast("double"))
             .drop("__x", "__top", "__e", "__s"))
+
+
+def _with_group(rows: DataFrame, totals: DataFrame, group: list[str]) -> DataFrame:
+    """Join rows with one row per group; NULL groups match, and AQE splits skewed groups."""
+    extra = [F.col(f"t.{c}") for c in totals.columns if c not in group]
+    return rows.alias("r").join(totals.alias("t"), same_keys("r", "t", group)).select("r.*", *extra)

@@ -9,7 +9,7 @@ from .registry import query, read
 @query()
 def fit_and_score(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings")
-    model = M.fit_classifier(rows, "vec_id", "embedding", "label", [64, 16, 10], seed=7, partitions=4, max_iter=30)
+    model = M.fit_classifier(rows, "vec_id", "embedding", "label", [64, 16, 10], seed=7, max_iter=30)
     scored = M.score(rows, model, "vec_id", "embedding", temp=1.0, seed=7)
     return scored.select("vec_id", "label", "best", "action", F.round(M.prob_of_label("label"), 6).alias("p_label"))
 
@@ -19,5 +19,5 @@ def model_log_loss(spark, sf_dir):
     from ..operators.statistics import log_loss
 
     rows = read(spark, sf_dir, "embeddings")
-    model = M.fit_classifier(rows, "vec_id", "embedding", "label", [64, 16, 10], seed=7, partitions=4, max_iter=30)
+    model = M.fit_classifier(rows, "vec_id", "embedding", "label", [64, 16, 10], seed=7, max_iter=30)
     return log_loss(M.score(rows, model, "vec_id", "embedding"), M.prob_of_label("label"))

@@ -64,7 +64,7 @@ def stream_fold(spark, sf_dir):
 
 @query("""
 select (event_id % 2)::BIGINT as seed, count(*) as n_rows, round(sum(value::DECIMAL(28,10))::DOUBLE, 4) as total,
-       count(distinct user_id) as n_users, epoch_us(max(ts)) as last_us from events group by 1""")
+       count(distinct user_id) as n_users, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') as last_ts from events group by 1""")
 def stream_trace(spark, sf_dir):
     out, mark = work_path(spark, "trace"), work_path(spark, "mark")
     events = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", (F.col("event_id") % 2).alias("seed"))
@@ -76,7 +76,7 @@ def stream_trace(spark, sf_dir):
     schema = "pre struct<event_id bigint, user_id bigint, ts timestamp_ntz>, post struct<value double>, seed bigint"
     trace = spark.read.schema(schema).options(**TIME_FORMATS).json(out)
     return trace.groupBy("seed").agg(F.count(F.lit(1)).alias("n_rows"), F.round(A.exact_sum("post.value").cast("double"), 4).alias("total"),
-                                     F.count_distinct("pre.user_id").alias("n_users"), F.max(F.unix_micros(F.col("pre.ts").cast("timestamp"))).alias("last_us"))
+                                     F.count_distinct("pre.user_id").alias("n_users"), F.date_format(F.max("pre.ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_ts"))
 
 
 @query(f"""

@@ -39,7 +39,7 @@ OPERATORS = {
     "pairs": lambda df, h: W.pre_post_pairs(df, "k", ORDER, ["x"], ["x"], h),
     "running": lambda df, h: W.running_stats(df, "k", ORDER, "x", h),
     "sequence": lambda df, h: W.sequence_features(df, "k", ORDER, ["x", "ts"], 4, hot_rows=h),
-    "minibatch": lambda df, h: S.minibatch(df.filter("k is not null"), "k", ORDER, 5, hot_rows=h),
+    "minibatch": lambda df, h: S.minibatch(df, "k", ORDER, 5, hot_rows=h),
     "categorical": lambda df, h: S.sample_categorical(df.withColumn("x", F.abs("x")), "k", "event_id", "x", hot_rows=h),
     "clamped": lambda df, h: D.clamped_fold(df, "k", ORDER, "x", -3, 9, 0, hot_rows=h),
     "level": lambda df, h: D.level_fold(df.withColumn("g", F.abs("x")), "k", ORDER, "x", "g", hot_rows=h),
