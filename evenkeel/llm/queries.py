@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenkeel.session import work_path
+
+from .language_id import fit_dictionaries, identify
 from .line_dedup import dedup_lines
+from .quality import fit_ratios, judge_quality
+from .substring_dedup import dedup_substrings
+from .token_files import read_token_files, write_token_files
 from .url_filter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,9 +38,39 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SQL_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 SQL_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+SQL_WORDS = f"regexp_extract_all(coalesce(text, ''), '[^ ' || chr(9) || '-' || chr(13) || ']+')"
+
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary lies; nothing of it is copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def held_out() -> Column:
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+@query()
+def op1_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
+    dictionaries = fit_dictionaries(docs.where(~F.col("held_out")))
+    return identify(docs, dictionaries).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query()
+def op3_quality_rules(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    good = read(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id")
+    judged = judge_quality(docs, fit_ratios(docs, good))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 @query(f"""
 with parts as (
   select page_id, coalesce({SQL_LOWER.format("regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')")}, '') as host,
@@ -53,6 +89,32 @@ def op7_url_filter(spark, sf_dir):
     return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query(f"""
+with docs as (select doc_id, {SQL_WORDS} as words from documents),
+starts as (select doc_id, words, unnest(range(1, len(words) - 11)) as i from docs),
+wins as (select doc_id, i, array_to_string(words[i:i + 12], ' ') as win from starts),
+firsts as (select win, min(doc_id) as first_doc from wins group by win),
+hits as (select doc_id, i from wins join firsts using (win) where first_doc < doc_id),
+gone as (select distinct doc_id, i + j as pos from hits, range(13) t(j)),
+words as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as pos from docs),
+kept as (select w.doc_id, w.pos, w.word, g.pos is not null as removed from words w left join gone g on w.doc_id = g.doc_id and w.pos = g.pos)
+select d.doc_id, len(d.words)::BIGINT as n_words, coalesce(n_removed, 0)::BIGINT as n_removed, sha256(coalesce(txt, '')) as kept_sha256
+from docs d left join (select doc_id, count_if(removed) as n_removed, string_agg(word, ' ' order by pos) filter (where not removed) as txt
+                       from kept group by doc_id) k using (doc_id)
+""")
+def op8_substring_dedup(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query()
+def op9_token_files(spark, sf_dir):
+    path = work_path(spark, "token-files")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    write_token_files(docs, path, tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query(f"""
 with numbered as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
