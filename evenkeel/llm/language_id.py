@@ -22,7 +22,7 @@ from typing import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 96
@@ -95,25 +95,33 @@ def decide(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return best, score, (margin < MIN_BYTES) | (margin < MIN_SHARE * second)
 
 
+def judge_texts(texts: pa.Array, languages: list[str], compressors: list[zstandard.ZstdCompressor]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and rejection of a binary column in which null stands for texts without a letter."""
+    lang, score, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    rows = [i for i, text in enumerate(texts) if text.is_valid] if languages else []
+    if rows:
+        sizes = np.array([code_lengths(texts[i].as_py(), compressors) for i in rows], float)
+        best, score[rows], rejected[rows] = decide(sizes)
+        for row, place in zip(rows, best):
+            lang[row] = languages[place]
+    return lang, score, rejected
+
+
+def tellable(text_col: str) -> Column:
+    """The text in lower case as bytes, null if it has no letter."""
+    return F.when(F.col(text_col).rlike(r"\p{L}"), F.lower(text_col).cast("binary"))
+
+
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", level: int = LEVEL) -> DataFrame:
     """Adds ``lang_pred``, ``score`` and ``rejected``; the dictionaries have a fixed bound and are broadcast."""
     shipped = docs.sparkSession.sparkContext.broadcast(dictionaries)
     rest = [F.col(c) for c in docs.columns if c not in RESULTS]
-    tellable = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    inputs = docs.select(*rest, F.when(tellable, F.lower(text_col).cast("binary")).alias("_li_text"))
+    inputs = docs.select(*rest, tellable(text_col).alias("_li_text"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages = list(shipped.value)
-        compressors = coders(shipped.value, level)
+        languages, compressors = list(shipped.value), coders(shipped.value, level)
         for batch in batches:
-            known = np.array([x.is_valid for x in batch.column("_li_text")], bool) & bool(languages)
-            lang, score, rejected = [UNKNOWN] * len(batch), np.zeros(len(batch)), np.ones(len(batch), bool)
-            rows = np.flatnonzero(known)
-            if len(rows):
-                sizes = np.array([code_lengths(batch.column("_li_text")[int(i)].as_py(), compressors) for i in rows], float)
-                best, score[rows], rejected[rows] = decide(sizes)
-                for row, place in zip(rows, best):
-                    lang[row] = languages[place]
+            lang, score, rejected = judge_texts(batch.column("_li_text"), languages, compressors)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)],
                                              names=[*batch.schema.names[:-1], *RESULTS])
 
@@ -121,3 +129,16 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
     for field in schema.fields:
         field.nullable = True
     return inputs.mapInArrow(judge, schema)
+
+
+def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", level: int = LEVEL) -> DataFrame:
+    """The documents that are not rejected; all columns as they were."""
+    shipped = docs.sparkSession.sparkContext.broadcast(dictionaries)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages, compressors = list(shipped.value), coders(shipped.value, level)
+        for batch in batches:
+            _, _, rejected = judge_texts(batch.column("_li_text"), languages, compressors)
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(~rejected))
+
+    return docs.withColumn("_li_text", tellable(text_col)).mapInArrow(keep, docs.schema)

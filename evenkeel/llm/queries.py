@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from evenkeel.session import work_path
 
+from .bpe import encode_decode
+from .decontaminate import find_leaks
 from .language_id import fit_dictionaries, identify
 from .line_dedup import dedup_lines
+from .minhash import near_duplicates
+from .pii import count_of, find_personal_data, written
 from .quality import fit_ratios, judge_quality
 from .substring_dedup import dedup_substrings
 from .token_files import read_token_files, write_token_files
@@ -63,6 +67,12 @@ def op1_language_id(spark, sf_dir):
     return identify(docs, dictionaries).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+@query()
+def op2_decontaminate(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op3_quality_rules(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,6 +81,26 @@ def op3_quality_rules(spark, sf_dir):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+@query()
+def op4_minhash_dedup(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, width=2, percent=80)
+
+
+@query()
+def op5_bpe(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = encode_decode(docs, tokenizer_file("word_bpe_49k.json"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op6_pii(spark, sf_dir):
+    found = find_personal_data(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [count_of("base", kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 @query(f"""
 with parts as (
   select page_id, coalesce({SQL_LOWER.format("regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')")}, '') as host,

@@ -98,3 +98,62 @@ def components(docs, width=2, percent=80):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {doc: (len(s), find(doc)) for doc, s in sets.items()}
+
+
+def coded(docs, tokenizer):
+    """(doc_id, n_tokens, sha of the ids, sha of the decoded text)."""
+    out = []
+    for doc, text in docs:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+        out.append((doc, len(ids), sha(" ".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False))))
+    return out
+
+
+KINDS = [
+    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda m: True),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda m: all(int(p) <= 255 for p in m.split("."))),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda m: 12 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m))),
+    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15)]
+
+
+def luhn(number):
+    return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(number))) % 10 == 0
+
+
+def personal(text):
+    """Counts by kind, and the base spans as text."""
+    spans = [(m.start(), k, m.end(), name) for k, (name, pattern, valid) in enumerate(KINDS) for m in pattern.finditer(text or "") if valid(m[0])]
+    return tuple(sum(s[1] == k for s in spans) for k in range(4)), ",".join(f"{n}:{a}:{b}" for a, _, b, n in sorted(spans))
+
+
+def leaks(docs, items, threshold=0.8):
+    """(doc_id, item_id) -> highest weighted similarity of a window of the item's size, if it reaches the threshold."""
+    def words(text):
+        return [w.lower() if w.isascii() else ascii_lower(w) for w in re.findall(r"[0-9A-Za-z_\x80-\U0010ffff]+", text or "")]
+
+    def weighted(tokens):
+        width = min(5, len(tokens))
+        out = Counter()
+        for i in range(len(tokens) - width + 1):
+            gram = tuple(tokens[i:i + width])
+            out[gram] += sum(len(w.encode()) for w in gram)
+        return out
+
+    targets = [(i, words(t), weighted(words(t))) for i, t in items if words(t)]
+    by_gram = defaultdict(set)
+    for place, (_, _, grams) in enumerate(targets):
+        for gram in grams:
+            by_gram[gram].add(place)
+    out = {}
+    for doc, text in docs:
+        tokens = words(text)
+        near = {p for w in range(1, 6) for i in range(len(tokens) - w + 1) for p in by_gram.get(tuple(tokens[i:i + w]), ())}
+        for place in near:
+            item, target, grams = targets[place]
+            for i in range(len(tokens) - len(target) + 1):
+                window = weighted(tokens[i:i + len(target)])
+                both = sum((window & grams).values())
+                score = both / (sum(window.values()) + sum(grams.values()) - both)
+                if score >= threshold:
+                    out[doc, item] = max(score, out.get((doc, item), 0))
+    return out
