@@ -30,7 +30,7 @@ from .arrays import blocks, hash_spans, hash_words, split_words, windows
 from .ranges import with_id_groups
 
 WIDTH = 13
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 4 << 20
 # Bytes of text for each bucket of hashes; there are 256 buckets at least.
 BUCKET_BYTES = 4 << 20
 
