@@ -96,7 +96,8 @@ def fit_ratios(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", tex
     """ln(p_target / p_raw) of every counter, from all documents; ``good_ids`` has the column ``id_col``."""
     marks = good_ids.select(F.col(id_col).alias("id")).distinct().withColumn("good", F.lit(True))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    marked = texts.join(marks, "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    # Labels grow with the documents, so they are never broadcast, however few they are today.
+    marked = texts.hint("merge").join(marks, "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
