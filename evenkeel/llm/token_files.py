@@ -7,8 +7,8 @@ the shards, one to a row, so that any store Spark can write will do and a lost t
 
 Texts are encoded where they are read, and only packed ids are shuffled, one row for each Arrow batch and
 shard. Text is cut at single spaces that follow a non-space: a byte-level pattern always begins a new
-piece there, so a piece has the same ids in every text and the tokenizers library sees each piece once,
-together with others; a bounded table remembers its answer.
+piece there, so a piece has the same ids in every text; the tokenizers library is asked once for each piece, and a
+bounded table remembers its answer.
 
 Null text is empty and yields the end id alone. Rows without document id come first, in shards without
 ids. Rows of one id stay, ordered by their tokens. An empty table gives no shard. The readers return the
@@ -17,10 +17,11 @@ columns named there; other columns of the input are not carried.
 
 from __future__ import annotations
 
-import os
 import re
+import string
 import struct
-from typing import Iterator
+from array import array
+from typing import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import elias_fano
+from .bpe import byte_symbols
 from .elias_fano import EliasFano
 from .ranges import with_id_groups
 from .substring_dedup import one_array
@@ -37,17 +39,30 @@ from .substring_dedup import one_array
 SHARD_BYTES = 8 << 20  # of text
 MAGIC = b"EFTOKEN1"
 HEAD = "<8sBBQQq"  # magic, bytes of a token, whether ids are there, documents, tokens, first id
-CACHE_PIECES = 500_000
-JOINED_CHARS = 1 << 16
-SPACE_AFTER_SPACE = re.compile(r"\s ")
-SIMPLE = re.compile(r"[^\s<>|]+")
+CACHE_PIECES = 800_000
+# Signs that neither begin a contraction nor stand in an added token.
+MARKS = "".join(sorted(set(string.punctuation) - set("'<|>")))
+SPACE_AFTER_SPACE = [c + " " for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"]
+OTHER_SPACE = re.compile(r"[^\S\x00-\x7f] ")
+
+
+class Pieces(dict):
+    """The packed ids of pieces, each asked of ``answer`` when it is first met."""
+
+    def __init__(self, answer: Callable[[str], bytes]) -> None:
+        self.answer = answer
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.answer(piece)
+        if "\n" not in piece:  # else it is two words that met by chance
+            self[piece] = found
+        return found
 
 
 class PieceEncoder:
     """Encodes whole texts as the tokenizer does, remembering the ids of space-delimited pieces."""
 
     def __init__(self, tokenizer_file: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -55,63 +70,57 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        # Characters stand for bytes in a byte-level vocabulary; added tokens stand for themselves.
-        self.lengths = np.zeros(size + 1, np.int64)
-        for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            self.lengths[number] = len(token)
-        self.inner: dict[str, bytes] = {}
-
-    def encode_whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Fills the table with the ids of pieces that follow a space."""
-        joined: list[str] = []
-        size = 0
-        for piece in pieces:
-            if SIMPLE.fullmatch(piece):
-                joined.append(piece)
-                size += len(piece) + 1
-                if size >= JOINED_CHARS:
-                    self._learn_joined(joined)
-                    joined, size = [], 0
-            else:
-                self.inner[piece] = self.encode_whole(" " + piece)
-        if joined:
-            self._learn_joined(joined)
-
-    def _learn_joined(self, pieces: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
-        ends = np.cumsum(self.lengths[ids])
-        wanted = np.cumsum([len(p.encode()) + 1 for p in pieces])
-        cuts = np.searchsorted(ends, wanted) + 1
-        if len(ids) and not np.array_equal(ends[cuts - 1], wanted):
-            raise ValueError("the tokenizer does not break at spaces")
-        raw, at, each = ids.tobytes(), 0, self.dtype.itemsize
-        for piece, cut in zip(pieces, (cuts * each).tolist()):
-            self.inner[piece] = raw[at:cut]
-            at = cut
+        self.symbols = byte_symbols()
+        self.heads = Pieces(lambda piece: self._piece("", piece))
+        self.inner = Pieces(lambda piece: self._piece(" ", piece))
+        self.marks = Pieces(self._word)
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return array(self.dtype.char, ids).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of what the tokenizer's pattern takes as one word: only the library's model is asked."""
+        symbols = self.symbols
+        return self._pack([t.id for t in self.tokenizer.model.tokenize("".join([symbols[b] for b in word.encode()]))])
+
+    def _piece(self, space: str, piece: str) -> bytes:
+        """Ids of a piece, with the space before it if there is one."""
+        stem = piece.rstrip(MARKS)
+        # Letters are one word for the pattern, and the marks behind them another.
+        if stem.isalpha() and max(stem) < "\u0250":
+            return self._word(space + stem) + (self.marks[piece[len(stem):]] if len(stem) < len(piece) else b"")
+        lines = piece.split("\n")
+        # A line break between words is a word of its own.
+        if len(lines) > 1 and all(lines) and len(piece.split()) == len(lines):
+            first = self.inner if space else self.heads
+            return first[lines[0]] + b"".join([self.marks["\n"] + self.heads[line] for line in lines[1:]])
+        return self._whole(space + piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.split(" ") if not SPACE_AFTER_SPACE.search(text) else self._careful(text) for text in texts]
-        missing = set().union(*(pieces[1:] for pieces in split)).difference(self.inner)
-        if len(self.inner) + len(missing) > CACHE_PIECES:
-            self.inner.clear()
-            missing = set().union(*(pieces[1:] for pieces in split))
-        self._learn(list(missing))
-        known = self.inner.__getitem__
-        return [self.encode_whole(pieces[0]) + b"".join(map(known, pieces[1:])) for pieces in split]
-
-    @staticmethod
-    def _careful(text: str) -> list[str]:
-        """Pieces cut only at spaces that follow a non-space."""
-        pieces: list[str] = []
-        for piece in text.split(" "):
-            if pieces and (not pieces[-1] or pieces[-1][-1].isspace()):
-                pieces[-1] += " " + piece
-            else:
-                pieces.append(piece)
-        return pieces
+        for known in (self.heads, self.inner, self.marks):
+            if len(known) > CACHE_PIECES:
+                known.clear()
+        out = []
+        for text in texts:
+            pieces = cut(text)
+            out.append(self.heads[pieces.pop(0)] + b"".join(map(self.inner.__getitem__, pieces)))
+        return out
+
+
+def cut(text: str) -> list[str]:
+    """Pieces cut at spaces that follow no white space, without these spaces."""
+    if not any(pair in text for pair in SPACE_AFTER_SPACE) and (text.isascii() or not OTHER_SPACE.search(text)):
+        return text.split(" ")
+    pieces: list[str] = []
+    for piece in text.split(" "):
+        if pieces and (not pieces[-1] or pieces[-1][-1].isspace()):
+            pieces[-1] += " " + piece
+        else:
+            pieces.append(piece)
+    return pieces
 
 
 def build_shard(ids: np.ndarray | None, counts: np.ndarray, tokens: np.ndarray) -> bytes:
