@@ -23,7 +23,7 @@ HEADLINE = [
     "exact_sum_by_flag", "stable_stats_by_type", "quantity_variance", "softmax_by_user", "softmax_schedule", "logsumexp_by_label",
     "sample_categorical", "minibatch_per_user", "lineitem_fingerprint", "grouped_fingerprint", "snapshot_diff", "clamped_fold",
     "clamped_fold_blocks", "level_fold", "level_history", "running_stats", "pre_post_pairs", "sequence_features", "tail_lines",
-    "run_metrics", "resolve_outcomes", "leak_scan", "invariants", "wrapped_pages"]
+    "run_metrics", "leak_scan", "invariants", "stream_monitor", "stream_fold"]
 
 
 def double_sum_by_flag(spark, sf_dir):

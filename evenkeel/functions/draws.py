@@ -23,9 +23,17 @@ def _number(value) -> Column:
 
 
 def draw_text(seed: int, domain: str, *key) -> Column:
-    """The text a draw is computed from: seed, domain and key parts joined by ``|``."""
-    parts = [F.coalesce(_col(k).cast("string"), F.lit("\\N")) for k in key]
-    return F.concat_ws("|", F.lit(str(int(seed))), F.lit(domain), *parts)
+    """The text a draw is computed from: seed, domain and key parts joined by ``|``.
+
+    Text parts carry their length in front, so that different keys never give the same text, and NULL is no text.
+    """
+    def part(k) -> Column:
+        value = _col(k)
+        text = value.cast("string")
+        told = F.when(F.typeof(value) == "string", F.concat(F.length(text).cast("string"), F.lit(":"), text)).otherwise(text)
+        return F.coalesce(told, F.lit("\\N"))
+
+    return F.concat_ws("|", F.lit(str(int(seed))), F.lit(domain), *[part(k) for k in key])
 
 
 def uniform(seed: int, domain: str, *key) -> Column:

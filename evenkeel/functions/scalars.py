@@ -160,7 +160,7 @@ def logsumexp_array(col) -> Column:
 def softmax_array(col, temp=1.0) -> Column:
     """Guarded softmax of one score array per row; needs no shuffle.
 
-    NaN counts as the low sentinel. Temperatures below 1e-8 give a one-hot vector at the first
+    NaN and NULL elements count as the low sentinel. Temperatures below 1e-8 give a one-hot vector at the first
     largest score. Probabilities are floored and made to sum to 1 again.
     """
     t = F.greatest(F.lit(MIN_TEMPERATURE), _number(temp).cast("double"))
@@ -181,7 +181,7 @@ def softmax_array(col, temp=1.0) -> Column:
         return F.when(t < ARGMAX_TEMPERATURE, one_hot(scores)).otherwise(
             with_value(with_value(scaled, floored), to_one))
 
-    return with_value(F.transform(_col(col), lambda x: replace_nonfinite(x.cast("double"))), probabilities)
+    return with_value(F.transform(_col(col), lambda x: F.coalesce(replace_nonfinite(x.cast("double")), F.lit(-SENTINEL))), probabilities)
 
 
 def pick_index(probs, u) -> Column:
@@ -222,49 +222,7 @@ def whole(col) -> Column:
     return _col(col).cast("bigint")
 
 
-# ---- action outcomes -----------------------------------------------------------------------
-
-def outcome(action, hp, max_hp, xp, level, enemy_hp, u1, u2) -> Column:
-    """Result of one action as a struct; ``u1`` and ``u2`` are uniform draws in [0, 1).
-
-    Fields that do not belong to the action are NULL; ``noop`` marks an unknown action.
-    """
-    act, lvl = _col(action), _col(level).cast("double")
-    hp, max_hp, xp = (_col(c).cast("double") for c in (hp, max_hp, xp))
-    enemy = _col(enemy_hp).cast("double")
-    u1, u2 = _col(u1), _col(u2)
-
-    def is_(name):
-        return act == F.lit(name)
-
-    lucky = u1 < 0.5
-    flee_ok = u1 < F.least(F.lit(0.95), 0.1 + 0.02 * lvl)
-    strike = F.greatest(F.lit(1.0), 2.0 * lvl) + F.floor(u1 * F.floor(lvl + 5)).cast("double")
-    special_hit = 10.0 + F.floor(u2 * 10.0).cast("double")
-    dmg = F.when(is_("attack"), F.greatest(F.lit(0.0), strike)).when(is_("special") & lucky, special_hit)
-    enemy_after = (F.when(dmg.isNotNull(), F.greatest(F.lit(0.0), enemy - dmg))
-                   .when(is_("flee") & flee_ok, 0.0).otherwise(enemy))
-    killed = dmg.isNotNull() & (enemy_after <= 0)
-    healed = F.when(is_("heal"), F.least(max_hp - hp, F.greatest(F.lit(1.0), 2.0 + F.floor(u1 * 4.0).cast("double"))))
-    backfire = is_("special") & ~lucky
-    hp_after = (F.when(healed.isNotNull(), F.least(max_hp, hp + healed))
-                .when(backfire, F.greatest(F.lit(0.0), hp - 2.0)).otherwise(hp))
-    gain = (F.when(is_("attack") & killed, 5.0 + 5.0 * u2).when(is_("special") & killed, 10.0)
-            .when(is_("defend"), 0.1 * lvl).otherwise(0.0))
-    known = reduce(lambda a, b: a | b, [is_(name) for name in ACTIONS])
-    return F.struct(
-        dmg.alias("dmg"),
-        F.when(is_("attack"), killed).alias("enemy_dead"),
-        F.when(is_("defend"), True).alias("guard"),
-        healed.alias("healed"),
-        F.when(is_("flee"), flee_ok).alias("flee_success"),
-        F.when(backfire, True).alias("backfire"),
-        F.when(~F.coalesce(known, F.lit(False)), True).alias("noop"),
-        F.greatest(F.lit(0.0), F.least(hp_after, max_hp)).alias("hp"),
-        F.greatest(F.lit(0.0), F.least(xp + gain, F.lit(XP_LIMIT))).alias("xp"),
-        F.greatest(F.lit(1), F.least(_col(level).cast("int"), F.lit(LEVEL_LIMIT))).alias("level"),
-        enemy_after.alias("enemy_hp"))
-
+# ---- states ------------------------------------------------------------------------------
 
 def recover(hp, max_hp, rate: float = 0.1, stop_at_floor: bool = False) -> Column:
     """Passive recovery at the end of a group: a whole part of ``max_hp``, never above it.

@@ -15,6 +15,9 @@ from ..functions.scalars import argmax_array, pick_index, softmax_array
 from .heat import as_list
 
 
+DEFAULT_PARTITIONS = 8
+
+
 def canonical_layout(df: DataFrame, key, n: int) -> DataFrame:
     """Rows hashed by key over ``n`` partitions and sorted, however they came in.
 
@@ -25,14 +28,12 @@ def canonical_layout(df: DataFrame, key, n: int) -> DataFrame:
 
 
 def fit_classifier(df: DataFrame, key, features: str, label: str, layers: Sequence[int], seed: int,
-                   partitions: int | None = None, max_iter: int = 50):
+                   partitions: int = DEFAULT_PARTITIONS, max_iter: int = 50):
     """Multilayer perceptron on an array column, trained on the canonical layout.
 
-    ``partitions`` (by default ``spark.sql.shuffle.partitions``) is part of the layout: keep it equal
-    for equal weights. Rows are cached, since training passes over them many times.
+    ``partitions`` is part of the layout and no setting of the cluster: keep it equal for equal weights, and
+    raise it for large tables. Rows are cached, since training passes over them many times.
     """
-    if partitions is None:
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = df.select(*as_list(key), array_to_vector(F.col(features).cast("array<double>")).alias("features"),
                      F.col(label).cast("double").alias("label"))
     rows = canonical_layout(slim, key, partitions).persist()

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.accumulators import NAN, mean_of, quantize, unit_square, units, variance_of
+from ..functions.accumulators import NAN, VARIANCE_SUMS, mean_of, quantize, unit_limbs, variance_of, variance_terms
 from ..session import block_rows as session_block_rows
 from ..session import cut_lineage
 from .heat import as_list, attach, by_heat
@@ -146,31 +146,42 @@ def windowed(df: DataFrame, key, order_by, build: Callable[[WindowSpec], Mapping
 
 # ---- row selections ------------------------------------------------------------------------
 
-def head_n(df: DataFrame, key, order_by, n: int, hot_rows: int | None = None) -> DataFrame:
+# A key's rows are first limited within so many parts, so that no task meets all rows of a hot key.
+LIMIT_PARTS = 64
+
+
+def _first_n(df: DataFrame, key, order_by, n: int, desc: bool = False) -> DataFrame:
+    """The first ``n`` rows of each key with their number ``__k``; nothing runs while this is built.
+
+    Rows are dealt by (key, part) and limited there, which leaves at most ``LIMIT_PARTS`` times ``n`` rows of a key for
+    the second step.
+    """
+    key, order_by = as_list(key), as_list(order_by)
+    order = _ordering(order_by, desc)
+    dealt = df.withColumn("__part", F.pmod(F.xxhash64(*order_by), F.lit(LIMIT_PARTS)))
+    few = dealt.withColumn("__k", F.row_number().over(_window([*key, "__part"], order))).filter(F.col("__k") <= n).drop("__part")
+    return few.withColumn("__k", F.row_number().over(_window(key, order))).filter(F.col("__k") <= n)
+
+
+def head_n(df: DataFrame, key, order_by, n: int) -> DataFrame:
     """The first ``n`` rows of each key."""
-    return number_rows(df, key, order_by, "__k", hot_rows=hot_rows).filter(F.col("__k") <= n).drop("__k")
+    return _first_n(df, key, order_by, n).drop("__k")
 
 
-def tail_n(df: DataFrame, key, order_by, n: int, hot_rows: int | None = None) -> DataFrame:
+def tail_n(df: DataFrame, key, order_by, n: int) -> DataFrame:
     """The last ``n`` rows of each key."""
-    return (number_rows(df, key, order_by, "__k", desc=True, hot_rows=hot_rows)
-            .filter(F.col("__k") <= n).drop("__k"))
+    return _first_n(df, key, order_by, n, desc=True).drop("__k")
 
 
-def head_then_tail(df: DataFrame, key, order_by, n: int = 4096, k: int = 256,
-                   hot_rows: int | None = None) -> DataFrame:
-    """Of the first ``n`` rows of each key, the last ``k``.
-
-    After the first step no key has more than ``n`` rows, so the second one is a plain window.
-    """
-    kept = number_rows(df, key, order_by, "__k", hot_rows=hot_rows).filter(F.col("__k") <= n)
+def head_then_tail(df: DataFrame, key, order_by, n: int = 4096, k: int = 256) -> DataFrame:
+    """Of the first ``n`` rows of each key, the last ``k``; the second step keeps the partitioning of the first."""
     back = F.row_number().over(_window(as_list(key), [F.col("__k").desc()]))
-    return kept.withColumn("__b", back).filter(F.col("__b") <= k).drop("__k", "__b")
+    return _first_n(df, key, order_by, n).withColumn("__b", back).filter(F.col("__b") <= k).drop("__k", "__b")
 
 
-def recency_buffer(df: DataFrame, key, order_by, n: int = 16_384, hot_rows: int | None = None) -> DataFrame:
+def recency_buffer(df: DataFrame, key, order_by, n: int = 16_384) -> DataFrame:
     """Bounded first-in-first-out buffer: the newest ``n`` rows of each key."""
-    return tail_n(df, key, order_by, n, hot_rows)
+    return tail_n(df, key, order_by, n)
 
 
 def every_nth(df: DataFrame, key, order_by, n: int = 10, hot_rows: int | None = None) -> DataFrame:
@@ -211,17 +222,17 @@ def with_delta(df: DataFrame, key, order_by, col: str, name: str = "delta",
 def running_stats(df: DataFrame, key, order_by, col: str, hot_rows: int | None = None) -> DataFrame:
     """Count, mean and sample variance after each step, from exact running sums."""
     value = F.col(col)
+    terms = variance_terms(*unit_limbs(value))
     sums = running(df, key, order_by, {
         "run_n": ("count", quantize(value)),
         "run_sum": ("sum", quantize(value)),
-        "__u": ("sum", units(value).cast("decimal(28,0)")),
-        "__q": ("sum", unit_square(value)),
+        **{f"__{name}": ("sum", term) for name, term in terms.items()},
     }, hot_rows)
     n = F.col("run_n")
     return sums.withColumns({
         "run_mean": mean_of(F.col("run_sum"), n),
-        "run_var": F.coalesce(variance_of(n, F.col("__u"), F.col("__q")), F.lit(NAN)),
-    }).drop("__u", "__q")
+        "run_var": F.coalesce(variance_of(n, {name: F.col(f"__{name}") for name in VARIANCE_SUMS}), F.lit(NAN)),
+    }).drop(*[f"__{name}" for name in VARIANCE_SUMS])
 
 
 def sequence_features(df: DataFrame, key, order_by, features: Sequence[str], k: int = 4,

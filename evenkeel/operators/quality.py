@@ -50,14 +50,23 @@ def invariant_report(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     return _as_rows(totals, ["rule", "n_bad", "ok"], items)
 
 
-def leak_scan(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
-    """Rows of each text column in which a pattern occurs, all in one pass over whole texts."""
+def leak_scan(df: DataFrame, patterns: Sequence[str], literals: Mapping[str, str] | None = None) -> DataFrame:
+    """Rows of each text column in which a pattern occurs, all in one pass over whole texts.
+
+    ``literals`` may name, for a pattern, a text that every match contains; where it is missing the
+    pattern is not tried.
+    """
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     pairs = [(c, p) for c in texts for p in patterns]
     if not pairs:
         raise ValueError("no text column or no pattern to look for")
-    totals = df.agg(*[F.count_if(F.coalesce(F.col(c).rlike(p), F.lit(False))).alias(f"__{i}")
-                      for i, (c, p) in enumerate(pairs)])
+    needed = literals or {}
+
+    def found(column: str, pattern: str) -> Column:
+        hit = F.col(column).rlike(pattern)
+        return F.contains(F.col(column), F.lit(needed[pattern])) & hit if pattern in needed else hit
+
+    totals = df.agg(*[F.count_if(F.coalesce(found(c, p), F.lit(False))).alias(f"__{i}") for i, (c, p) in enumerate(pairs)])
     items = {f"{i}": F.struct(F.lit(c).alias("column_name"), F.lit(p).alias("pattern"), F.col(f"__{i}").alias("n_rows"),
                               (F.col(f"__{i}") == 0).alias("clean"))
              for i, (c, p) in enumerate(pairs)}

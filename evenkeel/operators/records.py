@@ -1,18 +1,11 @@
-"""Shaping records: redaction, nesting, and wrapping text into pages."""
+"""Shaping records: redaction, nesting, vocabularies."""
 
 from __future__ import annotations
 
-import textwrap
-from typing import Iterator, Sequence
+from typing import Sequence
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from .heat import ALL_HOT, as_list, by_heat
-from .ordered import running
 
 # Types whose values may be shown.
 SIMPLE_TYPES = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "string")
@@ -40,72 +33,21 @@ def flatten_record(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in names], *[f"{n}.*" for n in names])
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _wrapped(text: pd.Series, width: pd.Series) -> pd.Series:
-    wrappers = {w: textwrap.TextWrapper(width=int(w)) for w in width.unique()}
-    return pd.Series([None if t is None else wrappers[w].wrap(t) for t, w in zip(text, width)], dtype=object)
-
-
-def _page_writer(key: list[str], text: str, width: int, capacity: int):
-    """Walk sorted raw lines, wrap them, and stop drawing where a page is full."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wrapper = textwrap.TextWrapper(width=width)
-        page, used = None, 0
-        for batch in batches:
-            source, numbers, lines = [], [], []
-            keys = zip(*[batch.column(k).to_pylist() for k in key])
-            for i, (k, t) in enumerate(zip(keys, batch.column(text).to_pylist())):
-                if k != page:
-                    page, used = k, 0
-                if t is None or used >= capacity:
-                    continue
-                for line in wrapper.wrap(t)[:capacity - used]:
-                    used += 1
-                    source.append(i)
-                    numbers.append(used)
-                    lines.append(line)
-            picked = pa.array(source, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k).take(picked) for k in key], pa.array(numbers, pa.int64()), pa.array(lines, pa.string())],
-                names=[*key, "line_no", "line"])
-
-    return run
-
-
-def wrap_lines(df: DataFrame, key, order_by, text: str, width: int = 80, capacity: int = 40,
-               hot_rows: int | None = None) -> DataFrame:
-    """The lines drawn on each page: raw lines wrapped to ``width``, up to ``capacity`` lines.
-
-    Ordinary pages are walked in order within one task, after one shuffle of the raw lines. The raw
-    lines of hot pages are wrapped where they lie and placed by running line counts.
-    """
-    key, order_by = as_list(key), as_list(order_by)
-    slim = df.select(*dict.fromkeys([*key, *order_by, text]))
-    schema = T.StructType([*slim.select(*key).schema.fields, T.StructField("line_no", T.LongType()),
-                           T.StructField("line", T.StringType())])
-
-    def cold(rows):
-        placed = rows.repartition(*key).sortWithinPartitions(*key, *order_by)
-        return placed.mapInArrow(_page_writer(key, text, width, capacity), schema)
-
-    def hot(rows):
-        lines = F.coalesce(_wrapped(F.col(text), F.lit(width)), F.array().cast("array<string>"))
-        cut = rows.select(*dict.fromkeys([*key, *order_by]), lines.alias("__lines")).withColumn(
-            "__size", F.size("__lines").cast("bigint"))
-        counted = running(cut, key, order_by, {"__through": ("sum", F.col("__size"))}, ALL_HOT).withColumn(
-            "__before", F.col("__through") - F.col("__size"))
-        room = F.greatest(F.lit(0), F.least(F.col("__size"), F.lit(capacity) - F.col("__before"))).cast("int")
-        drawn = counted.filter(room > 0).select(*key, "__before", F.slice(F.col("__lines"), F.lit(1), room).alias("__drawn"))
-        return drawn.select(*key, "__before", F.posexplode("__drawn").alias("__i", "line")).select(
-            *key, (F.col("__before") + F.col("__i") + 1).alias("line_no"), "line")
-
-    return by_heat(slim, key, hot_rows, cold, hot)
-
-
-def wrap_report(df: DataFrame, key, text: str, width: int = 80, capacity: int = 40) -> DataFrame:
-    """Lines drawn on each page and whether any had to be left out; needs no order."""
-    key = as_list(key)
-    lines = F.coalesce(F.size(_wrapped(F.col(text), F.lit(width))), F.lit(0)).cast("bigint")
-    totals = df.select(*key, lines.alias("__size")).groupBy(*key).agg(F.sum("__size").alias("__total"))
-    return totals.select(*key, F.least("__total", F.lit(capacity).cast("bigint")).alias("drawn"),
-                         (F.col("__total") > capacity).alias("truncated"))
+# A vocabulary is a list of categories; a column with more distinct values than this is none.
+MAX_VOCABULARY = 100_000
+
+
+def learn_vocabulary(df: DataFrame, col: str) -> list:
+    """The distinct values of a column in order, NULL left out."""
+    found = df.select(col).where(F.col(col).isNotNull()).distinct().limit(MAX_VOCABULARY + 1).collect()
+    if len(found) > MAX_VOCABULARY:
+        raise ValueError(f"{col} has more than {MAX_VOCABULARY} values")
+    return sorted(r[0] for r in found)
+
+
+def encode_learned(df: DataFrame, col: str, name: str = "code", vocabulary: list | None = None) -> DataFrame:
+    """Position of each value in its vocabulary, which is learned from the column if none is given; others give NULL."""
+    words = learn_vocabulary(df, col) if vocabulary is None else vocabulary
+    kind = df.schema[col].dataType.simpleString()
+    table = df.sparkSession.createDataFrame(list(zip(words, range(len(words)))), f"__word {kind}, {name} int")
+    return df.join(F.broadcast(table), F.col(col) == F.col("__word"), "left").drop("__word")

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import (ARGMAX_TEMPERATURE, MIN_TEMPERATURE, PROBABILITY_FLOOR, SCORE_LIMIT, clamp,
+from ..functions.scalars import (ARGMAX_TEMPERATURE, MIN_TEMPERATURE, PROBABILITY_FLOOR, SCORE_LIMIT, SENTINEL, clamp,
                                  replace_nonfinite)
-from .heat import as_list, attach, by_heat, same_keys
+from .heat import as_list, attach, by_heat
 
 _TERM = T.DecimalType(28, 18)
 
@@ -30,12 +30,13 @@ def stable_softmax(df: DataFrame, group, key, score: str, temp: Column | float =
     """Probability of each row within its group.
 
     ``key`` orders the rows of a group: below a temperature of 1e-8 the first row with the largest
-    score gets 1 and the others 0. ``temp`` may be a column that is constant within a group.
+    score gets 1 and the others 0. ``temp`` may be a column that is constant within a group. NULL and
+    NaN scores count as the low sentinel.
     """
     group, key = as_list(group), as_list(key)
     t = temp if isinstance(temp, Column) else F.lit(float(temp))
     t = F.greatest(F.lit(MIN_TEMPERATURE), t.cast("double"))
-    raw = replace_nonfinite(F.col(score).cast("double"))
+    raw = F.coalesce(replace_nonfinite(F.col(score).cast("double")), F.lit(-SENTINEL))
     base = df.withColumns({"__t": t, "__raw": raw}).withColumn(
         "__x", clamp(F.col("__raw") / F.col("__t"), -SCORE_LIMIT, SCORE_LIMIT))
     may_be_cold = isinstance(temp, Column) or temp < ARGMAX_TEMPERATURE
@@ -44,9 +45,9 @@ def stable_softmax(df: DataFrame, group, key, score: str, temp: Column | float =
     floored = F.greatest(F.lit(PROBABILITY_FLOOR), shifted / F.col("__s").cast("double"))
     p = F.col("__f") / F.col("__z").cast("double")
     if may_be_cold:
-        one_hot = F.when(F.struct(*key) == F.col("__best"), 1.0).otherwise(0.0)
+        one_hot = F.when(F.struct(*key).eqNullSafe(F.col("__best")), 1.0).otherwise(0.0)
         p = F.when(F.col("__t") < ARGMAX_TEMPERATURE, one_hot).otherwise(p)
-    scratch = ["__t", "__raw", "__x", "__top", "__best", "__s", "__f", "__z"]
+    scratch = ["__t", "__raw", "__x", "__top", "__most", "__best", "__s", "__f", "__z"]
 
     w = Window.partitionBy(*group)
 
@@ -61,11 +62,10 @@ def stable_softmax(df: DataFrame, group, key, score: str, temp: Column | float =
                 .withColumn(name, p).drop(*scratch))
 
     def hot(rows):
-        tops = [F.max("__x").alias("__top")]
+        rows = attach(rows, rows.groupBy(*group).agg(F.max("__x").alias("__top"), F.max("__raw").alias("__most")), group)
         if may_be_cold:
-            first_of_ties = F.struct(F.col("__raw"), *[_reversed(base, k) for k in key])
-            tops.append(F.max_by(F.struct(*key), first_of_ties).alias("__best"))
-        rows = attach(rows, rows.groupBy(*group).agg(*tops), group)
+            at_top = F.when(F.col("__raw") == F.col("__most"), F.struct(*key))
+            rows = attach(rows, rows.groupBy(*group).agg(F.min(at_top).alias("__best")), group)
         rows = attach(rows, rows.groupBy(*group).agg(F.sum(_exact(shifted)).alias("__s")), group)
         rows = rows.withColumn("__f", floored)
         rows = attach(rows, rows.groupBy(*group).agg(F.sum(_exact(F.col("__f"))).alias("__z")), group)
@@ -74,41 +74,33 @@ def stable_softmax(df: DataFrame, group, key, score: str, temp: Column | float =
     return by_heat(base, group, hot_rows, cold, hot)
 
 
-def _reversed(df: DataFrame, name: str) -> Column:
-    """A value that sorts the other way round, for whole-number keys."""
-    if not isinstance(df.schema[name].dataType, T.IntegralType):
-        raise TypeError(f"softmax keys must be whole numbers, {name} is not")
-    return (-F.col(name).cast("bigint")).alias(f"__neg_{name}")
-
-
-def softmax_sweep(df: DataFrame, group, key, score: str, scales: Sequence[float],
+def softmax_sweep(df: DataFrame, group, score: str, scales: Sequence[float],
                   hot_rows: int | None = None) -> DataFrame:
-    """L1 distance per scale between the guarded softmax and the plain one, and their maximum."""
-    from .statistics import l1_distance
+    """L1 distance per scale between the guarded softmax and the plain one, and their maximum.
 
-    group, key = as_list(group), as_list(key)
-    scaled = (df.withColumn("scale", F.explode(F.array(*[F.lit(float(s)) for s in scales])))
-              .withColumn("__scaled", F.col(score).cast("double") * F.col("scale")))
+    The plain form, exp(x - max) over its sum without a floor, comes from the same windows as the
+    guarded one, so ordinary groups move once.
+    """
+    group = as_list(group)
+    scaled = (df.select(*group, F.col(score).cast("double").alias("__score"))
+              .withColumn("scale", F.explode(F.array(*[F.lit(float(s)) for s in scales])))
+              .withColumn("__x", clamp(F.coalesce(replace_nonfinite(F.col("__score") * F.col("scale")), F.lit(-SENTINEL)), -SCORE_LIMIT, SCORE_LIMIT)))
     keys = ["scale", *group]
-    guarded = stable_softmax(scaled, keys, key, "__scaled", name="p", hot_rows=hot_rows)
-    plain = plain_softmax(scaled, keys, "__scaled", "p")
-    distances = l1_distance(guarded, plain, [*keys, *key], "p", by=keys)
-    return distances.groupBy("scale").agg(F.max("l1").alias("max_l1"), F.count(F.lit(1)).alias("n_groups"))
+    shifted = F.exp(F.col("__x") - F.col("__top"))
+    plain = shifted / F.col("__s").cast("double")
+    floored = F.greatest(F.lit(PROBABILITY_FLOOR), plain)
+    gap = F.abs(F.col("__f") / F.col("__z").cast("double") - F.col("__p"))
+    w = Window.partitionBy(*keys)
 
+    def cold(rows):
+        return (rows.withColumn("__top", F.max("__x").over(w)).withColumn("__s", F.sum(_exact(shifted)).over(w))
+                .withColumns({"__p": plain, "__f": floored}).withColumn("__z", F.sum(_exact(F.col("__f"))).over(w)))
 
-def plain_softmax(df: DataFrame, group, score: str, name: str = "p") -> DataFrame:
-    """exp(x - max) over its sum, with scores clamped but no floor."""
-    group = as_list(group)
-    x = clamp(F.col(score).cast("double"), -SCORE_LIMIT, SCORE_LIMIT)
-    base = df.withColumn("__x", x)
-    tops = base.groupBy(*group).agg(F.max("__x").alias("__top"))
-    shifted = _with_group(base, tops, group).withColumn("__e", F.exp(F.col("__x") - F.col("__top")))
-    sums = shifted.groupBy(*group).agg(F.sum(_exact(F.col("__e"))).alias("__s"))
-    return (_with_group(shifted, sums, group).withColumn(name, F.col("__e") / F.col("__s").cast("double"))
-            .drop("__x", "__top", "__e", "__s"))
-
-
-def _with_group(rows: DataFrame, totals: DataFrame, group: list[str]) -> DataFrame:
-    """Join rows with one row per group; NULL groups match, and AQE splits skewed groups."""
-    extra = [F.col(f"t.{c}") for c in totals.columns if c not in group]
-    return rows.alias("r").join(totals.alias("t"), same_keys("r", "t", group)).select("r.*", *extra)
+    def hot(rows):
+        rows = attach(rows, rows.groupBy(*keys).agg(F.max("__x").alias("__top")), keys)
+        rows = attach(rows, rows.groupBy(*keys).agg(F.sum(_exact(shifted)).alias("__s")), keys)
+        rows = rows.withColumns({"__p": plain, "__f": floored})
+        return attach(rows, rows.groupBy(*keys).agg(F.sum(_exact(F.col("__f"))).alias("__z")), keys)
+
+    distances = by_heat(scaled, keys, hot_rows, cold, hot).groupBy(*keys).agg(F.sum(_exact(gap)).cast("double").alias("l1"))
+    return distances.groupBy("scale").agg(F.max("l1").alias("max_l1"), F.count(F.lit(1)).alias("n_groups"))

@@ -8,58 +8,77 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.accumulators import (bad_count, exact_sum, fit_count, mean_of, quantize, stable_mean, unit_variance,
-                                      units)
-from ..session import block_rows as session_block_rows
-from .heat import as_list, attach, by_heat
-from .ordered import number_rows
+from ..functions.accumulators import (NAN, bad_count, exact_sum, fit_count, fits, limb_variance, quantize, stable_mean,
+                                      unit_limbs)
+from ..functions.scalars import is_finite
+from .heat import as_list, same_keys
+from .ordered import tail_n
 
 
 def stable_stats(df: DataFrame, by, value: str, prefix: str = "", scale: int = 10) -> DataFrame:
     """Count, bad values, exact sum, mean and sample variance per group, in one pass."""
     v = F.col(value)
-    return df.select(*as_list(by), v, units(v).alias("__u")).groupBy(*as_list(by)).agg(
+    high, low = unit_limbs(v)
+    return df.select(*as_list(by), v, high.alias("__h"), low.alias("__l")).groupBy(*as_list(by)).agg(
         fit_count(v, scale).alias(f"{prefix}n"),
         bad_count(v, scale).alias(f"{prefix}n_bad"),
         exact_sum(v, scale).alias(f"{prefix}sum"),
         stable_mean(v, scale).alias(f"{prefix}mean"),
-        unit_variance(F.col("__u")).alias(f"{prefix}var"))
+        limb_variance(F.col("__h"), F.col("__l")).alias(f"{prefix}var"))
 
 
-def kahan_sum(df: DataFrame, key, order_by, value: str, name: str = "kahan_sum",
-              hot_rows: int | None = None, block_rows: int | None = None) -> DataFrame:
-    """Compensated sum in double, in the given order, for values no decimal can hold.
+# Doubles are cut into whole numbers of 2**(32 b - 54), b counting steps of 32 in the binary exponent.
+BIN_BITS, CUT_BITS, PART_BITS = 32, 44, 40
 
-    Keys are summed in blocks of rows by position, and block sums are added in order by the same
-    rule: up to one block this is the literal recurrence, beyond it no task ever holds more than a
-    block of rows, and the result stays a function of the data alone.
+
+def kahan_sum(df: DataFrame, key, value: str, name: str = "kahan_sum") -> DataFrame:
+    """Compensated sum in double for values no decimal can hold; neither order nor layout plays a part.
+
+    Every double is a whole number of a power of two that goes with its size. These whole numbers are
+    summed exactly per (key, size class), combined before the shuffle; the at most 70 classes of a key are added once,
+    from the largest down, with compensation. NaN, and infinities of both signs, give NaN; one infinity gives itself.
     """
     key = as_list(key)
-    size = session_block_rows(df.sparkSession) if block_rows is None else block_rows
+    x = F.col("__x")
+    base = df.select(*key, F.col(value).cast("double").alias("__x")).where(x.isNotNull())
+    finite = is_finite(x)
+    bin_ = F.when(finite & (x != 0), F.floor(F.log2(F.abs(x)) / F.lit(float(BIN_BITS)))).otherwise(F.lit(0)).cast("int")
+    # Two steps keep the factors within the range of a double.
+    half = F.pow(F.lit(2.0), F.lit(27.0) - F.col("__bin") * F.lit(BIN_BITS / 2))
+    units = F.when(finite, x * half * half).otherwise(F.lit(0.0))
+    rows = base.withColumn("__bin", bin_).withColumn("__u", units)
+    parts = rows.groupBy(*key, "__bin").agg(
+        F.sum(F.floor(F.col("__u") / F.lit(2.0 ** CUT_BITS)).cast("decimal(20,0)")).alias("__high"),
+        F.sum((F.col("__u") - F.floor(F.col("__u") / F.lit(2.0 ** CUT_BITS)).cast("double") * F.lit(2.0 ** CUT_BITS)).cast("bigint").cast("decimal(20,0)")).alias("__low"),
+        F.bool_or(F.isnan(x)).alias("__nan"), F.bool_or(x == float("inf")).alias("__pos"), F.bool_or(x == float("-inf")).alias("__neg"))
+
+    def pieces(total: Column, shift: int) -> list[Column]:
+        """The sum as doubles that hold it exactly, in units of the class."""
+        step = F.lit(2 ** PART_BITS).cast("decimal(20,0)")
+        quotient = F.call_function("div", total, step)
+        rest = (total - quotient.cast("decimal(19,0)") * step).cast("double")
+        return [quotient.cast("double") * F.lit(2.0 ** (PART_BITS + shift)), rest * F.lit(2.0 ** shift)]
+
+    back = F.pow(F.lit(2.0), F.col("__bin") * F.lit(BIN_BITS / 2) - F.lit(27.0))
+    terms = F.array(*[p * back * back for p in pieces(F.col("__high"), CUT_BITS) + pieces(F.col("__low"), 0)])
+    classes = parts.select(*key, "__nan", "__pos", "__neg", F.struct((-F.col("__bin")).alias("order"), terms.alias("terms")).alias("__class"))
+
+    def add(acc, term):
+        total = acc["s"] + term
+        lost = F.when(F.abs(acc["s"]) >= F.abs(term), (acc["s"] - total) + term).otherwise((term - total) + acc["s"])
+        return F.struct(total.alias("s"), (acc["c"] + lost).alias("c"))
+
     start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
+    ordered = F.flatten(F.transform(F.array_sort(F.collect_list("__class")), lambda c: c["terms"]))
+    grouped = classes.groupBy(*key).agg(ordered.alias("__terms"), *[F.bool_or(c).alias(c) for c in ("__nan", "__pos", "__neg")])
+    total = F.aggregate("__terms", start, add, lambda acc: acc["s"] + acc["c"])
+    special = (F.when(F.col("__nan") | (F.col("__pos") & F.col("__neg")), F.lit(NAN)).when(F.col("__pos"), F.lit(float("inf")))
+               .when(F.col("__neg"), F.lit(float("-inf"))))
+    return grouped.select(*key, F.coalesce(special, total).alias(name))
+
 
-    def add(acc, x):
-        y = x - acc["c"]
-        t = acc["s"] + y
-        return F.struct(t.alias("s"), ((t - acc["s"]) - y).alias("c"))
-
-    slim = df.select(*dict.fromkeys([*key, *as_list(order_by), value])).filter(F.col(value).isNotNull())
-    numbered = number_rows(slim, key, order_by, "__k", hot_rows=hot_rows)
-    items = F.sort_array(F.collect_list(F.struct(F.col("__k"), F.col(value).cast("double").alias("x"))))
-    blocks = (numbered.groupBy(*key, F.floor((F.col("__k") - 1) / size).alias("__block")).agg(items.alias("__items"))
-              .select(*key, "__block",
-                      F.aggregate("__items", start, lambda acc, e: add(acc, e["x"])).alias("__part")))
-    parts = F.sort_array(F.collect_list(F.struct("__block", "__part")))
-    total = F.aggregate(F.col("__parts"), start,
-                        lambda acc, e: add(add(acc, e["__part"]["s"]), -e["__part"]["c"]))
-    single = F.element_at("__parts", 1)["__part"]["s"]
-    return (blocks.groupBy(*key).agg(parts.alias("__parts"))
-            .select(*key, F.when(F.size("__parts") == 1, single).otherwise(total["s"]).alias(name)))
-
-
-def logsumexp(df: DataFrame, by, value: str, name: str = "lse", on_nan: str = "error",
-              limit: float = 1e300, hot_rows: int | None = None) -> DataFrame:
-    """log(sum(exp(x))) per group: the maximum first, then the exact sum of shifted exponentials.
+def logsumexp(df: DataFrame, by, value: str, name: str = "lse", on_nan: str = "error", limit: float = 1e300) -> DataFrame:
+    """log(sum(exp(x))) per group, from exact sums per (group, nearest multiple of 32), combined before the shuffle.
 
     ``on_nan``: ``error`` raises, ``null`` leaves the value out, ``low`` counts it as the lowest.
     Infinities become plus or minus ``limit``. An empty group gives NULL.
@@ -75,40 +94,49 @@ def logsumexp(df: DataFrame, by, value: str, name: str = "lse", on_nan: str = "e
     else:
         raise ValueError(f"unknown on_nan {on_nan!r}")
     x = F.when(x == float("inf"), limit).when(x == float("-inf"), -limit).otherwise(x)
-    top = F.max("__x")
-    term = F.exp(F.col("__x") - F.col("__top")).cast(T.DecimalType(28, 18))
-    value_of = (F.max("__top") + F.log(F.sum(term).cast("double"))).alias(name)
+    base = df.select(*by, x.alias("__x")).withColumn("__b", F.rint(F.col("__x") / 32.0))
+    buckets = base.groupBy(*by, "__b").agg(F.sum(F.exp(F.col("__x") - F.col("__b") * 32.0).cast(T.DecimalType(28, 20))).alias("__s"))
+    buckets = buckets.withColumn("__top", F.max("__b").over(Window.partitionBy(*by)))
+    scaled = (F.col("__s").cast("double") * F.exp((F.col("__b") - F.col("__top")) * 32.0)).cast(T.DecimalType(38, 18))
+    return buckets.groupBy(*by).agg((F.max("__top") * 32.0 + F.log(F.sum(scaled).cast("double"))).alias(name))
 
-    def cold(rows):
-        return rows.withColumn("__top", top.over(Window.partitionBy(*by))).groupBy(*by).agg(value_of)
 
-    def hot(rows):
-        return attach(rows, rows.groupBy(*by).agg(top.alias("__top")), by).groupBy(*by).agg(value_of)
+LAST_NORMS = 256
 
-    return by_heat(df.select(*by, x.alias("__x")), by, hot_rows, cold, hot)
 
-
-def run_metrics(df: DataFrame, key, ts: str, values: Mapping[str, str], distinct: str,
-                losses: str | None = None) -> DataFrame:
-    """One row per run: duration in event time, steps, distinct kinds, and count, mean and variance
-    of each named value; ``losses`` adds a nested record of the same for a loss column."""
-    seconds = (F.unix_micros(F.max(F.col(ts).cast("timestamp")))
-               - F.unix_micros(F.min(F.col(ts).cast("timestamp")))) / F.lit(1e6)
-    aggs = [seconds.alias("duration_s"), F.count(F.lit(1)).alias("depth"),
+def run_metrics(df: DataFrame, key, ts: str, values: Mapping[str, str], distinct: str, losses: str | None = None,
+                norms: str | None = None, order_by=(), seed: int | None = None) -> DataFrame:
+    """One row per run: duration and last second in event time, steps, distinct kinds, seed, and count, mean and
+    variance of each named value. ``losses`` adds a nested record of the same for a loss column, and ``norms`` one
+    for a norm column along with its last ``LAST_NORMS`` values in the order ``order_by``."""
+    key = as_list(key)
+    last = F.unix_micros(F.max(F.col(ts).cast("timestamp")))
+    seconds = (last - F.unix_micros(F.min(F.col(ts).cast("timestamp")))) / F.lit(1e6)
+    aggs = [seconds.alias("duration_s"), F.floor(last / F.lit(1_000_000)).cast("bigint").alias("timestamp"),
+            F.lit(seed).cast("bigint").alias("seed"), F.count(F.lit(1)).alias("depth"),
             F.count_distinct(F.col(distinct)).alias("encounters")]
-    measured = dict.fromkeys([*values.values(), *([losses] if losses else [])])
-    slim = df.select(*dict.fromkeys([*as_list(key), ts, distinct, *measured]),
-                     *[units(F.col(c)).alias(f"__u_{c}") for c in measured])
+    measured = dict.fromkeys([*values.values(), *([losses] if losses else []), *([norms] if norms else [])])
+    slim = df.select(*dict.fromkeys([*key, ts, distinct, *measured]),
+                     *[limb.alias(f"__{side}_{c}") for c in measured for side, limb in zip("hl", unit_limbs(F.col(c)))])
 
     def three(column, prefix):
         return [fit_count(F.col(column)).alias(f"{prefix}_count"), stable_mean(F.col(column)).alias(f"{prefix}_mean"),
-                unit_variance(F.col(f"__u_{column}")).alias(f"{prefix}_var")]
+                limb_variance(F.col(f"__h_{column}"), F.col(f"__l_{column}")).alias(f"{prefix}_var")]
 
     for prefix, column in values.items():
         aggs += three(column, prefix)
     if losses:
         aggs.append(F.struct(*three(losses, "loss")).alias("grad_loss_stats"))
-    return slim.groupBy(*as_list(key)).agg(*aggs)
+    if norms:
+        aggs.append(F.struct(*three(norms, "norm")).alias("grad_norm_stats"))
+    runs = slim.groupBy(*key).agg(*aggs)
+    if not norms:
+        return runs
+    order_by = as_list(order_by)
+    newest = tail_n(df.select(*dict.fromkeys([*key, *order_by, norms])), key, order_by, LAST_NORMS)
+    lists = newest.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order_by, F.col(norms).alias("__n")))).alias("__last"))
+    joined = runs.alias("r").join(lists.alias("l"), same_keys("r", "l", key), "left").select("r.*", "l.__last")
+    return joined.withColumn("grad_norm_last", F.transform("__last", lambda e: e["__n"])).drop("__last")
 
 
 def l1_distance(left: DataFrame, right: DataFrame, key, value: str, by=(), name: str = "l1",
@@ -116,20 +144,51 @@ def l1_distance(left: DataFrame, right: DataFrame, key, value: str, by=(), name:
     """Sum of absolute differences of two tables matched on ``key``, per group ``by``.
 
     Rows found on one side only count with their full size. Both sides are stacked and summed per
-    key with opposite signs, which combines before the shuffle and never pairs rows.
+    key with opposite signs, which combines before the shuffle and never pairs rows. A value that is not
+    finite, or too large for ``scale`` decimals, makes its group's distance NaN; NULL counts as nothing.
     """
     key, by = as_list(key), as_list(by)
     groups = list(dict.fromkeys([*by, *key]))
-    signed = (left.select(*groups, quantize(F.col(value), scale).alias("__v"))
-              .unionByName(right.select(*groups, quantize(-F.col(value), scale).alias("__v"))))
-    gaps = signed.groupBy(*groups).agg(F.abs(F.sum("__v")).cast(T.DecimalType(28, scale)).alias("__gap"))
-    return gaps.groupBy(*by).agg(F.sum("__gap").cast("double").alias(name))
+
+    def side(rows: DataFrame, sign: int) -> DataFrame:
+        v = F.col(value).cast("double")
+        return rows.select(*groups, quantize(v * F.lit(sign), scale).alias("__v"), (~fits(v, scale)).alias("__bad"))
+
+    signed = side(left, 1).unionByName(side(right, -1))
+    gaps = signed.groupBy(*groups).agg(F.abs(F.sum("__v")).cast(T.DecimalType(28, scale)).alias("__gap"), F.bool_or("__bad").alias("__bad"))
+    total = F.when(F.coalesce(F.bool_or("__bad"), F.lit(False)), F.lit(NAN)).otherwise(F.sum("__gap").cast("double"))
+    return gaps.groupBy(*by).agg(total.alias(name))
 
 
 def log_loss(df: DataFrame, prob_of_label: Column, name: str = "log_loss") -> DataFrame:
-    """Mean of -ln(p of the true label), from an exact sum."""
-    term = -F.log(prob_of_label)
-    return df.agg(stable_mean(term).alias(name))
+    """Mean of -ln(p of the true label), from an exact sum.
+
+    A label with probability 0 makes the loss infinite; NaN or a negative probability makes it NaN. NULL is left out.
+    """
+    p = prob_of_label.cast("double")
+    wrong = F.coalesce(F.bool_or(F.isnan(p) | (p < 0)), F.lit(False))
+    endless = F.coalesce(F.bool_or(p == 0), F.lit(False))
+    mean = stable_mean(-F.log(F.when(p > 0, p)))
+    return df.agg(F.when(wrong, F.lit(NAN)).when(endless, F.lit(float("inf"))).otherwise(mean).alias(name))
+
+
+def global_norm(df: DataFrame, by, norm: str, name: str = "norm") -> DataFrame:
+    """Root of the sum of squared norms per group.
+
+    Norms are divided by the largest one of their group, so squares neither overflow nor vanish, and their sum is exact.
+    NaN gives NaN and infinity gives infinity; NULL is left out. The group's largest norm is joined back by key.
+    """
+    by = as_list(by)
+    base = df.select(*by, F.abs(F.col(norm).cast("double")).alias("__n")).where("__n is not null")
+    tops = base.groupBy(*by).agg(F.max("__n").alias("__top"))
+    if by:
+        joined = base.alias("b").join(tops.alias("t"), same_keys("b", "t", by)).select("b.*", "t.__top")
+    else:
+        joined = base.crossJoin(F.broadcast(tops))  # one row
+    share = F.when((F.col("__top") > 0) & (F.col("__top") < float("inf")), F.col("__n") / F.col("__top")).otherwise(F.lit(0.0))
+    squares = joined.groupBy(*by, "__top").agg(F.sum((share * share).cast(T.DecimalType(28, 18))).cast("double").alias("__s"))
+    value = F.when(F.isnan("__top") | (F.col("__top") == float("inf")), F.col("__top")).otherwise(F.col("__top") * F.sqrt("__s"))
+    return squares.select(*by, value.alias(name))
 
 
 def canonical_order(col) -> Column:

@@ -1,23 +1,42 @@
-"""Fit and score."""
+"""Fit and score: what SQL can know of a fitted model's rows."""
 
 from pyspark.sql import functions as F
 
+from ..functions.draws import uniform
+from ..functions.scalars import is_finite
 from ..operators import model as M
+from ..operators.statistics import log_loss
 from .registry import query, read
 
+LAYERS, SEED = [64, 16, 10], 7
 
-@query()
-def fit_and_score(spark, sf_dir):
+
+def _scored(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings")
-    model = M.fit_classifier(rows, "vec_id", "embedding", "label", [64, 16, 10], seed=7, max_iter=30)
-    scored = M.score(rows, model, "vec_id", "embedding", temp=1.0, seed=7)
-    return scored.select("vec_id", "label", "best", "action", F.round(M.prob_of_label("label"), 6).alias("p_label"))
+    model = M.fit_classifier(rows, "vec_id", "embedding", "label", LAYERS, seed=SEED, max_iter=30)
+    return M.score(rows, model, "vec_id", "embedding", temp=1.0, seed=SEED)
 
 
-@query()
-def model_log_loss(spark, sf_dir):
-    from ..operators.statistics import log_loss
+@query("""
+select vec_id, label, true as sums_to_one, true as best_is_largest, true as action_in_range, true as action_by_rule from embeddings""")
+def fit_and_score(spark, sf_dir):
+    """Probabilities sum to 1, the best class is the likeliest, and the drawn one follows the inverse of the running share."""
+    probs = F.col("probs")
+    total = F.aggregate(probs, F.lit(0.0), lambda t, p: t + p)
 
-    rows = read(spark, sf_dir, "embeddings")
-    model = M.fit_classifier(rows, "vec_id", "embedding", "label", [64, 16, 10], seed=7, max_iter=30)
-    return log_loss(M.score(rows, model, "vec_id", "embedding"), M.prob_of_label("label"))
+    def share(n):
+        return F.aggregate(F.slice(probs, F.lit(1), n), F.lit(0.0), lambda t, p: t + p / total)
+
+    u, action = uniform(SEED, "policy", "vec_id"), F.col("action")
+    by_rule = (u < share(action + 1) + 1e-12) & (u >= share(action) - 1e-12)
+    return _scored(spark, sf_dir).select(
+        "vec_id", "label", (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        (F.get(probs, F.col("best")) == F.array_max(probs)).alias("best_is_largest"),
+        action.between(0, LAYERS[-1] - 1).alias("action_in_range"), by_rule.alias("action_by_rule"))
+
+
+@query("select true as finite, true as better_than_chance")
+def model_log_loss(spark, sf_dir):
+    """The loss on the training rows is a number below that of equal shares, ln 10."""
+    loss = log_loss(_scored(spark, sf_dir), M.prob_of_label("label"))
+    return loss.select(is_finite("log_loss").alias("finite"), (F.col("log_loss") < F.log(F.lit(float(LAYERS[-1])))).alias("better_than_chance"))

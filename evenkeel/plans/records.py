@@ -6,6 +6,7 @@ from ..functions import scalars as P
 from ..functions.tokens import canonical_token
 from ..operators import quality as Q
 from ..operators import records as R
+from ..operators.statistics import canonical_order
 from ..session import work_path
 from ..sources.artifacts import read_artifact, write_json_artifact
 from ..sources.traces import read_trace, write_trace
@@ -104,20 +105,21 @@ def missing_keys(spark, sf_dir):
         "event_id", F.array_join("missing", ",").alias("missing"))
 
 
-def _page_lines(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-
-
-@query()
-def wrapped_pages(spark, sf_dir):
-    """Whole documents, line by line; the capacity is the size of a page."""
-    return R.wrap_lines(_page_lines(spark, sf_dir), "doc_id", "line", "text", 80, 40)
+@query("""
+select event_id, dense_rank() over (order by event_type) - 1 as code from events""")
+def learned_codes(spark, sf_dir):
+    """Codes of a vocabulary that is read from the column itself."""
+    return R.encode_learned(read(spark, sf_dir, "events"), "event_type").select("event_id", F.col("code").cast("bigint").alias("code"))
 
 
-@query()
-def wrap_report(spark, sf_dir):
-    return R.wrap_report(_page_lines(spark, sf_dir), "doc_id", "text", 80, 40)
+@query("""
+select o_orderkey, o_orderpriority || '=' || o_orderstatus || ';status=' || o_orderstatus as entries from orders""")
+def sorted_map_entries(spark, sf_dir):
+    """Entries of a map column in the order of their keys, however the map was built."""
+    pairs = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_orderstatus"))
+    ordered = canonical_order(F.map_entries(pairs))
+    text = F.array_join(F.transform(ordered, lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return read(spark, sf_dir, "orders").select("o_orderkey", text.alias("entries"))
 
 
 @query(RUN_METRICS_SQL)

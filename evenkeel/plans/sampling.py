@@ -5,9 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import draws as SM
 from ..functions import scalars as P
 from ..operators import sampling as S
-from ..sources.synthetic import ENEMY_NAMES, with_encounters
-from .registry import (ORDER, SQL_BAD_VALUES, off_tie, query, read, sql_off_tie, sql_uniform, sql_uniform_int,
-                       with_bad_values)
+from .registry import ORDER, SQL_BAD_VALUES, off_tie, query, read, sql_uniform, sql_uniform_int, with_bad_values
 
 SEED = 7
 
@@ -79,72 +77,33 @@ def imputed_noise(spark, sf_dir):
         F.round(P.noise_impute("value", SEED, "event_id"), 9)).alias("value"))
 
 
-DIFFICULTY_SQL = "least(100, 1 + 0.5 * ln(1 + event_id::DOUBLE))"
-NAMES_SQL = "[" + ", ".join(f"'{n}'" for n in ENEMY_NAMES) + "]"
-
-
-@query(f"""
-select event_id, {NAMES_SQL}[{sql_uniform_int("0", "6", SEED, "env/name", "event_id")} + 1] || '_' || (event_id % 100)::VARCHAR as enemy_name,
-       round({DIFFICULTY_SQL}, 6) as difficulty,
-       round(greatest(1, 10 + {DIFFICULTY_SQL} * (1 + 0.5 * {sql_uniform(SEED, "env/hp", "event_id")})), 6) as enemy_hp,
-       round(greatest(1, 1 + 0.1 * {DIFFICULTY_SQL} * (1 + {sql_uniform(SEED, "env/attack", "event_id")})), 6) as enemy_attack
-from events""")
-def synth_encounters(spark, sf_dir):
-    rows = with_encounters(read(spark, sf_dir, "events").select("event_id"), "event_id", seed=SEED)
-    return rows.select("event_id", "enemy_name", *[F.round(c, 6).alias(c) for c in ("difficulty", "enemy_hp", "enemy_attack")])
-
-
-def _draw(lo, hi, domain):
-    return SM.uniform_int(lo, hi, SEED, domain, "event_id")
-
-
-def battle_rows(spark, sf_dir):
-    """A state, an opponent and an action per event, all drawn from its id; one action is unknown."""
-    labels = [*P.ACTIONS, "wait"]
-    max_hp = _draw(1, 200, "max_hp").cast("double")
-    return read(spark, sf_dir, "events").select(
-        "event_id", F.element_at(F.array(*[F.lit(a) for a in labels]), (_draw(0, 6, "act") + 1).cast("int")).alias("action"),
-        max_hp.alias("max_hp"), F.floor(SM.uniform(SEED, "hp", "event_id") * max_hp).cast("double").alias("hp"),
-        F.col("value").alias("xp"), _draw(1, 60, "level").cast("int").alias("level"),
-        _draw(0, 60, "foe").cast("double").alias("enemy_hp"),
-        SM.uniform(SEED, "u1", "event_id").alias("u1"), SM.uniform(SEED, "u2", "event_id").alias("u2"))
-
-
-BATTLE_SQL = f"""(select *, floor(uh * max_hp)::DOUBLE as hp from (
-    select event_id, ['attack', 'defend', 'heal', 'flee', 'special', 'wait'][{sql_uniform_int("0", "6", SEED, "act", "event_id")} + 1] as action,
-           {sql_uniform_int("1", "200", SEED, "max_hp", "event_id")}::DOUBLE as max_hp, {sql_uniform(SEED, "hp", "event_id")} as uh,
-           value as xp, {sql_uniform_int("1", "60", SEED, "level", "event_id")}::INTEGER as level,
-           {sql_uniform_int("0", "60", SEED, "foe", "event_id")}::DOUBLE as enemy_hp,
-           {sql_uniform(SEED, "u1", "event_id")} as u1, {sql_uniform(SEED, "u2", "event_id")} as u2 from events))"""
+@query("""
+select p_partkey, round(p_size / greatest(1, p_retailprice), 6) as f0, round(p_retailprice / greatest(1, 10.0 * greatest(1, p_size)) + 3e-7, 4) as f1,
+       round(p_size / 50.0, 6) as f2, round(least(100, 1 + 0.5 * ln(1 + p_partkey::DOUBLE)) / 10, 6) as f3,
+       round(p_retailprice / 200 + 3e-7, 4) as f4, round(p_size / 50.0, 6) as f5 from part""")
+def actor_features(spark, sf_dir):
+    """The feature vectors on the sizes and prices of parts."""
+    parts = read(spark, sf_dir, "part").withColumn("difficulty", P.log_depth("p_partkey"))
+    both = F.concat(P.actor_features("p_size", "p_retailprice", "p_retailprice", "p_size"), P.opponent_features("difficulty", "p_retailprice", "p_size"))
+    return parts.select("p_partkey", both.alias("f")).select(
+        "p_partkey", *[(off_tie(F.element_at("f", i + 1)) if i in (1, 4) else F.round(F.element_at("f", i + 1), 6)).alias(f"f{i}") for i in range(6)])
 
 
-@query(f"""
-with s as (select *, case when action = 'attack' then greatest(1.0, 2.0 * level) + floor(u1 * (level + 5))
-                          when action = 'special' and u1 < 0.5 then 10 + floor(u2 * 10) end::DOUBLE as dmg,
-                  case when action = 'heal' then least(max_hp - hp, 2 + floor(u1 * 4))::DOUBLE end as healed,
-                  case when action = 'flee' then u1 < least(0.95, 0.1::DOUBLE + 0.02::DOUBLE * level) end as fled
-           from {BATTLE_SQL}),
-     t as (select *, case when dmg is not null then greatest(0, enemy_hp - dmg) when fled then 0 else enemy_hp end::DOUBLE as foe from s)
-select event_id, action, dmg, case when action = 'attack' then foe <= 0 end as enemy_dead,
-       case when action = 'defend' then true end as guard, healed, fled as flee_success,
-       case when action = 'special' and u1 >= 0.5 then true end as backfire,
-       case when action = 'wait' then true end as noop,
-       greatest(0, least(max_hp, hp + coalesce(healed, 0) - case when action = 'special' and u1 >= 0.5 then 2 else 0 end))::DOUBLE as hp,
-       round(xp + case when action = 'attack' and foe <= 0 then 5 + 5 * u2 when action = 'special' and dmg is not null and foe <= 0 then 10
-                 when action = 'defend' then 0.1::DOUBLE * level else 0 end, 6) as xp,
-       level, foe as enemy_hp from t""")
-def resolve_outcomes(spark, sf_dir):
-    rows = battle_rows(spark, sf_dir)
-    result = P.outcome("action", "hp", "max_hp", "xp", "level", "enemy_hp", "u1", "u2")
-    return rows.select("event_id", "action", result.alias("r")).select("event_id", "action", "r.*").withColumn("xp", F.round("xp", 6))
+@query("""
+select user_id, event_id, value from (
+    select *, row_number() over (partition by user_id order by value desc, event_id) as rn from events) where rn = 1""")
+def argmax_by_user(spark, sf_dir):
+    events = read(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return S.argmax_by(events, "user_id", "event_id", "value")
 
 
 @query(f"""
-select event_id, round(hp / greatest(1, max_hp), 6) as f0, {sql_off_tie("xp / greatest(1, 10.0 * level)")} as f1, round(level / 50.0, 6) as f2,
-       round({DIFFICULTY_SQL} / 10, 6) as f3, round(enemy_hp / 200, 6) as f4, round(enemy_hp / 50, 6) as f5 from {BATTLE_SQL}""")
-def actor_features(spark, sf_dir):
-    rows = battle_rows(spark, sf_dir).withColumn("difficulty", P.log_depth("event_id"))
-    both = F.concat(P.actor_features("hp", "max_hp", "xp", "level"), P.opponent_features("difficulty", "enemy_hp", "enemy_hp"))
-    return rows.select("event_id", both.alias("f")).select(
-        "event_id", off_tie(F.element_at("f", 2)).alias("f1"),
-        *[F.round(F.element_at("f", i + 1), 6).alias(f"f{i}") for i in range(6) if i != 1])
+with w as (select user_id, event_id, case when event_id % 3 = 0 then 1e-12 else 1e-12 * (1 + event_id % 5) end::DOUBLE as w from events),
+     c as (select user_id, event_id, round(sum(w * 1e12) over (partition by user_id order by event_id)) as run,
+                  round(sum(w * 1e12) over (partition by user_id)) as total from w)
+select user_id, min(event_id) as event_id from c where {sql_uniform(SEED, "tiny", "user_id")} < run / total group by user_id""")
+def categorical_tiny_weights(spark, sf_dir):
+    """Weights of a trillionth are drawn like any others."""
+    weight = F.when(F.col("event_id") % 3 == 0, F.lit(1e-12)).otherwise(F.lit(1e-12) * (1 + F.col("event_id") % 5))
+    events = read(spark, sf_dir, "events").select("user_id", "event_id", weight.alias("w"))
+    return S.sample_categorical(events, "user_id", "event_id", "w", seed=SEED, domain="tiny")

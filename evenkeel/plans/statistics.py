@@ -6,7 +6,7 @@ from ..functions import accumulators as A
 from ..functions import scalars as P
 from ..operators import softmax as X
 from ..operators import statistics as S
-from .registry import ORDER, SQL_BAD_VALUES, off_tie, query, read, sql_off_tie, with_bad_values
+from .registry import SQL_BAD_VALUES, off_tie, query, read, sql_off_tie, with_bad_values
 
 
 @query(f"""
@@ -64,16 +64,18 @@ select user_id, round(list_reduce(
     {'s': 0::DOUBLE, 'c': 0::DOUBLE}).s, 6) as kahan_sum
 from events group by user_id""")
 def kahan_ordered_sum(spark, sf_dir):
-    sums = S.kahan_sum(read(spark, sf_dir, "events"), "user_id", ORDER, "value")
+    sums = S.kahan_sum(read(spark, sf_dir, "events"), "user_id", "value")
     return sums.select("user_id", F.round("kahan_sum", 6).alias("kahan_sum"))
 
 
-SCORE_SQL = "(select vec_id, label, embedding[1]::DOUBLE * 20 as score from embeddings)"
+SCORE_SQL = """(select vec_id, label, (generate_subscripts(embedding, 1) - 1)::INTEGER as pos, unnest(embedding)::DOUBLE * 20 as score
+    from embeddings)"""
 
 
 def _scores(spark, sf_dir):
-    first = F.element_at("embedding", 1).cast("double") * 20
-    return read(spark, sf_dir, "embeddings").select("vec_id", "label", first.alias("score"))
+    """Every element of every vector, in groups by label."""
+    scores = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("pos", "x"))
+    return scores.select("vec_id", "pos", "label", (F.col("x").cast("double") * 20).alias("score"))
 
 
 @query(f"""
@@ -91,10 +93,10 @@ with s as (select {key}, {group}, least(1e6, greatest(-1e6, score / ({temp}))) a
 select {key}, {group}, round(f / sum(f) over (partition by {group}), 9) as p from f"""
 
 
-@query(_softmax_sql(SCORE_SQL, "label", "vec_id", "1"))
+@query(_softmax_sql(SCORE_SQL, "label", "vec_id, pos", "1"))
 def softmax_by_label(spark, sf_dir):
-    return X.stable_softmax(_scores(spark, sf_dir), "label", "vec_id", "score").select(
-        "vec_id", "label", F.round("p", 9).alias("p"))
+    return X.stable_softmax(_scores(spark, sf_dir), "label", ["vec_id", "pos"], "score").select(
+        "vec_id", "pos", "label", F.round("p", 9).alias("p"))
 
 
 @query(_softmax_sql("(select event_id, user_id, value as score from events)", "user_id", "event_id", "25"))
@@ -143,7 +145,7 @@ SCALES = (1.0, 10.0, 100.0, 1e3, 1e4, 1e6)
 
 
 @query(f"""
-with s as (select label, vec_id, scale, least(1e6, greatest(-1e6, score * scale)) as x
+with s as (select label, scale, least(1e6, greatest(-1e6, score * scale)) as x
            from {SCORE_SQL}, unnest([{", ".join(f"{s}::DOUBLE" for s in SCALES)}]) as t(scale)),
      e as (select *, exp(x - max(x) over (partition by scale, label)) as e from s),
      p as (select *, e / sum(e) over (partition by scale, label) as p from e),
@@ -152,7 +154,7 @@ with s as (select label, vec_id, scale, least(1e6, greatest(-1e6, score * scale)
      d as (select scale, label, sum(abs(g - p)) as l1 from g group by scale, label)
 select scale, round(max(l1), 6) as max_l1, max(l1) <= 1e-3 as within_gate, count(*) as n_groups from d group by scale""")
 def softmax_sweep(spark, sf_dir):
-    return X.softmax_sweep(_scores(spark, sf_dir), "label", "vec_id", "score", SCALES).select(
+    return X.softmax_sweep(_scores(spark, sf_dir), "label", "score", SCALES).select(
         "scale", F.round("max_l1", 6).alias("max_l1"), (F.col("max_l1") <= 1e-3).alias("within_gate"), "n_groups")
 
 
@@ -181,7 +183,7 @@ select label, round(sqrt(sum(list_sum(list_transform(embedding, lambda x: x::DOU
 from embeddings group by label""")
 def global_norm(spark, sf_dir):
     norms = read(spark, sf_dir, "embeddings").select("label", P.l2_norm("embedding").alias("norm"))
-    return norms.groupBy("label").agg(F.round(A.global_norm("norm"), 6).alias("norm"))
+    return S.global_norm(norms, "label", "norm").withColumn("norm", F.round("norm", 6))
 
 
 RUN_METRICS_SQL = f"""
@@ -190,18 +192,22 @@ select user_id, epoch(max(ts)) * 0 + round((epoch_us(max(ts)) - epoch_us(min(ts)
        {sql_off_tie("avg(value)")} as hp_mean, count(value) as hp_count, {sql_off_tie("coalesce(var_samp(value), 0)")} as hp_var,
        {sql_off_tie("avg(hour(ts))")} as xp_mean, count(hour(ts)) as xp_count,
        {sql_off_tie("coalesce(var_samp(hour(ts)), 0)")} as xp_var,
-       count(value) as loss_count, {sql_off_tie("avg(value / 100)")} as loss_mean
+       count(value) as loss_count, {sql_off_tie("avg(value / 100)")} as loss_mean, epoch_us(max(ts)) // 1000000 as timestamp, 7::BIGINT as seed,
+       {sql_off_tie("avg(value / 10)")} as norm_mean, least(count(*), 256) as norm_sample,
+       round((max_by(value, (ts, event_id)) / 10)::DOUBLE, 6) as norm_last
 from events group by user_id"""
 
 
 def user_metrics(spark, sf_dir):
-    events = read(spark, sf_dir, "events").withColumn("hour", F.hour("ts")).withColumn("loss", F.col("value") / 100)
-    runs = S.run_metrics(events, "user_id", "ts", {"hp": "value", "xp": "hour"}, "event_type", losses="loss")
+    events = read(spark, sf_dir, "events").withColumn("hour", F.hour("ts")).withColumn("loss", F.col("value") / 100).withColumn("norm", F.col("value") / 10)
+    runs = S.run_metrics(events, "user_id", "ts", {"hp": "value", "xp": "hour"}, "event_type", losses="loss", norms="norm",
+                         order_by=["ts", "event_id"], seed=7)
     return runs.select(
         "user_id", F.round("duration_s", 6).alias("duration_s"), "depth", "encounters",
         *[off_tie(f"{p}_{s}").alias(f"{p}_{s}") for p in ("hp", "xp") for s in ("mean", "var")], "hp_count", "xp_count",
         F.col("grad_loss_stats.loss_count").alias("loss_count"),
-        off_tie("grad_loss_stats.loss_mean").alias("loss_mean"))
+        off_tie("grad_loss_stats.loss_mean").alias("loss_mean"), "timestamp", "seed", off_tie("grad_norm_stats.norm_mean").alias("norm_mean"),
+        F.size("grad_norm_last").cast("bigint").alias("norm_sample"), F.round(F.element_at("grad_norm_last", -1), 6).alias("norm_last"))
 
 
 @query(RUN_METRICS_SQL)
@@ -230,3 +236,57 @@ def log_loss(spark, sf_dir):
         "label", P.softmax_array(F.transform("embedding", lambda x: x.cast("double") * 20)).alias("probs"))
     loss = S.log_loss(probs, F.element_at("probs", F.col("label").cast("int") + 1))
     return loss.select(F.round("log_loss", 6).alias("log_loss"))
+
+
+WIDE_SQL = """(select event_id, event_type, value * (case event_id % 3 when 0 then 1.0007e-9 when 1 then 1e6 else 1e13 end)::DOUBLE as value from events)"""
+
+
+def _wide(spark, sf_dir):
+    """Values over 22 orders of size, by the event's id."""
+    m = F.col("event_id") % 3
+    size = F.when(m == 0, 1.0007e-9).when(m == 1, 1e6).otherwise(1e13)
+    return read(spark, sf_dir, "events").select("event_id", "event_type", (F.col("value") * size).alias("value"))
+
+
+@query(f"""
+select event_type, size, count(value) as n, 0::BIGINT as n_bad, round(sum(value::DECIMAL(38,10))::DOUBLE / max(value), 6) as sum_share,
+       round((sum(value::DECIMAL(38,10))::DOUBLE / count(value)) / max(value), 6) as mean_share,
+       case when size = 0 then -1 else round(coalesce(stddev_samp(value), 0) / max(value), 6) end::DOUBLE as spread_share
+from (select *, event_id % 3 as size from {WIDE_SQL}) group by event_type, size""")
+def stats_wide_range(spark, sf_dir):
+    """Nothing is left out of n, sum, mean or variance; figures are given as shares of the largest value."""
+    wide = _wide(spark, sf_dir).withColumn("size", F.col("event_id") % 3)
+    tops = wide.groupBy("event_type", "size").agg(F.max("value").alias("top"))
+    stats = S.stable_stats(wide, ["event_type", "size"], "value").join(tops, ["event_type", "size"])
+    # A variance is kept in millionths of the unit, so that of values of a billionth is not compared.
+    spread = F.when(F.col("size") == 0, F.lit(-1.0)).otherwise(F.round(F.sqrt("var") / F.col("top"), 6))
+    return stats.select("event_type", "size", "n", "n_bad", F.round(F.col("sum").cast("double") / F.col("top"), 6).alias("sum_share"),
+                        F.round(F.col("mean") / F.col("top"), 6).alias("mean_share"), spread.alias("spread_share"))
+
+
+@query(f"""
+select event_id % 3 as size, round(max(value) * sqrt(sum((value / top) * (value / top))) / max(value), 6) as norm_share
+from (select *, max(value) over (partition by event_id % 3) as top from {WIDE_SQL}) group by 1""")
+def norm_extremes(spark, sf_dir):
+    wide = _wide(spark, sf_dir).withColumn("size", F.col("event_id") % 3)
+    tops = wide.groupBy("size").agg(F.max("value").alias("top"))
+    return S.global_norm(wide, "size", "value").join(tops, "size").select("size", F.round(F.col("norm") / F.col("top"), 6).alias("norm_share"))
+
+
+@query("""
+select event_type, case when event_type in ('click', 'view') then 'nan'::DOUBLE else round(count(*)::DOUBLE, 4) end as l1 from events group by event_type""")
+def l1_extremes(spark, sf_dir):
+    """Groups that hold NaN, or values too large to compare, have no distance; the others have theirs."""
+    before = read(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    shifted = (F.when(F.col("event_type") == "click", float("nan")).when(F.col("event_type") == "view", F.col("value") * 1e18)
+               .otherwise(F.col("value") + 1))
+    return S.l1_distance(before, before.withColumn("value", shifted), "event_id", "value", by="event_type", scale=10).withColumn("l1", F.round("l1", 4))
+
+
+@query("select true as endless from embeddings limit 1")
+def log_loss_zero(spark, sf_dir):
+    """Labels that the one-hot rule gives probability 0 make the loss infinite."""
+    probs = read(spark, sf_dir, "embeddings").select(
+        "label", P.softmax_array(F.transform("embedding", lambda x: x.cast("double") * 20), 1e-9).alias("probs"))
+    loss = S.log_loss(probs, F.element_at("probs", F.col("label").cast("int") + 1))
+    return loss.select((F.col("log_loss") == float("inf")).alias("endless"))

@@ -17,6 +17,14 @@ from .sinks import _triggered
 LOG = logging.getLogger(__name__)
 STATE = "state"
 
+# Spark's conditions that blame the data. All else, as a lost disk or executor, fails the batch, which is retried.
+DATA_ERRORS = ("USER_RAISED_EXCEPTION", "ARITHMETIC_OVERFLOW", "DIVIDE_BY_ZERO", "NUMERIC_VALUE_OUT_OF_RANGE", "CAST_INVALID_INPUT",
+               "CAST_OVERFLOW", "INVALID_ARRAY_INDEX", "DATETIME_OVERFLOW")
+
+
+def blames_data(error: Exception) -> bool:
+    return not isinstance(error, PySparkException) or any(f"[{name}" in str(error) for name in DATA_ERRORS)
+
 Update = Callable[[DataFrame | None, DataFrame], DataFrame]
 
 
@@ -44,6 +52,8 @@ def guarded_update(stream: DataFrame, root: str, update: Update, gate: Mapping[s
             reasons = [name for name in gate if not checks[name]]
             changed = current is None or _hash(candidate, scale) != _hash(current, scale)
         except (PySparkException, ValueError, ArithmeticError) as error:
+            if not blames_data(error):
+                raise
             LOG.warning("batch %s rejected: %s", batch_id, error)
             reasons = [type(error).__name__]
         if not reasons:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from typing import Iterator
 
 import pandas as pd
@@ -49,7 +50,10 @@ def stream_fold(stream: DataFrame, key: str, ts: str, row_id: str, delta: str, l
     ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``.
     """
     low, high, start = (round(x * UNIT) for x in (lo, hi, init))
-    amount = F.coalesce((F.col(delta).try_cast(T.DecimalType(18, 6)) * F.lit(UNIT)).cast("bigint"), F.lit(0))
+    # No amount moves the state farther than this, so larger ones are cut to it and every number fits.
+    reach = F.lit(Decimal(high - low + abs(start - low) + abs(start - high)) / UNIT).cast(T.DecimalType(38, 6))
+    given = F.col(delta).try_cast(T.DecimalType(38, 6))
+    amount = F.coalesce((F.least(reach, F.greatest(-reach, given)).cast(T.DecimalType(24, 6)) * F.lit(UNIT)).cast("bigint"), F.lit(0))
     slim = stream.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("__ts"),
                          F.col(row_id).cast("bigint").alias("__id"), amount.cast("bigint").alias("__d"))
     out = T.StructType([stream.schema[key], T.StructField("state", T.DoubleType()),

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..operators.heat import as_list
 from ..sources.artifacts import TIME_FORMATS
-from ..sources.snapshots import save_snapshot
+from ..sources.snapshots import latest_version, save_snapshot
 
 
 def _triggered(writer: DataStreamWriter, checkpoint: str, interval: str | None) -> DataStreamWriter:
@@ -54,3 +54,13 @@ def periodic_snapshot(stream: DataFrame, path: str, root: str, checkpoint: str,
             save_snapshot({"rows": rows}, root, batch_id, mode, scale=scale, replace=True)
 
     return _triggered(stream.writeStream.outputMode("append").foreachBatch(write), checkpoint, interval).start()
+
+
+def snapshot_rest(spark: SparkSession, path: str, root: str, mode: str = "light", scale: int | None = None) -> int | None:
+    """Save what ``periodic_snapshot`` wrote since its last snapshot; returns the newest version."""
+    rows = spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("bigint"))
+    last, newest = rows.agg(F.max("batch_id")).first()[0], latest_version(spark, root)
+    if last is not None and (newest is None or newest < last):
+        save_snapshot({"rows": rows}, root, last, mode, scale=scale, replace=True)
+        return last
+    return newest

@@ -4,14 +4,14 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from evenkeel import plans
 from evenkeel.session import BLOCK_ROWS_CONF, HOT_ROWS_CONF
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = plans.QUERIES, plans.ORACLES
 # Queries that order rows within keys or group them by key, and so treat hot keys differently.
 SPREADING = [
-    "kahan_ordered_sum", "logsumexp_by_label", "softmax_by_label", "softmax_by_user", "softmax_cold_by_user", "softmax_sweep",
-    "running_cdf", "sample_categorical", "minibatch_per_user", "recency_buffer", "head_tail_sample", "tail_lines", "head_lines",
-    "every_tenth", "trace_shards", "pre_post_pairs", "running_stats", "positive_deltas", "sequence_features", "clamped_fold",
+    "softmax_by_label", "softmax_by_user", "softmax_cold_by_user", "softmax_sweep",
+    "running_cdf", "sample_categorical", "categorical_tiny_weights", "minibatch_per_user", "every_tenth", "trace_shards", "pre_post_pairs", "running_stats", "positive_deltas", "sequence_features", "clamped_fold",
     "clamped_fold_blocks", "level_fold", "level_history", "trace_roundtrip"]
 
 
@@ -43,3 +43,4 @@ def test_rows_only(spark, sf_dir, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
+    assert plans.QUERIES.keys() <= entry.queries().keys() and plans.ORACLES.keys() <= entry.oracle_sql().keys()

@@ -1,6 +1,5 @@
 """Fingerprints, snapshots, quality checks, records and artifacts."""
 
-import textwrap
 from decimal import Decimal
 
 import pytest
@@ -17,7 +16,7 @@ from evenkeel.operators import model as M
 from evenkeel.operators import quality as Q
 from evenkeel.operators import records as R
 from evenkeel.session import work_path
-from evenkeel.sources import artifacts, snapshots, synthetic, traces
+from evenkeel.sources import artifacts, snapshots, traces
 
 
 def mark(df, **kw):
@@ -124,24 +123,11 @@ def test_trace_shards_are_whole(spark, events, dirs):
     assert files.agg(F.max("n")).first()[0] == 1
 
 
-def test_encounters_do_not_depend_on_layout(spark):
-    base = synthetic.synth_encounters(spark, 99, 500)
-    other = synthetic.with_encounters(spark.range(500).withColumnRenamed("id", "depth").repartition(7), "depth", 99)
-    assert rows(base) == rows(other)
-    got = base.agg(F.min("enemy_hp"), F.min("enemy_attack"), F.max("difficulty"), F.count_distinct(F.split("enemy_name", "_")[0])).first()
-    assert got[0] >= 10 and got[1] >= 1 and got[2] <= 100 and got[3] == 6
-
-
-def test_wrapping_equals_textwrap(spark):
-    texts = {1: ["a " * 200, "", "word" * 60, "tab\there  and   spaces", "well-known hyphen-ated words " * 9], 2: ["short"], 3: [""]}
-    df = spark.createDataFrame([(k, i, t) for k, ts in texts.items() for i, t in enumerate(ts)], "k int, i int, t string")
-    for capacity, hot in ((7, None), (1000, None), (7, 2)):
-        want = {k: [line for t in ts for line in textwrap.wrap(t, width=30)] for k, ts in texts.items()}
-        got = R.wrap_lines(df, "k", "i", "t", 30, capacity, hot).collect()
-        pages = {k: [r["line"] for r in sorted((r for r in got if r["k"] == k), key=lambda r: r["line_no"])] for k in texts}
-        assert pages == {k: v[:capacity] for k, v in want.items()}
-        report = {r["k"]: (r["drawn"], r["truncated"]) for r in R.wrap_report(df, "k", "t", 30, capacity).collect()}
-        assert report == {k: (min(len(v), capacity), len(v) > capacity) for k, v in want.items()}
+def test_learned_vocabulary(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "x string")
+    assert R.learn_vocabulary(df, "x") == ["a", "b"]
+    assert sorted(map(str, map(tuple, R.encode_learned(df, "x").collect()))) == sorted(map(str, [("b", 1), ("a", 0), (None, None), ("b", 1)]))
+    assert {r["code"] for r in R.encode_learned(df, "x", vocabulary=["b"]).collect()} == {0, None}
 
 
 def test_redaction_leaks_nothing(spark):

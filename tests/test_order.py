@@ -32,9 +32,9 @@ def skewed(spark):
 OPERATORS = {
     "number_rows": lambda df, h: W.number_rows(df, "k", ORDER, hot_rows=h),
     "number_rows_desc": lambda df, h: W.number_rows(df, "k", ORDER, desc=True, hot_rows=h),
-    "tail": lambda df, h: W.tail_n(df, "k", ORDER, 25, h),
-    "recency": lambda df, h: W.recency_buffer(df, "k", ORDER, 100, h),
-    "head_then_tail": lambda df, h: W.head_then_tail(df, "k", ORDER, 90, 7, h),
+    "tail": lambda df, h: W.tail_n(df, "k", ORDER, 25),
+    "recency": lambda df, h: W.recency_buffer(df, "k", ORDER, 100),
+    "head_then_tail": lambda df, h: W.head_then_tail(df, "k", ORDER, 90, 7),
     "shards": lambda df, h: W.shard_index(df, "k", ORDER, 16, hot_rows=h),
     "pairs": lambda df, h: W.pre_post_pairs(df, "k", ORDER, ["x"], ["x"], h),
     "running": lambda df, h: W.running_stats(df, "k", ORDER, "x", h),
@@ -156,11 +156,20 @@ def plan(df):
 def test_plans_use_one_shuffle_and_no_python(events):
     slim = events.select("user_id", "ts", "event_id", "value")
     for df in (W.running_stats(slim, "user_id", ORDER, "value"), W.pre_post_pairs(slim, "user_id", ORDER, ["value"]),
-               D.clamped_fold(slim, "user_id", ORDER, "value", 0, 10, 0), W.tail_n(slim, "user_id", ORDER, 40)):
+               D.clamped_fold(slim, "user_id", ORDER, "value", 0, 10, 0)):
         text = plan(df)
         assert text.count("Exchange hashpartitioning") == 1, text
         assert "SinglePartition" not in text and "Python" not in text and "InPandas" not in text
 
 
+def test_selections_run_no_job_while_built(spark, events):
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    slim, before = events.select("user_id", "ts", "event_id"), jobs()
+    built = [W.tail_n(slim, "user_id", ORDER, 40), W.recency_buffer(slim, "user_id", ORDER), W.head_then_tail(slim, "user_id", ORDER)]
+    assert jobs() == before
+    for df in built:
+        assert plan(df).count("Exchange hashpartitioning") == 2
+
+
 def test_tail_limits_before_the_shuffle(events):
     assert "WindowGroupLimit" in plan(W.tail_n(events.select("user_id", "ts", "event_id"), "user_id", ORDER, 40))
