@@ -29,6 +29,7 @@ SAMPLE_DOCS = 96
 SHORT_BYTES = 4096
 DICTIONARY_BYTES = 1 << 16
 MAX_LANGUAGES = 1024
+RANK_PARTS = 64
 BLOCK_BYTES = 1 << 13
 LEAD = bytes(128)
 LEVEL = 3
@@ -49,8 +50,11 @@ def fit_dictionaries(labelled: DataFrame, lang_col: str = "lang", text_col: str
     counts = {r["lang"]: r["count"] for r in usable.groupBy(F.col(lang_col).alias("lang")).count().collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # Ranked within parts first, so that no task meets what all partitions hold of one language.
+    first = Window.partitionBy("lang", F.pmod("h", F.lit(RANK_PARTS))).orderBy("long", "h", "id")
+    few = texts.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE_DOCS)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "id"))
-    chosen = texts.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS).collect()
+    chosen = few.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS).collect()
     order = {(r["lang"], r["h"]): r["rank"] for r in chosen}
     ids = sorted({r["id"] for r in chosen if r["id"] is not None})
     if not ids:
