@@ -32,6 +32,10 @@ from pyspark.sql import functions as F
 RESULTS = ("n_tokens", "ids", "decoded")
 CACHE_CHUNKS = 300_000
 CACHE_WORDS = 200_000
+# Ids fit so many bits; no merge has a number as large as NO_MERGE.
+ID_BITS = 24
+ID_MASK = (1 << ID_BITS) - 1
+NO_MERGE = 1 << 62
 # Longer chunks go through the transducer piece by piece.
 LONG_CHUNK = 512
 
@@ -90,7 +94,8 @@ class Vocabulary:
         self.byte_level_decoder = (spec["decoder"] or {}).get("type") == "ByteLevel"
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.merges = [(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in pairs]
-        self.ranks = {(a, b): (rank, whole) for rank, (a, b, whole) in enumerate(self.merges)}
+        # By both ids in one number: rank and result in one number, so that the smallest is the first merge to apply.
+        self.ranks = {a << ID_BITS | b: rank << ID_BITS | whole for rank, (a, b, whole) in enumerate(self.merges)}
         self.inner = [self.ids[s] for s in byte_symbols()]
         self.last = [self.ids[s + self.suffix] for s in byte_symbols()]
         self.added_pattern = re.compile("|".join(sorted(map(re.escape, self.added), key=len, reverse=True)) or "(?!)")
@@ -123,21 +128,24 @@ def sufficient_lookahead(vocabulary: Vocabulary) -> int:
     return farthest
 
 
-def merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+def merge(symbols: list[int], ranks: dict[int, int]) -> list[int]:
     """Applies the merges in their order, the leftmost first."""
     if len(symbols) > 64:
         return _merge_long(symbols, ranks)
-    symbols = list(symbols)
-    while len(symbols) > 1:
-        found = [ranks[p] + (i,) for i, p in enumerate(zip(symbols, symbols[1:])) if p in ranks]
-        if not found:
-            break
-        _, whole, at = min(found, key=lambda f: (f[0], f[2]))
-        symbols[at:at + 2] = [whole]
+    symbols, get = list(symbols), ranks.get
+    offers = [get(a << ID_BITS | b, NO_MERGE) for a, b in zip(symbols, symbols[1:])]
+    while offers and (best := min(offers)) < NO_MERGE:
+        at = offers.index(best)
+        whole = symbols[at] = best & ID_MASK
+        del symbols[at + 1], offers[at]
+        if at:
+            offers[at - 1] = get(symbols[at - 1] << ID_BITS | whole, NO_MERGE)
+        if at < len(offers):
+            offers[at] = get(whole << ID_BITS | symbols[at + 1], NO_MERGE)
     return symbols
 
 
-def _merge_long(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+def _merge_long(symbols: list[int], ranks: dict[int, int]) -> list[int]:
     """The same in n log n steps: pairs wait in a heap, symbols in a linked list."""
     symbols = list(symbols)
     n = len(symbols)
@@ -146,17 +154,17 @@ def _merge_long(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]
 
     def offer(i: int) -> None:
         j = after[i]
-        if j >= 0 and (found := ranks.get((symbols[i], symbols[j]))):
-            heapq.heappush(waiting, (found[0], i, symbols[i], symbols[j]))
+        if j >= 0 and (found := ranks.get(symbols[i] << ID_BITS | symbols[j])) is not None:
+            heapq.heappush(waiting, (found, i, symbols[i], symbols[j]))
 
     for i in range(n):
         offer(i)
     while waiting:
-        _, i, left, right = heapq.heappop(waiting)
+        found, i, left, right = heapq.heappop(waiting)
         j = after[i]
         if symbols[i] != left or j < 0 or symbols[j] != right:
             continue
-        symbols[i], symbols[j] = ranks[left, right][1], -1
+        symbols[i], symbols[j] = found & ID_MASK, -1
         after[i] = after[j]
         if after[j] >= 0:
             before[after[j]] = i
@@ -166,6 +174,26 @@ def _merge_long(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]
     return [s for s in symbols if s >= 0]
 
 
+class Recent:
+    """A bounded memory in two halves: when the younger one is full it takes the place of the older one."""
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 class WordTransducer:
     """Encodes one word that arrives in parts; keeps a bounded tail."""
 
@@ -266,7 +294,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
         self.transducer = WordTransducer(vocabulary)
-        self.words: dict[str, list[int]] = {}
+        self.words = Recent(CACHE_WORDS)
 
     def chunk(self, chunk: str) -> list[int]:
         """The ids of a run of characters without white space."""
@@ -279,9 +307,7 @@ class Encoder:
             ids = self.words.get(word)
             if ids is None:
                 ids = self.transducer.push(word.encode()) + self.transducer.finish()
-                if len(self.words) >= CACHE_WORDS:
-                    self.words.clear()
-                self.words[word] = ids
+                self.words.put(word, ids)
             out += ids
         return out
 
@@ -343,13 +369,15 @@ class TextCoder:
     def __init__(self, path: str) -> None:
         self.vocabulary = Vocabulary(path)
         self.encoder = Encoder(self.vocabulary)
-        self.known: dict[str, tuple[int, str, str]] = {}
-
-    def _learn(self, chunk: str) -> tuple[int, str, str]:
-        ids = self.encoder.chunk(chunk)
-        found = (len(ids), " ".join(map(str, ids)), Decoder(self.vocabulary).push(ids))
-        if len(chunk) <= LONG_CHUNK:
-            self.known[chunk] = found
+        self.known = Recent(CACHE_CHUNKS)
+
+    def _learn(self, chunk: str) -> tuple[str, str]:
+        found = self.known.get(chunk)
+        if found is None:
+            ids = self.encoder.chunk(chunk)
+            found = (" ".join(map(str, ids)), Decoder(self.vocabulary).push(ids))
+            if len(chunk) <= LONG_CHUNK:
+                self.known.put(chunk, found)
         return found
 
     def code(self, text: str) -> tuple[int, str, str]:
@@ -357,14 +385,10 @@ class TextCoder:
             ids = self.encoder.encode(text)
             decoder = Decoder(self.vocabulary)
             return len(ids), " ".join(map(str, ids)), decoder.push(ids) + decoder.finish()
-        if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-        known = self.known
-        found = [known[c] if c in known else self._learn(c) for c in chunks(text)]
-        if not found:
-            return 0, "", ""
-        sizes, ids, decoded = zip(*found)
-        return sum(sizes), " ".join(ids), " ".join(decoded)
+        young, learn = self.known.young, self._learn
+        found = [young.get(c) or learn(c) for c in chunks(text)]
+        ids = " ".join([f[0] for f in found if f[0]])
+        return ids.count(" ") + 1 if ids else 0, ids, " ".join([f[1] for f in found if f[0]])
 
 
 def encode_decode(docs: DataFrame, tokenizer_file: str, text_col: str = "text") -> DataFrame:
