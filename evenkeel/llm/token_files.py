@@ -34,7 +34,6 @@ from . import elias_fano
 from .bpe import byte_symbols
 from .elias_fano import EliasFano
 from .ranges import with_id_groups
-from .substring_dedup import one_array
 
 SHARD_BYTES = 8 << 20  # of text
 MAGIC = b"EFTOKEN1"
