@@ -163,9 +163,3 @@ def all_finite(*cols) -> Column:
 def positive_sum(col, scale: int = 10) -> Column:
     return F.coalesce(exact_sum(F.greatest(F.lit(0.0), _col(col).cast("double")), scale),
                       F.lit(0).cast(T.DecimalType(38, scale)))
-
-
-def unless_bad(total: Column, col) -> Column:
-    """The total, or NaN if a value is no number that the exact sums can hold."""
-    x = _col(col).cast("double")
-    return F.when(F.coalesce(F.bool_or(F.isnan(x) | (F.abs(x) == F.lit(float("inf")))), F.lit(False)), F.lit(NAN)).otherwise(total)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Callable, Sequence
 
 from pyspark.sql import Column

@@ -179,14 +179,12 @@ def global_norm(df: DataFrame, by, norm: str, name: str = "norm") -> DataFrame:
     NaN gives NaN and infinity gives infinity; NULL is left out. The group's largest norm is joined back by key.
     """
     by = as_list(by)
-    base = df.select(*by, F.abs(F.col(norm).cast("double")).alias("__n")).where("__n is not null")
-    tops = base.groupBy(*by).agg(F.max("__n").alias("__top"))
-    if by:
-        joined = base.alias("b").join(tops.alias("t"), same_keys("b", "t", by)).select("b.*", "t.__top")
-    else:
-        joined = base.crossJoin(F.broadcast(tops))  # one row
+    keys = by or ["__all"]
+    base = df.withColumns({} if by else {"__all": F.lit(1)}).select(*keys, F.abs(F.col(norm).cast("double")).alias("__n")).where("__n is not null")
+    tops = base.groupBy(*keys).agg(F.max("__n").alias("__top"))
+    joined = base.alias("b").join(tops.alias("t"), same_keys("b", "t", keys)).select("b.*", "t.__top")
     share = F.when((F.col("__top") > 0) & (F.col("__top") < float("inf")), F.col("__n") / F.col("__top")).otherwise(F.lit(0.0))
-    squares = joined.groupBy(*by, "__top").agg(F.sum((share * share).cast(T.DecimalType(28, 18))).cast("double").alias("__s"))
+    squares = joined.groupBy(*keys, "__top").agg(F.sum((share * share).cast(T.DecimalType(28, 18))).cast("double").alias("__s"))
     value = F.when(F.isnan("__top") | (F.col("__top") == float("inf")), F.col("__top")).otherwise(F.col("__top") * F.sqrt("__s"))
     return squares.select(*by, value.alias(name))
 

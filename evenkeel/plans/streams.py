@@ -11,7 +11,7 @@ from ..sources import snapshots as N
 from ..streaming import guarded as G
 from ..streaming import operators as ST
 from ..streaming import sinks as K
-from .folding import CLAMPED_SQL, SIGNED_SQL, signed_events
+from .folding import CLAMPED_SQL, signed_events
 from .registry import off_tie, query, read, sql_off_tie, sql_uniform
 
 SEED = 7
