@@ -79,9 +79,13 @@ def clamped_fold(df: DataFrame, key, order_by, delta: str, lo: float, hi: float,
     size = session_block_rows(df.sparkSession) if block_rows is None else block_rows
     numbered = _numbered_steps(df, key, order_by, delta, lo, hi, hot_rows)
     blocks = block_steps(numbered, key, "__k", size)
+    # Blocks of blocks, so that the last chain of a key stays short: at most rows / size**2.
+    steps = blocks.select(*key, (F.col("__block") + 1).alias("__k"), *[F.col(f"__step.{c}").alias(f"__{c}") for c in ("d", "lo", "hi")],
+                          F.col("__n").alias("__rows_in"))
+    blocks = block_steps(steps, key, "__k", size, F.sum("__rows_in").alias("__total"))
     chain = F.sort_array(F.collect_list(F.struct("__block", "__step")))
     final = F.aggregate(F.col("__chain"), _amount(init), lambda x, b: _apply(x, b["__step"]))
-    return (blocks.groupBy(*key).agg(chain.alias("__chain"), F.sum("__n").alias("n_steps"))
+    return (blocks.groupBy(*key).agg(chain.alias("__chain"), F.sum("__total").alias("n_steps"))
             .select(*key, final.alias(name), "n_steps"))
 
 

@@ -13,7 +13,7 @@ BLOCK_ROWS_CONF = "spark.evenkeel.blockRows"
 # A key with more rows than this is spread over several tasks.
 DEFAULT_HOT_ROWS = 4_000_000
 # Upper limit on the rows of one key that are ever gathered into one array.
-DEFAULT_BLOCK_ROWS = 262_144
+DEFAULT_BLOCK_ROWS = 8_192
 
 
 def build_session(app_name: str = "evenkeel", master: str | None = None, **conf: str) -> SparkSession:
