@@ -8,7 +8,7 @@ second one shifted circularly by k places. Bands of ``ROWS`` coordinates put doc
 1. Documents with equal sets become one class; only its smallest id goes on.
 2. In each bucket, every class is compared with the smallest one (a star, so a bucket costs as many pairs as it
    has rows), on the full sets. Confirmed pairs give first components.
-3. Where a bucket still holds several components, members outside its largest one are compared with all members of
+3. Where the other members of a bucket still lie in several components, those outside the largest one are compared with all of
    other components, in tiles of at most ``TILE`` by ``TILE``, on the full sets; pairs that are connected by
    then are passed over. So every pair that shares a bucket is either compared or known to be connected.
 
@@ -121,10 +121,10 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(collect, "id bigint, shingles array<bigint>")
 
 
-def star_pairs(members: DataFrame) -> DataFrame:
-    """(id, lead) for members (key, id) of a bucket and its smallest member."""
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """(key, id, lead) for members (key, id) of the buckets that hold several; lead is the smallest of them."""
     leads = members.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
-    return members.join(leads, "key").where("id <> lead").select("id", "lead").distinct()
+    return members.join(leads, "key").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -138,7 +138,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def open_tiles(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """(tile, side, id, part) of the buckets that hold several components, replicated into tiles of pairs to compare.
+    """(tile, side, id, part) of the buckets whose members (key, id) lie in several components, replicated into tiles of pairs.
 
     A bucket's largest component is its main side, cut into blocks; the others are the rest, cut into
     blocks too. Tiles pair main blocks with rest blocks, and rest blocks with each other.
@@ -203,14 +203,17 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     signed = stored(signatures(texts.withColumn("h", F.xxhash64("text")), width), "minhash")
     linked = signed.where("id is not null and n > 0")
     classes = linked.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
-    members = stored(linked.join(classes, ["f1", "f2"]).where("id = rep").dropDuplicates(["f1", "f2"])
-                     .select("id", F.explode("bands").alias("key")).distinct(), "minhash")
-    pairs = stored(star_pairs(members), "minhash")
+    members = linked.join(classes, ["f1", "f2"]).where("id = rep").dropDuplicates(["f1", "f2"]).select("id", F.explode("bands").alias("key"))
+    shared = stored(shared_buckets(stored(members, "minhash")), "minhash")
+    pairs = stored(shared.where("id <> lead").select("id", "lead").distinct(), "minhash")
     wanted = pairs.select("id").union(pairs.select("lead")).distinct()
-    sets = stored(shingle_sets(texts.join(wanted, "id", "left_semi"), width), "minhash")
+    # Candidates grow with the documents, so they are never broadcast, however few they are today.
+    sets = stored(shingle_sets(texts.hint("merge").join(wanted, "id", "left_semi"), width), "minhash")
     links = stored(confirmed(pairs, sets, percent), "minhash")
     parts = connected_components(links)
-    more = tile_links(open_tiles(members, parts.withColumnRenamed("component", "part")), sets, percent)
+    # All pairs with a lead are settled, so leads need no tile.
+    others = shared.where("id <> lead").select("key", "id")
+    more = tile_links(open_tiles(others, parts.withColumnRenamed("component", "part")), sets, percent)
     final = connected_components(links.union(more)).select(F.col("id").alias("rep"), "component")
     class_parts = classes.join(final, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     own = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
@@ -228,4 +231,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Documents with no near duplicate of a smaller id in their group; all columns as they were."""
     gone = _judged(docs, id_col, text_col, width, percent).where("id <> component").select(F.col("id").alias("_nd_id"), F.col("h").alias("_nd_h"))
     same = (F.col(id_col) == F.col("_nd_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit("")).cast("binary")) == F.col("_nd_h"))
-    return docs.join(gone, same, "left_anti")
+    return docs.hint("merge").join(gone, same, "left_anti")
