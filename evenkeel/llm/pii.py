@@ -1,10 +1,13 @@
 """Sanitisation of personal data with DataFrame functions only: what is found by pattern, and what gives it away.
 
 Base spans are the emails, addresses, card and phone numbers of ``KINDS``; each distinct one is a protected entity.
-A term (letters and digits, ``MIN_CHARS`` at least) that stands in the same lines as an entity reveals it by their
-pointwise mutual information over all lines of the corpus, PMI = log2(N n(e, t) / (n(e) n(t))), set against
+A term (letters and digits, ``MIN_CHARS`` at least) that stands in the context of an entity reveals it by their
+pointwise mutual information over all lines of the corpus, PMI = log2(P(e | t) N / n(e)), set against
 the information of the entity, IC = -log2(n(e) / N). At PMI >= ``DISCLOSURE`` * IC the term gives
-the entity away, provided they meet in ``MIN_LINES`` different lines, copies of a line counted once. In every
+the entity away. Every entity is judged, however rare. P(e | t) is the lower end of Wilson's interval for the share
+n(e, t) / n(t) of the term's lines, at ``CONFIDENCE`` standard deviations, so few meetings count for less and none is cut
+off; copies of a line are one meeting. Two contexts are tried, each with its own counts: the entity's line,
+and that line with its two neighbours; a term that passes in either is telling. In every
 document that holds the entity, such terms get spans of kind ``term`` beside the base spans, and ``sanitize`` puts a
 general mark in their place or removes them.
 
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 from .components import stored
 
 DISCLOSURE = 0.9
-MIN_LINES = 3
+# One-sided, 95 %.
+CONFIDENCE = 1.645
 MIN_CHARS = 4
 TERM = "term"
 TERM_PATTERN = r"[\p{L}\p{N}]+"
@@ -123,34 +127,60 @@ def terms_of(line: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(line), r"[^\p{L}\p{N}]+", -1)), lambda t: F.length(t) >= MIN_CHARS)
 
 
-def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, min_lines: int = MIN_LINES) -> DataFrame:
+def least_share(hits: Column, n: Column, different: Column) -> Column:
+    """Lower end of Wilson's interval for hits / n, where only ``different`` of the hits are no copies."""
+    share, z2 = hits / n, CONFIDENCE ** 2
+    tries = n * different / hits
+    spread = CONFIDENCE * F.sqrt(share * (1 - share) / tries + z2 / (4 * tries * tries))
+    return (share + z2 / (2 * tries) - spread) / (1 + z2 / tries)
+
+
+def contexts(text: Column, entity: Column) -> Column:
+    """The lines that hold an entity (``own``) and their neighbours."""
+    lines = F.split(text, "\n", -1)
+    holds, no = F.transform(lines, lambda x: F.contains(x, entity)), F.array(F.lit(False))
+    around = F.arrays_zip(lines.alias("line"), holds.alias("own"), F.concat(no, holds).alias("after"),
+                          F.concat(F.slice(holds, F.lit(2), F.size(holds)), no).alias("before"))
+    return F.filter(around, lambda x: x["line"].isNotNull() & (x["own"] | x["after"] | x["before"]))
+
+
+def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """(id, terms) for documents (id, text): the terms that give away an entity of the document."""
     found = docs.where("id is not null").select("id", "text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
     entities = found.select("id", "text", F.explode(F.array_distinct(F.transform("spans", lambda s: s["match"]))).alias("entity"))
     # Entities and their lines are few; they are stored so that the patterns run once over the texts.
-    lines = stored(entities.select("id", "entity", F.explode(F.filter(F.split("text", "\n", -1), lambda x: F.contains(x, F.col("entity")))).alias("line")), "pii")
+    near = entities.select("id", "entity", F.explode(contexts(F.col("text"), F.col("entity"))).alias("x"))
+    lines = stored(near.select("id", "entity", F.col("x.line").alias("line"), F.col("x.own").alias("own")), "pii")
     bare = F.col("line")
     for kind in KINDS:
         bare = F.regexp_replace(bare, kind.pattern, " ")
-    n_entity = lines.groupBy("entity").agg(F.count("*").alias("n_e"), F.countDistinct(F.xxhash64("line")).alias("n_lines")).where(F.col("n_lines") >= min_lines)
-    met = (lines.join(n_entity, "entity").select("entity", "n_e", F.xxhash64("line").alias("h"), F.explode(terms_of(bare)).alias("term"))
-           .groupBy("entity", "term", "n_e", "h").agg(F.count("*").alias("n"))
-           .groupBy("entity", "term", "n_e").agg(F.sum("n").alias("n_et"), F.count("*").alias("n_lines")).where(F.col("n_lines") >= min_lines))
+    own = F.col("own").cast("bigint")
+    n_entity = lines.groupBy("entity").agg(F.sum(own).alias("n_e_own"), F.count("*").alias("n_e"))
+    met = (lines.select("entity", F.xxhash64("line").alias("h"), own.alias("own"), F.explode(terms_of(bare)).alias("term"))
+           .groupBy("entity", "term", "h").agg(F.sum("own").alias("own"), F.count("*").alias("n"))
+           .groupBy("entity", "term").agg(F.sum("own").alias("n_et_own"), F.count_if(F.col("own") > 0).alias("d_own"),
+                                          F.sum("n").alias("n_et"), F.count("*").alias("d")))
     all_lines = docs.select(F.split("text", "\n", -1).alias("lines"))
     n_term = (all_lines.select(F.explode(F.flatten(F.transform("lines", terms_of))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")))
     total = all_lines.agg(F.sum(F.size("lines")).alias("n"))
-    n = total.first()["n"] or 1
-    pmi = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    content = F.log2(F.lit(float(n)) / F.col("n_e"))
-    telling = met.join(n_term, "term").where(pmi >= disclosure * content).select("entity", "term")
+    n = float(total.first()["n"] or 1)
+
+    def tells(share: Column, n_e: str) -> Column:
+        """PMI >= disclosure * IC."""
+        return F.coalesce(F.log2(share * n / F.col(n_e)) >= disclosure * F.log2(n / F.col(n_e)), F.lit(False))
+
+    def judged(hits: str, different: str, n_e: str) -> Column:
+        return (F.col(hits) > 0) & tells(least_share(F.col(hits), F.col("n_t"), F.col(different)), n_e)
+
+    telling = (met.join(n_entity, "entity").join(n_term, "term")
+               .where(judged("n_et_own", "d_own", "n_e_own") | judged("n_et", "d", "n_e")).select("entity", "term"))
     return (lines.select("id", "entity").distinct().join(telling, "entity").groupBy("id").agg(F.collect_set("term").alias("terms")))
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE,
-                       min_lines: int = MIN_LINES) -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
     """Adds ``base`` and ``spans``: arrays of spans (start, ord, stop, kind, match), by start and then by kind."""
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    telling = disclosing_terms(texts, disclosure, min_lines).select(F.col("id").alias("_pd_id"), F.col("terms").alias("_pd_terms"))
+    telling = disclosing_terms(texts, disclosure).select(F.col("id").alias("_pd_id"), F.col("terms").alias("_pd_terms"))
     rest = [c for c in docs.columns if c not in ("base", "spans")]
     text = F.coalesce(F.col(text_col), F.lit(""))
     joined = docs.select(*rest).join(telling, F.col(id_col) == F.col("_pd_id"), "left").withColumn("base", base_spans(text))

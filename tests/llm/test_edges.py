@@ -201,6 +201,23 @@ def test_telling_terms(spark):
     assert {r[0]: r[1] for r in pii.sanitize(df, remove_terms=True, disclosure=0.7).collect()}[50] == " [EMAIL]"
 
 
+def test_rare_entities_are_judged_at_the_default(spark):
+    """Two meetings, in the entity's line or beside it, or a single one in a large corpus; copies of a line are one meeting."""
+    rows = [(1, "common Quillfeather q@mail.example.com\nthe end"), (2, "so Quillfeather wrote common to q@mail.example.com"),
+            (3, "signed Marrowby\nm@mail.example.com common"), (4, "n@mail.example.com, m@mail.example.com\ncommon by Marrowby"),
+            (5, "Oddfellow o@mail.example.com common")] + [(i, "Copperpot c@mail.example.com common") for i in (6, 7, 8, 9)]
+
+    def marked(lines):
+        rest = spark.range(100, 200).select(F.col("id").alias("doc_id"), F.expr(f"repeat('common filler\n', {lines})").alias("text"))
+        found = pii.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string").union(rest)).where("doc_id < 100")
+        return {r["doc_id"]: [s["match"] for s in r["spans"] if s["kind"] == "term"] for r in found.collect()}
+
+    few = {1: ["Quillfeather"], 2: ["Quillfeather"], 3: ["Marrowby"], 4: ["Marrowby"], 5: [], 6: [], 7: [], 8: [], 9: []}
+    assert marked(800) == few
+    many = marked(6000)
+    assert many[5] == ["Oddfellow"] and many[1] == ["Quillfeather"] and "Marrowby" in many[4] and not any("common" in terms for terms in many.values())
+
+
 def test_long_runs_of_personal_data_characters(spark):
     long = ["a" * 50_000, "1" * 50_000, "1 " * 20_000, "a@" + "b." * 20_000, "+1" + "(" * 50_000, "1." * 20_000, "é@x.yé"]
     got = pii.find_personal_data(spark.createDataFrame(list(enumerate(long)), "doc_id bigint, text string"))
