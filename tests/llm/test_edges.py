@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evenkeel.llm import bpe, decontaminate, elias_fano, language_id, line_dedup, minhash, pii, quality, substring_dedup, token_files, url_filter
+from evenkeel.llm import bpe, decontaminate, elias_fano, language_id, line_dedup, minhash, pii, quality, ranges, substring_dedup, token_files, url_filter
 from evenkeel.llm.queries import tokenizer_file
 from evenkeel.session import work_path
 
@@ -67,6 +67,23 @@ def test_negative_and_sparse_ids(spark):
     assert sorted(map(tuple, got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect())) == sorted(brute.substrings(rows))
 
 
+def test_groups_are_bounded_for_any_spread_of_ids(spark):
+    """One outlier, several dense clusters, and many equal texts without id."""
+    text = words(12, 5)
+    clusters = [*range(300), *range(10**9, 10**9 + 300), 10**15]
+    for ids in (clusters, [*clusters, -2**63, 2**63 - 1]):
+        rows = [(i, f"{text} {i}") for i in ids] + [(None, text)] * 300
+        grouped, total = ranges.with_id_groups(spark.createDataFrame(rows, "id bigint, text string"), "id", "text", 2000, "grp")
+        found = grouped.collect()
+        held = {}
+        for r in found:
+            held[r["grp"]] = held.get(r["grp"], 0) + len(r["text"].encode()) + 16
+        assert len(found) == len(rows) and sum(held.values()) == total
+        named = sorted((r["id"], r["grp"]) for r in found if r["id"] is not None)
+        assert [g for _, g in named] == sorted(g for _, g in named) and named[0][1] >= 0
+        assert all(n < 4000 for g, n in held.items() if g >= 0) and all(n < 6000 for g, n in held.items() if g < 0)
+
+
 def test_token_files(spark, docs, empty, rows):
     from tokenizers import Tokenizer
 
