@@ -3,7 +3,7 @@
 Words are runs of letters and digits, A-Z lower-cased, so case and punctuation do not matter. Shingles have
 ``WIDTH`` words (an item of fewer words is one shingle) and weigh as many bytes as their words have.
 Every window of a document that has as many words as some item is a candidate; its SimHash is looked up among the
-items of that size. ``BLOCKS`` blocks of eight bits are indexed, each under all values within
+items of that size. A document of fewer words than an item is one window as a whole. ``BLOCKS`` blocks of eight bits are indexed, each under all values within
 ``RADIUS // BLOCKS`` bits, so by the pigeonhole principle every fingerprint within ``RADIUS`` is found.
 A found item leaks if the weighted Jaccard similarity of the shingle multisets is at least ``THRESHOLD``.
 At that similarity two fingerprints differ in 10 of 64 bits on average, and in more than ``RADIUS``
@@ -80,6 +80,7 @@ class SizeIndex:
     def __init__(self, items: list[Item]) -> None:
         self.items = items
         self.fingerprints = np.array([i.fingerprint for i in items], np.uint64)
+        self.least_weight = min(i.weights.sum() for i in items)
         self.tables = []
         for block in range(BLOCKS):
             values = (self.fingerprints >> np.uint64(8 * block)) & np.uint64(255)
@@ -162,9 +163,9 @@ def search(hashes: np.ndarray, weights: np.ndarray, known: np.ndarray, width: in
     best: dict[tuple[int, int], tuple[float, int]] = {}
     sums = None
     for size, items in index.sizes.items():
-        length = size - width + 1
-        if length > len(hashes):
-            break
+        length = min(size - width + 1, len(hashes))
+        if length < size - width + 1 and hit[-1] / items.least_weight < THRESHOLD:
+            continue
         bound = (hit[length:] - hit[:-length]) / np.maximum(total[length:] - total[:-length], 1)
         starts = np.flatnonzero(bound >= THRESHOLD)
         if not len(starts):
@@ -182,7 +183,8 @@ def search(hashes: np.ndarray, weights: np.ndarray, known: np.ndarray, width: in
                 found = similarity(window, (item.hashes, item.weights))
                 if found >= THRESHOLD and found > best.get((size, place), (0.0, 0))[0]:
                     best[size, place] = (found, start)
-    return [(index.sizes[size].items[place].item_id, found, start, size) for (size, place), (found, start) in sorted(best.items())]
+    n_words = len(hashes) + width - 1
+    return [(index.sizes[size].items[place].item_id, found, start, min(size, n_words)) for (size, place), (found, start) in sorted(best.items())]
 
 
 def leaks_of(column: pa.Array, indexes: dict[int, WidthIndex]) -> Iterator[tuple[int, list[tuple[object, float, int, int]]]]:

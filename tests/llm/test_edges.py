@@ -318,6 +318,29 @@ def test_leaks(spark, docs, empty, rows):
     assert decontaminate.find_leaks(docs, frame.where("false")).count() == 0 and decontaminate.drop_leaks(empty, frame).count() == 0
 
 
+def test_items_cut_short_leak(spark):
+    """A document that is an item less some words is compared as a whole."""
+    item = [f"word{i}x{i % 7}" for i in range(60)]
+
+    def grams(tokens):
+        return {tuple(tokens[i:i + 5]): sum(map(len, tokens[i:i + 5])) for i in range(len(tokens) - 4)}
+
+    texts = {1: item[:-1], 2: item[1:], 3: item[2:-2], 4: item[:30], 5: item[:4], 6: item, 7: ["before", *item[:-3]], 8: item[:52], 9: item[:46]}
+    want = {}
+    for doc, tokens in texts.items():
+        if len(tokens) <= 60:
+            both = sum(w for g, w in grams(tokens).items() if g in grams(item))
+            score = both / (sum(grams(tokens).values()) + sum(grams(item).values()) - both)
+            if score >= decontaminate.THRESHOLD:
+                want[doc] = (round(score, 9), 0, len(tokens))
+    assert sorted(want) == [1, 2, 3, 6, 7, 8]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "some other item of seven words here"), (3, " ".join(f"b{i}" for i in range(200)))], "item_id bigint, text string")
+    found = decontaminate.find_leaks(df, items).collect()
+    assert {r["doc_id"]: (round(r["similarity"], 9), r["first_word"], r["n_words"]) for r in found} == want
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(df, items).collect()} == {4, 5, 9}
+
+
 def test_every_fingerprint_within_the_radius_is_found():
     source = np.random.default_rng(5)
     prints = source.integers(0, 1 << 63, 300, dtype=np.uint64)
