@@ -90,66 +90,101 @@ def stable_mean(col, scale: int = 10) -> Column:
     return mean_of(exact_sum(col, scale), fit_count(col, scale))
 
 
-LIMB = 10 ** 12
+LIMB = 10 ** 10
+UNIT_SCALE = 10
 WHOLE = T.DecimalType(38, 0)
-VARIANCE_SUMS = ("sh", "sl", "shh", "shl", "sll")
+VARIANCE_SUMS = ("sh", "sm", "sl", "shh", "shm", "shl", "smm", "sml", "sll")
 
 
-def unit_limbs(col, scale: int = 6) -> tuple[Column, Column]:
-    """The value as a whole number of 10**-scale, high * 10**12 + low, both of its sign; NULL where it does not fit."""
+def unit_limbs(col, scale: int = UNIT_SCALE) -> tuple[Column, Column, Column]:
+    """The value as a whole number of 10**-10, high * 10**20 + middle * 10**10 + low, all of its sign; NULL where it does not fit.
+
+    It is rounded to ``scale`` decimals, ten at most.
+    """
     x = _col(col).cast("double")
     whole, digits = _split(F.abs(x), scale)
-    step = LIMB // 10 ** scale
-    high = F.call_function("div", whole, F.lit(step).cast("bigint"))
-    low = (whole - high * F.lit(step).cast("bigint")) * F.lit(10 ** scale) + digits
+    step = F.lit(LIMB).cast("bigint")
+    high = F.call_function("div", whole, step)
     sign = F.when(x < 0, F.lit(-1)).otherwise(F.lit(1))
     held = fits(x)
-    return F.when(held, high * sign), F.when(held, low * sign)
+    limbs = high, whole - high * step, digits * F.lit(10 ** (UNIT_SCALE - scale))
+    return tuple(F.when(held, limb * sign) for limb in limbs)
 
 
-def variance_terms(high: Column, low: Column) -> dict[str, Column]:
-    """What has to be summed for a variance. High limbs are 0 below 10**12 units; their terms are then NULL and cost nothing."""
-    h, l = high.cast("decimal(13,0)"), low.cast("decimal(13,0)")
-    large = high != 0
-    return {"sh": F.when(large, h), "sl": l, "shh": F.when(large, h * h), "shl": F.when(large, h * l), "sll": l * l}
+def variance_terms(high: Column, middle: Column, low: Column) -> dict[str, Column]:
+    """What has to be summed for a variance. Limbs that are 0 give NULL terms, which cost nothing."""
+    h, m, l = (limb.cast("decimal(11,0)") for limb in (high, middle, low))
+    large, some = high != 0, middle != 0
+    return {"sh": F.when(large, h), "sm": F.when(some, m), "sl": l, "shh": F.when(large, h * h), "shm": F.when(large & some, h * m),
+            "shl": F.when(large, h * l), "smm": F.when(some, m * m), "sml": F.when(some, m * l), "sll": l * l}
 
 
-def variance_of(n: Column, sums: dict[str, Column], scale: int = 6) -> Column:
+def variance_of(n: Column, sums: dict[str, Column]) -> Column:
     """Sample variance from the count and the exact sums of the limbs and of their products.
 
-    All is centred at a whole number m near the mean, limb by limb, so nothing cancels and no sum
-    grows beyond a decimal for any number of rows below 10**12; the roundings are those of the last steps in
-    double. One value, or none, gives 0.
+    All is centred at a whole number near the mean, limb by limb, so nothing cancels and no sum
+    grows beyond a decimal for any number of rows below 10**12. The limbs are put together from the highest down, as
+    decimals as far as these hold, and then in double. One value, or none, gives 0.
     """
     def whole(c: Column) -> Column:
         return c.cast(WHOLE)
 
-    zero = F.lit(0).cast(WHOLE)
-    sh, sl, shh, shl, sll = (F.coalesce(whole(sums[k]), zero) for k in VARIANCE_SUMS)
-    count = n.cast("decimal(13,0)")
-    limb = F.lit(LIMB).cast("decimal(13,0)")
-    mean = F.try_divide(sh.cast("double") * F.lit(float(LIMB)) + sl.cast("double"), n)
-    mh_double = F.signum(mean) * F.floor(F.abs(mean) / F.lit(float(LIMB)))
-    mh, ml = mh_double.cast("decimal(13,0)"), F.round(mean - mh_double * F.lit(float(LIMB))).cast("decimal(13,0)")
-    a = whole(whole(shh - whole(whole(sh * mh) * F.lit(2))) + whole(whole(count * mh) * mh))
-    c = whole(whole(whole(shl - whole(sl * mh)) - whole(sh * ml)) + whole(whole(count * mh) * ml))
-    d = whole(whole(sll - whole(whole(sl * ml) * F.lit(2))) + whole(whole(count * ml) * ml))
-    near = whole(whole(whole(whole(a * limb) + whole(c * F.lit(2))) * limb) + d).cast("double")
-    far = a.cast("double") * F.lit(float(LIMB) ** 2) + c.cast("double") * F.lit(2.0 * LIMB) + d.cast("double")
-    centred = F.when(F.abs(a) < F.lit(LIMB), near).otherwise(far)
-    rest = whole(whole(whole(sh - whole(count * mh)) * limb) + whole(sl - whole(count * ml))).cast("double")
-    spread = centred - rest * rest / n
-    return F.when(n > 1, F.greatest(spread, F.lit(0.0)) / (n - 1) / F.lit(10.0 ** (2 * scale))).otherwise(F.lit(0.0))
-
-
-def stable_variance(col, scale: int = 6) -> Column:
+    def bound(values: dict[str, Column], use) -> Column:
+        """``use`` of the values, each computed once."""
+        return F.transform(F.array(F.struct(*[c.alias(k) for k, c in values.items()])), use)[0]
+
+    limb, base = F.lit(LIMB).cast("decimal(11,0)"), float(LIMB)
+
+    def cut(x: Column, unit: float) -> Column:
+        return F.signum(x) * F.floor(F.abs(x) / F.lit(unit))
+
+    def centred(t: Column) -> Column:
+        mean = F.try_divide(t["sh"].cast("double") * F.lit(base ** 2) + t["sm"].cast("double") * F.lit(base) + t["sl"].cast("double"), t["n"])
+        return bound({"mean": mean}, lambda x: bound({"below": x["mean"] - cut(x["mean"], base ** 2) * F.lit(base ** 2)}, lambda y: bound(
+            {"h": cut(x["mean"], base ** 2).cast("decimal(13,0)"), "m": cut(y["below"], base).cast("decimal(13,0)"),
+             "l": F.round(y["below"] - cut(y["below"], base) * F.lit(base)).cast("decimal(13,0)")}, lambda c: parts_of(t, c))))
+
+    def parts_of(t: Column, c: Column) -> Column:
+        count = t["n"].cast("decimal(13,0)")
+
+        def product(x: str, y: str) -> Column:
+            crossed = whole(whole(t["s" + x] * c[y]) + whole(t["s" + y] * c[x]))
+            return whole(whole(t["s" + x + y] - crossed) + whole(whole(count * c[x]) * c[y]))
+
+        def twice(part: Column) -> Column:
+            return whole(part * F.lit(2))
+
+        rests = [whole(t["s" + k] - whole(count * c[k])) for k in "hml"]
+        rest = whole(whole(whole(whole(rests[0] * limb) + rests[1]) * limb) + rests[2]).cast("double")
+        return bound({"p0": product("h", "h"), "p1": twice(product("h", "m")), "p2": whole(twice(product("h", "l")) + product("m", "m")),
+                      "p3": twice(product("m", "l")), "p4": product("l", "l"), "rest": rest}, lambda p: spread(p, t["n"]))
+
+    def spread(p: Column, rows: Column) -> Column:
+        exact = [p["p0"]]
+        for k in range(1, 5):
+            exact.append(whole(F.try_add(whole(F.try_multiply(exact[-1], limb)), p[f"p{k}"])))
+        # The lowest exact one, then the parts below it.
+        ways = []
+        for held in (4, 3, 2, 1, 0):
+            way = exact[held].cast("double")
+            for k in range(held + 1, 5):
+                way = way * F.lit(base) + p[f"p{k}"].cast("double")
+            ways.append(way)
+        return F.coalesce(*ways) - p["rest"] * p["rest"] / rows
+
+    total = {k: F.coalesce(whole(sums[k]), F.lit(0).cast(WHOLE)) for k in VARIANCE_SUMS}
+    squares = bound(total | {"n": n}, centred)
+    return F.when(n > 1, F.greatest(squares, F.lit(0.0)) / (n - 1) / F.lit(10.0 ** (2 * UNIT_SCALE))).otherwise(F.lit(0.0))
+
+
+def stable_variance(col, scale: int = UNIT_SCALE) -> Column:
     """Sample variance in one pass from exact sums, of the same values that ``exact_sum`` adds."""
-    return limb_variance(*unit_limbs(col, scale), scale)
+    return limb_variance(*unit_limbs(col, scale))
 
 
-def limb_variance(high: Column, low: Column, scale: int = 6) -> Column:
+def limb_variance(high: Column, middle: Column, low: Column) -> Column:
     """The same from ``unit_limbs`` that were computed before: decimal sums read their input repeatedly."""
-    return variance_of(F.count(low), {k: F.sum(v) for k, v in variance_terms(high, low).items()}, scale)
+    return variance_of(F.count(low), {k: F.sum(v) for k, v in variance_terms(high, middle, low).items()})
 
 
 def all_finite(*cols) -> Column:

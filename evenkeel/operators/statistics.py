@@ -18,13 +18,13 @@ from .ordered import tail_n
 def stable_stats(df: DataFrame, by, value: str, prefix: str = "", scale: int = 10) -> DataFrame:
     """Count, bad values, exact sum, mean and sample variance per group, in one pass."""
     v = F.col(value)
-    high, low = unit_limbs(v)
-    return df.select(*as_list(by), v, high.alias("__h"), low.alias("__l")).groupBy(*as_list(by)).agg(
+    high, middle, low = unit_limbs(v, scale)
+    return df.select(*as_list(by), v, high.alias("__h"), middle.alias("__m"), low.alias("__l")).groupBy(*as_list(by)).agg(
         fit_count(v, scale).alias(f"{prefix}n"),
         bad_count(v, scale).alias(f"{prefix}n_bad"),
         exact_sum(v, scale).alias(f"{prefix}sum"),
         stable_mean(v, scale).alias(f"{prefix}mean"),
-        limb_variance(F.col("__h"), F.col("__l")).alias(f"{prefix}var"))
+        limb_variance(F.col("__h"), F.col("__m"), F.col("__l")).alias(f"{prefix}var"))
 
 
 # Doubles are cut into whole numbers of 2**(32 b - 54), b counting steps of 32 in the binary exponent.
@@ -117,11 +117,11 @@ def run_metrics(df: DataFrame, key, ts: str, values: Mapping[str, str], distinct
             F.count_distinct(F.col(distinct)).alias("encounters")]
     measured = dict.fromkeys([*values.values(), *([losses] if losses else []), *([norms] if norms else [])])
     slim = df.select(*dict.fromkeys([*key, ts, distinct, *measured]),
-                     *[limb.alias(f"__{side}_{c}") for c in measured for side, limb in zip("hl", unit_limbs(F.col(c)))])
+                     *[limb.alias(f"__{side}_{c}") for c in measured for side, limb in zip("hml", unit_limbs(F.col(c)))])
 
     def three(column, prefix):
         return [fit_count(F.col(column)).alias(f"{prefix}_count"), stable_mean(F.col(column)).alias(f"{prefix}_mean"),
-                limb_variance(F.col(f"__h_{column}"), F.col(f"__l_{column}")).alias(f"{prefix}_var")]
+                limb_variance(*[F.col(f"__{side}_{column}") for side in "hml"]).alias(f"{prefix}_var")]
 
     for prefix, column in values.items():
         aggs += three(column, prefix)

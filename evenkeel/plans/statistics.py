@@ -258,7 +258,7 @@ def stats_wide_range(spark, sf_dir):
     wide = _wide(spark, sf_dir).withColumn("size", F.col("event_id") % 3)
     tops = wide.groupBy("event_type", "size").agg(F.max("value").alias("top"))
     stats = S.stable_stats(wide, ["event_type", "size"], "value").join(tops, ["event_type", "size"])
-    # A variance is kept in millionths of the unit, so that of values of a billionth is not compared.
+    # The SQL does not round values, so the spread of billionths is not compared here but in tests/test_numbers.py.
     spread = F.when(F.col("size") == 0, F.lit(-1.0)).otherwise(F.round(F.sqrt("var") / F.col("top"), 6))
     return stats.select("event_type", "size", "n", "n_bad", F.round(F.col("sum").cast("double") / F.col("top"), 6).alias("sum_share"),
                         F.round(F.col("mean") / F.col("top"), 6).alias("mean_share"), spread.alias("spread_share"))

@@ -89,6 +89,22 @@ def test_variance_of_wide_ranges(spark):
         assert row["var"] == pytest.approx(statistics.variance(xs), rel=1e-9)
 
 
+def test_variance_of_small_values(spark):
+    """Values far below a millionth, alone and beside large ones, by the rounding rule of the sums."""
+    for xs in ([1e-9, 2e-9, 7e-9], [3e-10, -4e-10], [-1e-7, 1e-7, 4e-7], [1e-10, 1e10 - 1.0, 1e10 + 1.0], [1e10 - 0.5, 1e10 + 0.5], [2.5e-8] * 3):
+        assert stats(values(spark, xs))["var"] == pytest.approx(statistics.variance(xs), rel=1e-9)
+
+
+def test_spread_of_all_size_classes(spark, sf_dir):
+    from evenkeel.plans.statistics import _wide
+
+    wide = _wide(spark, sf_dir).withColumn("size", F.col("event_id") % 3)
+    got = {r["size"]: r["var"] for r in S.stable_stats(wide, "size", "value").collect()}
+    for size, var in got.items():
+        xs = [r["value"] for r in wide.where(F.col("size") == size).select("value").collect() if r["value"] is not None]
+        assert math.sqrt(var) == pytest.approx(statistics.stdev([round(x, 10) for x in xs]), rel=1e-9)
+
+
 def test_one_rounding_rule(spark):
     xs = [5e-11, 100.00000000005, 2.5e-10, 225_179.98000000005, 225_179.97999999995, -3e5 - 5e-11, 1e12 + 0.5]
     df = values(spark, xs)
