@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from evenkeel.session import work_path
 
 from .bpe import encode_decode
+from .centroid_clusters import cluster_vectors
+from .collocations import mine_collocations
 from .decontaminate import find_leaks
+from .golay_dedup import fingerprint_components
 from .language_id import fit_dictionaries, identify
 from .line_dedup import dedup_lines
 from .minhash import near_duplicates
@@ -161,3 +164,66 @@ def op10_line_dedup(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     kept = dedup_lines(docs, report=True)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query(f"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({SQL_LOWER.format("coalesce(text, '')")},
+         '[.,;:!?' || chr(10) || '-' || chr(13) || ']')) as piece from documents),
+worded as (select lang, regexp_extract_all(piece, '[^ ' || chr(9) || ']+') as w from pieces),
+grams as (
+  select lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) as phrase
+  from worded, range(1, 6) t(m) where len(w) >= m),
+counts as (select lang, m, phrase, count(*) as f from grams group by lang, m, phrase),
+totals as (select lang, sum(f)::HUGEINT as n from counts where m = 1 group by lang),
+cands as (select lang, m, phrase, string_split(phrase, ' ') as w, f as a from counts where m > 1 and f >= 100),
+inner_parts as (
+  select lang, a, unnest(flatten(list_transform(range(2, m), lambda b: list_transform(range(1, m - b + 2), lambda i: array_to_string(w[i:i + b - 1], ' '))))) as phrase
+  from cands where m > 2),
+longer as (select lang, phrase, max(a) as longer from inner_parts group by lang, phrase),
+cuts as (
+  select c.lang, c.phrase, c.a, n, k, x.f as l, y.f as r, 1000::HUGEINT * c.a * n // (x.f::HUGEINT * y.f) as score
+  from (select *, unnest(range(1, m)) as k from cands) c join totals on totals.lang = c.lang
+  join counts x on x.lang = c.lang and x.phrase = array_to_string(w[1:k], ' ')
+  join counts y on y.lang = c.lang and y.phrase = array_to_string(w[k + 1:], ' ')),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+ranked as (
+  select b.*, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank
+  from best b left join longer g on g.lang = b.lang and g.phrase = b.phrase where coalesce(longer, 0) < a)
+select lang, rank::BIGINT as rank, phrase, a::BIGINT as a, l::BIGINT as l, r::BIGINT as r, n::BIGINT as n, score::BIGINT as score from ranked where rank <= 2000
+""")
+def op11_collocations(spark, sf_dir):
+    return mine_collocations(read(spark, sf_dir, "documents").select("text", "lang"))
+
+
+@query()
+def op12_golay_simhash(spark, sf_dir):
+    return fingerprint_components(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def sql_clusters(k: int, rounds: int) -> str:
+    """Lloyd's rounds as a chain of tables; inner products of whole numbers this small are exact in doubles."""
+    parts = [f"""kept as materialized (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64)""",
+             f"""c0 as materialized (
+  select row_number() over (order by sha256('2:' || vec_id)) - 1 as k, v as c from kept qualify k < {k})"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} as materialized (
+  select vec_id, min(struct_pack(d := list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c), k := k)) as near
+  from kept, c{i} group by vec_id)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} as materialized (
+  select c{i}.k, coalesce(m.c, c{i}.c) as c from c{i} left join (
+    select k, list(mean order by p) as c from (
+      select near.k as k, p, floor(sum(v[p])::DOUBLE / count(*)) as mean from a{i} join kept using (vec_id), range(1, 65) t(p) group by near.k, p)
+    group by k) m on m.k = c{i}.k)""")
+    return ("with " + ",\n".join(parts) + f"""
+select vec_id, near.k::INTEGER as cluster, near.d::BIGINT as distance, (sum(near.d) over (partition by near.k))::BIGINT as cluster_inertia,
+       (sum(near.d) over ())::BIGINT as inertia, sha256(array_to_string(list_transform(c, lambda x: x::BIGINT), ',')) as centroid_sha256
+from a{rounds} join c{rounds} on near.k = c{rounds}.k""")
+
+
+@query(sql_clusters(40, 5))
+def op13_centroid_clusters(spark, sf_dir):
+    return cluster_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import struct
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -157,3 +160,73 @@ def leaks(docs, items, threshold=0.8):
                 if score >= threshold:
                     out[doc, item] = max(score, out.get((doc, item), 0))
     return out
+
+
+def collocations(docs, min_count=100, max_words=5, top=2000):
+    """(lang, rank, phrase, a, l, r, n, score) of documents (text, lang), in order."""
+    counts, totals, out = defaultdict(Counter), Counter(), []
+    for text, lang in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", ascii_lower(text or "")):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(words)
+            counts[lang].update(tuple(words[i:i + k]) for k in range(1, max_words + 1) for i in range(len(words) - k + 1))
+    for lang, f in counts.items():
+        candidates = {p: a for p, a in f.items() if len(p) > 1 and a >= min_count}
+        inside = {p[i:i + k] for p, a in candidates.items() for k in range(2, len(p)) for i in range(len(p) - k + 1) if a >= f[p[i:i + k]]}
+        ranked = []
+        for p, a in candidates.items():
+            score, k = min((1000 * a * totals[lang] // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            ranked.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]], p not in inside))
+        for rank, (score, a, phrase, left, right, _) in enumerate([x for x in sorted(ranked) if x[-1]][:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, totals[lang], -score))
+    return sorted(out)
+
+
+def simhash(text, width=3):
+    words = WORD.findall(ascii_lower(text or ""))
+    parts = [" ".join(words[i:i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def fingerprint_groups(docs, radius=2):
+    """(doc_id, fingerprint, component_id), one for each row; rows of one id are one document."""
+    prints = [(doc, simhash(text)) for doc, text in docs]
+    root = {doc: doc for doc, _ in prints if doc is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, x) in enumerate(prints):
+        for b, y in prints[:i]:
+            if a is not None and b is not None and (x ^ y).bit_count() <= radius:
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return [(doc, f"{x:016x}", None if doc is None else find(doc)) for doc, x in prints]
+
+
+def clusters(rows, k=40, rounds=5, dims=64, scale=256, seed="2"):
+    """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256) of rows (vec_id, vector)."""
+    kept = [(i, [math.floor(scale * x) for x in v]) for i, v in rows
+            if v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)]
+    named = sorted(((hashlib.sha256(f"{seed}:{i}".encode()).hexdigest(), v) for i, v in kept if i is not None))
+    centroids = [v for _, v in named[:k]]
+
+    def nearest(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c)), j) for j, c in enumerate(centroids))
+
+    for _ in range(rounds if centroids else 0):
+        members = defaultdict(list)
+        for _, v in kept:
+            members[nearest(v)[1]].append(v)
+        centroids = [[sum(x) // len(members[j]) for x in zip(*members[j])] if members[j] else c for j, c in enumerate(centroids)]
+    if not centroids:
+        return []
+    found = [(i, *nearest(v)) for i, v in kept]
+    inertia = Counter()
+    for _, d, j in found:
+        inertia[j] += d
+    return [(i, j, d, inertia[j], sum(inertia.values()), sha(",".join(map(str, centroids[j])))) for i, d, j in found]

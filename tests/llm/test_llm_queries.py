@@ -76,3 +76,18 @@ def test_token_files(spark, sf_dir, docs):
 
     tokenizer = Tokenizer.from_file(TOKENIZERS.path("byte_bpe_50k.json"))
     assert sorted(map(tuple, queries.QUERIES["op9_token_files"](spark, sf_dir).collect())) == brute.token_rows(docs, tokenizer)
+
+
+def test_golay_simhash(spark, sf_dir, docs):
+    rows = queries.QUERIES["op12_golay_simhash"](spark, sf_dir).collect()
+    assert sorted(map(tuple, rows)) == sorted(brute.fingerprint_groups(docs))
+
+
+def test_collocations_in_full(spark, sf_dir):
+    """The SQL and the query agree; at this size few phrases reach 100, so lower counts are compared as well."""
+    from evenkeel.llm.collocations import mine_collocations
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang")
+    rows = [tuple(r) for r in docs.collect()]
+    for least in (100, 4):
+        assert sorted(map(tuple, mine_collocations(docs, min_count=least).collect())) == brute.collocations(rows, least)
