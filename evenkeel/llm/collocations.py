@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import BASE, LOWER, Block, blocks, hash_words, mix, runs, split_words, windows
+from .arrays import BASE, BYTE_VALUES, LOWER, Block, blocks, hash_spans, hash_words, mix, runs, split_words, windows
 from .components import stored
 
 MAX_WORDS = 5
@@ -44,8 +44,11 @@ RANK_PARTS = 64
 
 # Of a task's trie: entries of a container, of all containers, and words that have an id.
 BURST = 1 << 12
-MAX_ENTRIES = 1 << 20
-MAX_IDS = 1 << 20
+MAX_ENTRIES = 1 << 19
+MAX_IDS = 1 << 19
+# Rows of a run that leave a task at a time, and bytes of text that are taken in at a time.
+RUN_ROWS = 1 << 16
+TEXT_BYTES = 1 << 21
 ID = np.dtype(">u4")
 
 FILTER_BITS_PER_ENTRY = 16
@@ -112,14 +115,14 @@ class HatTrie:
             node.children.setdefault(rest[:4], {})[rest[4:]] = n
         return node
 
-    def spill(self, keep: int) -> Iterator[tuple[object, list[tuple[bytes, int]]]]:
-        """Remove whole subtrees, the largest first, until ``keep`` entries stay; each comes as a sorted run."""
+    def spill(self, keep: int) -> Iterator[tuple[object, list[bytes], list[int]]]:
+        """Remove whole subtrees, the largest first, until ``keep`` entries stay: language, phrases and counts of each."""
         found = [(count(box), holder, name, lang, head) for holder, name, lang, head, box in self._subtrees()]
         for size, holder, name, lang, head in sorted(found, key=lambda x: -x[0]):
             if self.size <= keep:
                 break
             self.size -= size
-            yield lang, sorted(entries(holder.pop(name), head))
+            yield lang, *entries(holder.pop(name), head)
 
     def _subtrees(self) -> Iterator[tuple]:
         for lang, root in self.roots.items():
@@ -134,14 +137,16 @@ def count(box: Node | dict) -> int:
     return len(box) if type(box) is dict else sum(map(count, box.children.values()))
 
 
-def entries(box: Node | dict, head: bytes) -> Iterator[tuple[bytes, int]]:
+def entries(box: Node | dict, head: bytes) -> tuple[list[bytes], list[int]]:
     """All phrases of a subtree, with the words on the way to it, and their counts."""
     if type(box) is dict:
-        for rest, n in box.items():
-            yield head + rest, n
-    else:
-        for word, child in box.children.items():
-            yield from entries(child, head + word)
+        return [head + rest for rest in box], list(box.values())
+    keys, counts = [], []
+    for word, child in box.children.items():
+        more, n = entries(child, head + word)
+        keys += more
+        counts += n
+    return keys, counts
 
 
 class Filter(NamedTuple):
@@ -180,15 +185,15 @@ class Counter:
         words = runs(IN_WORD[data], block.offsets)
         if not len(words.starts):
             return
-        hashes = hash_words(data, words)
         # Word bytes lie side by side once the others are left out, so Arrow can tell words apart exactly.
         sizes = words.ends - words.starts
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         column = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data[IN_WORD[data]])])
         coded = column.dictionary_encode()
         places, vocabulary = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-        one_of = np.empty(len(vocabulary), np.uint64)
-        one_of[places] = hashes
+        borders = np.frombuffer(vocabulary.buffers()[1], np.int32, len(vocabulary) + 1)
+        one_of = hash_spans(BYTE_VALUES[np.frombuffer(vocabulary.buffers()[2], np.uint8)[:borders[-1]]], borders[:-1], borders[1:])
+        hashes = one_of[places]
         for rows, counts in self._distinct(lang, data, block, words, hashes, places, len(vocabulary)):
             used = np.unique(rows)
             task_ids = np.zeros(len(vocabulary), ID)
@@ -240,29 +245,35 @@ class Counter:
         if not self.trie.size:
             return
         vocabulary, hashes = pa.array(list(self.ids), pa.string()), np.array(self.hashes, np.uint64)
-        held: list[tuple[object, list[tuple[bytes, int]]]] = []
-        size = 0
-        for lang, run in self.trie.spill(keep):
-            held.append((lang, run))
-            size += len(run)
-            if size >= 1 << 16:
-                yield from self._rows(held, vocabulary, hashes)
-                held, size = [], 0
-        yield from self._rows(held, vocabulary, hashes)
-
-    def _rows(self, held: list, vocabulary: pa.Array, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held: dict[object, tuple[list[bytes], list[int]]] = {}
+        for lang, keys, counts in self.trie.spill(keep):
+            mine = held.setdefault(lang, ([], []))
+            mine[0].extend(keys)
+            mine[1].extend(counts)
+            if len(mine[0]) >= RUN_ROWS:
+                yield from self._run(lang, *held.pop(lang), vocabulary, hashes)
+        for lang, (keys, counts) in held.items():
+            yield from self._run(lang, keys, counts, vocabulary, hashes)
+
+    def _run(self, lang: str, keys: list[bytes], counts: list[int], vocabulary: pa.Array, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Some subtrees of one language as a sorted run, lengths apart."""
+        sizes, n = np.fromiter(map(len, keys), np.int64, len(keys)) // 4, np.array(counts, np.int64)
+        whole = np.frombuffer(b"".join(keys), ID)
+        starts = np.cumsum(sizes) - sizes
         for length in range(self.shortest, self.longest + 1):
-            mine = [(lang, key, n) for lang, run in held for key, n in run if len(key) == 4 * length]
-            if not mine:
+            mine = np.flatnonzero(sizes == length)
+            if not len(mine):
                 continue
-            ids = np.frombuffer(b"".join([key for _, key, _ in mine]), ID).reshape(-1, length).astype(np.int64)
+            ids = whole[starts[mine, None] + np.arange(length)].astype(np.int64)
+            order = np.lexsort(ids.T[::-1])
+            ids = ids[order]
             columns = [vocabulary.take(pa.array(ids[:, i])) for i in range(length)]
             phrases = pc.binary_join_element_wise(*columns, " ") if length > 1 else columns[0]
             first = hashes[ids[:, 0]]
             prefix = first if length == 1 else mix(first + hashes[ids[:, 1]] * np.uint64(BASE))
             yield pa.RecordBatch.from_arrays([
-                pa.array([lang for lang, _, _ in mine], pa.string()), pa.array((prefix >> np.uint64(33)).astype(np.int32)), phrases,
-                pa.array([n for _, _, n in mine], pa.int64())], names=["lang", "prefix", "phrase", "n"])
+                pa.repeat(pa.scalar(lang, pa.string()), len(ids)), pa.array((prefix >> np.uint64(33)).astype(np.int32)), phrases, pa.array(n[mine][order])],
+                names=["lang", "prefix", "phrase", "n"])
 
 
 def in_portions(texts: pa.Array) -> pa.Array:
@@ -293,7 +304,7 @@ def counted(docs: DataFrame, shortest: int, longest: int, needed: Filter | None,
             langs = batch.column("lang").dictionary_encode()
             for place, lang in enumerate(langs.dictionary.to_pylist()):
                 texts = batch.column("text").filter(pc.equal(langs.indices, place))
-                for block in blocks(in_portions(texts)):
+                for block in blocks(in_portions(texts), TEXT_BYTES):
                     counter.add(lang, block)
                     if len(counter.ids) > MAX_IDS:
                         yield from counter.spill(0)
