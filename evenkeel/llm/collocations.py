@@ -6,9 +6,10 @@ are per language (null: ``und``): n counts words, f(phrase) all its occurrences
 floor(1000 a n / (l r)), with l and r the counts of both parts, in decimals of 38 digits; its lowest cut counts, on a tie the first.
 Candidates inside a longer candidate that is at least ``ABSORB`` percent as frequent are dropped.
 
-A phrase cannot be more frequent than a part of it, so three passes over the texts suffice, for single words, pairs, and all
-that is longer: a pair is counted if both words, a longer phrase if all its pairs are frequent, as far as a bit filter
-can tell. Filters have 16 bits for each entry, 32 MB at most; when they fill up more is counted, with the same results.
+A phrase cannot be more frequent than a part of it, nor than all that shares its hash. So the texts are passed four times: words are counted;
+pairs are counted by buckets of their hash (``pair_sketch``); the pairs of buckets that reach the least count are counted themselves; and of longer
+phrases those whose pairs are all frequent, as far as a bit filter can tell. There are ``PAIRS_PER_BUCKET`` words to a bucket and 16 bits to a filter's
+entry, up to 2**28 (32 MB of bits); in corpora beyond that more is counted, with the same results.
 
 Every task counts with a ``HatTrie``: words get ids of the task; hash containers hold the rests of phrases and burst into a node by the
 next word when they grow past ``BURST``, so a shallow trie of word ids stands over them. Past ``MAX_ENTRIES`` entries the largest
@@ -28,6 +29,7 @@ from typing import Iterator, NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +55,9 @@ ID = np.dtype(">u4")
 
 FILTER_BITS_PER_ENTRY = 16
 LEAST_FILTER_BITS, MOST_FILTER_BITS = 1 << 20, 1 << 28
+PAIRS_PER_BUCKET = 8
+# Pairs of a task that are put in order at a time, and the shares of the buckets that are added up apart.
+SKETCH_PAIRS, SKETCH_PARTS = 1 << 22, 1 << 6
 
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 ENDS_PIECE = np.zeros(256, bool)
@@ -168,8 +173,17 @@ def pair_hashes(word_hashes: np.ndarray) -> np.ndarray:
     return mix(word_hashes[:-1] + word_hashes[1:] * np.uint64(BASE))
 
 
+def in_one_piece(data: np.ndarray, block: Block, starts: np.ndarray) -> np.ndarray:
+    """Which words lie in one piece with the word that follows."""
+    breaks = np.zeros(len(data) + 1, np.int32)
+    breaks[:-1] = ENDS_PIECE[data]
+    breaks[block.offsets[:-1]] += 1
+    piece = np.cumsum(breaks)[starts]
+    return piece[1:] == piece[:-1]
+
+
 class Counter:
-    """The phrases of one task, of ``shortest`` to ``longest`` words; ``needed`` tells which words (pairs, if longer) may be frequent."""
+    """The phrases of one task, of ``shortest`` to ``longest`` words; ``needed`` tells which pairs may be frequent."""
 
     def __init__(self, shortest: int, longest: int, needed: Filter | None) -> None:
         self.shortest, self.longest, self.needed = shortest, longest, needed
@@ -217,17 +231,8 @@ class Counter:
             found, counts = np.unique(places, return_counts=True)
             yield found[:, None], counts
             return
-        breaks = np.zeros(len(data) + 1, np.int32)
-        breaks[:-1] = ENDS_PIECE[data]
-        breaks[block.offsets[:-1]] += 1
-        piece = np.cumsum(breaks)[words.starts]
-        good = piece[1:] == piece[:-1]
-        seed = seed_of(lang)
-        if self.shortest == 2:
-            frequent = self.needed.known(mix(hashes ^ seed))
-            good &= frequent[1:] & frequent[:-1]
-        else:
-            good &= self.needed.known(mix(pair_hashes(hashes) ^ seed))
+        good = in_one_piece(data, block, words.starts)
+        good &= self.needed.known(mix(pair_hashes(hashes) ^ seed_of(lang)))
         starts = np.flatnonzero(good)
         codes, rows = places[starts], np.arange(n_words)[:, None]
         for length in range(2, self.longest + 1):
@@ -317,9 +322,67 @@ def counted(docs: DataFrame, shortest: int, longest: int, needed: Filter | None,
     return runs_of_tasks.groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("f")).drop("prefix")
 
 
-def filter_of(phrases: DataFrame, n_words: int) -> Filter:
-    """The filter for stored phrases (lang, phrase) of one or two words."""
-    size = phrases.count()
+def pair_sketch(docs: DataFrame, n_words: int, min_count: int) -> Filter:
+    """The buckets of pair hashes that ``min_count`` pairs of documents (lang, text) fall into; a frequent pair is in one of them.
+
+    Tasks send the buckets they hit, sorted and packed; each share of the buckets is added up by one task, row by row. What comes
+    to the driver is a bit for each bucket.
+    """
+    log2 = min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, n_words // PAIRS_PER_BUCKET)).bit_length() - 1
+    share = (1 << log2) // SKETCH_PARTS
+
+    def packed_rows(held: list[np.ndarray]) -> pa.RecordBatch:
+        places, counts = np.unique(np.concatenate(held), return_counts=True)
+        cuts = np.searchsorted(places, np.arange(SKETCH_PARTS + 1) * share)
+        parts = [p for p in range(SKETCH_PARTS) if cuts[p] < cuts[p + 1]]
+        squeeze = zstandard.ZstdCompressor(level=1)
+        rows = []
+        for p in parts:
+            at = slice(cuts[p], cuts[p + 1])
+            both = np.stack([np.diff(places[at], prepend=p * share), counts[at]]).astype("<u4")
+            # Bytes of equal weight lie side by side, so the many zeros vanish.
+            rows.append(squeeze.compress(both.reshape(-1).view(np.uint8).reshape(-1, 4).T.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(rows, pa.binary())], names=["part", "counts"])
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            langs = batch.column("lang").dictionary_encode()
+            for place, lang in enumerate(langs.dictionary.to_pylist()):
+                texts = batch.column("text").filter(pc.equal(langs.indices, place))
+                for block in blocks(in_portions(texts), TEXT_BYTES):
+                    data = LOWER[block.data]
+                    words = runs(IN_WORD[data], block.offsets)
+                    if len(words.starts) < 2:
+                        continue
+                    hashes = mix(pair_hashes(hash_words(data, words)) ^ seed_of(lang))[in_one_piece(data, block, words.starts)]
+                    held.append((hashes >> np.uint64(64 - log2)).astype(np.int64))
+                    size += len(held[-1])
+                    if size >= SKETCH_PAIRS:
+                        yield packed_rows(held)
+                        held, size = [], 0
+        if size:
+            yield packed_rows(held)
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, loosen = np.zeros(share, np.int64), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for raw in batch.column("counts"):
+                flat = np.frombuffer(loosen.decompress(raw.as_py()), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(2, -1)
+                total[np.cumsum(flat[0].astype(np.int64))] += flat[1]
+        bits = np.packbits(total >= min_count, bitorder="little").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([bits], pa.binary())], names=["part", "bits"])
+
+    rows = docs.mapInArrow(tally, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, bits binary").collect()
+    bits = np.zeros((SKETCH_PARTS, share // 8), np.uint8)
+    for row in rows:
+        bits[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return Filter(bits.reshape(-1), log2)
+
+
+def filter_of(pairs: DataFrame) -> Filter:
+    """The filter for stored pairs (lang, phrase)."""
+    size = pairs.count()
     log2 = min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, FILTER_BITS_PER_ENTRY * size)).bit_length() - 1
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,14 +392,12 @@ def filter_of(phrases: DataFrame, n_words: int) -> Filter:
                 mine = batch.column("phrase").filter(pc.equal(langs.indices, at)).cast(pa.binary())
                 for block in blocks(mine):
                     words = split_words(block)
-                    hashes = hash_words(block.data, words)
-                    if n_words == 2:
-                        hashes = pair_hashes(hashes)[windows(words.first, 2)[0]]
+                    hashes = pair_hashes(hash_words(block.data, words))[windows(words.first, 2)[0]]
                     bits = (mix(hashes ^ seed_of(lang)) >> np.uint64(64 - log2)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(bits)], names=["bit"])
 
     word = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("bit") % 64).cast("int"))
-    rows = phrases.mapInArrow(place, "bit bigint").groupBy(F.shiftright("bit", 6).alias("slot")).agg(F.bit_or(word).alias("bits")).toArrow()
+    rows = pairs.mapInArrow(place, "bit bigint").groupBy(F.shiftright("bit", 6).alias("slot")).agg(F.bit_or(word).alias("bits")).toArrow()
     bits = np.zeros(1 << (log2 - 6), np.int64)
     bits[rows.column("slot").to_numpy()] = rows.column("bits").to_numpy()
     return Filter(bits.view(np.uint8), log2)
@@ -384,10 +445,11 @@ def mine_collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "
     words = stored(counted(texts, 1, 1, None, max_entries), "collocations")
     totals = stored(words.groupBy("lang").agg(F.sum("f").alias("n")), "collocations")
     single = words.where(frequent)
-    candidates = stored(counted(texts, 2, 2, filter_of(single, 1), max_entries).where(frequent), "collocations")
+    n_words = totals.agg(F.sum("n")).first()[0] or 0
+    candidates = stored(counted(texts, 2, 2, pair_sketch(texts, n_words, min_count), max_entries).where(frequent), "collocations")
     if max_words > 2:
         pairs = candidates
-        candidates = pairs.union(stored(counted(texts, 3, max_words, filter_of(pairs, 2), max_entries).where(frequent), "collocations"))
+        candidates = pairs.union(stored(counted(texts, 3, max_words, filter_of(pairs), max_entries).where(frequent), "collocations"))
     counts = single.union(candidates)
     named = candidates.select("lang", "phrase", F.col("f").alias("a"))
     scored = best_cuts(named, counts, totals).join(absorbed(named), ["lang", "phrase"], "left")

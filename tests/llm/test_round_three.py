@@ -118,6 +118,27 @@ def everything():
     return collocations.Filter(np.full(1 << 17, 255, np.uint8), 20)
 
 
+def test_sketch_knows_every_frequent_pair(spark, monkeypatch):
+    """Buckets are shared by many pairs here; none of those that reach the count is missing, and most others are."""
+    monkeypatch.setattr(collocations, "LEAST_FILTER_BITS", 1 << 12)
+    monkeypatch.setattr(collocations, "SKETCH_PAIRS", 500)
+    source = random.Random(12)
+    texts = [(" ".join(f"w{int(source.paretovariate(0.6))}" for _ in range(80)).encode(), source.choice(["en", "de"])) for _ in range(150)]
+    sketch = collocations.pair_sketch(spark.createDataFrame(texts, "text binary, lang string").repartition(3), 12_000, 5)
+    f = {lang: {} for lang in ("en", "de")}
+    for text, lang in texts:
+        found = text.split()
+        for pair in zip(found, found[1:]):
+            f[lang][pair] = f[lang].get(pair, 0) + 1
+    verdicts = {True: [], False: []}
+    for lang, counts in f.items():
+        for pair, n in counts.items():
+            block = next(collocations.blocks(pa.array([b" ".join(pair)], pa.binary())))
+            hashes = collocations.pair_hashes(collocations.hash_words(block.data, collocations.split_words(block)))
+            verdicts[n >= 5].append(bool(sketch.known(collocations.mix(hashes ^ collocations.seed_of(lang)))[0]))
+    assert all(verdicts[True]) and verdicts[True] and sum(verdicts[False]) < 0.5 * len(verdicts[False])
+
+
 def test_trie_bursts_and_spills_whole_subtrees():
     trie = collocations.HatTrie(depth=2, burst=8)
     source = random.Random(5)
