@@ -34,6 +34,25 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key, scale: int | None =
     return sums.select(*key, status.alias("status"))
 
 
+def _same_key(key: list[str]):
+    return [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
+
+
+def added_rows(before: DataFrame, after: DataFrame, key) -> DataFrame:
+    """Rows of ``after`` whose key ``before`` does not have; without hashing, null keys are equal."""
+    return after.alias("a").join(before.select(*as_list(key)).alias("b"), _same_key(as_list(key)), "left_anti")
+
+
+def removed_rows(before: DataFrame, after: DataFrame, key) -> DataFrame:
+    """Rows of ``before`` whose key ``after`` does not have."""
+    return added_rows(after, before, key)
+
+
+def kept_rows(before: DataFrame, after: DataFrame, key) -> DataFrame:
+    """Rows of ``after`` whose key ``before`` has as well, changed or not."""
+    return after.alias("a").join(before.select(*as_list(key)).alias("b"), _same_key(as_list(key)), "left_semi")
+
+
 def compare_manifests(stored: DataFrame, computed: DataFrame) -> DataFrame:
     """Status of each table of a snapshot: ``ok``, ``changed``, ``missing`` or ``extra``."""
     a, b = stored.alias("a"), computed.alias("b")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.accumulators import exact_sum
 from ..functions.draws import bernoulli
 from ..functions.tokens import row_fingerprint as row_hash
 from ..operators import compare as J
@@ -124,7 +125,7 @@ def tamper_check(spark, sf_dir):
         first = tables[name].agg(F.min(key).alias("__first"))
         edited = tables[name].join(F.broadcast(first), F.col(key) == F.col("__first"), "left").withColumn(
             column, F.col(column) + F.when(F.col("__first").isNotNull(), 1.0).otherwise(0.0)).drop("__first")
-        edited.write.mode("overwrite").parquet(N.data_path(root, 1, name))
+        edited.write.mode("overwrite").parquet(N.part_paths(root, N.read_manifest(spark, root, 1), name)[0])
         try:
             N.load_snapshot(spark, root)
             refused = False
@@ -136,6 +137,108 @@ def tamper_check(spark, sf_dir):
     return out
 
 
+SLICES = 6
+SLICE_SQL = f"(event_id % {SLICES})"
+
+
+def _appended(spark, sf_dir, max_parts):
+    """Events arriving in slices, a version for each."""
+    root = work_path(spark, "appended")
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    for part in range(SLICES):
+        N.append_snapshot({"events": events.filter(F.col("event_id") % SLICES == part)}, root, part, max_parts=max_parts)
+    return root, events
+
+
+@query(f"""
+with s as (select {SLICE_SQL} as v, count(*) as n from events group by 1),
+small as (select sum(n) as n from (select n from s where v < 4 order by n, v limit 2))
+select v::BIGINT as v, (sum(n) over (order by v))::BIGINT as n_rows, (n + case when v = 4 then (select n from small) else 0 end)::BIGINT as n_written,
+       'ok' as status, (case when v < 4 then v + 1 else v - 1 end)::BIGINT as n_parts
+from s""")
+def incremental_snapshots(spark, sf_dir):
+    """Each version writes its own slice; the fifth finds four parts and takes in the two smallest. All verify."""
+    root, _ = _appended(spark, sf_dir, max_parts=4)
+    listed = N.list_snapshots(spark, root).withColumn("mine", F.col("part").startswith(F.concat(F.lit("v="), F.col("v"), F.lit("/"))))
+    sizes = listed.groupBy("v").agg(F.sum("n_rows").alias("n_rows"), F.sum(F.when(F.col("mine"), F.col("n_rows"))).alias("n_written"), F.count("*").alias("n_parts"))
+    checks = None
+    for v in range(SLICES):
+        row = N.check_snapshot(spark, root, v).select(F.lit(v).cast("bigint").alias("v"), "status")
+        checks = row if checks is None else checks.unionByName(row)
+    return sizes.join(checks, "v").select("v", "n_rows", "n_written", "status", "n_parts")
+
+
+@query(f"""
+select v::BIGINT as v, n_rows::BIGINT as n_rows, true as loads, {SLICES - 2}::BIGINT as n_gone, true as equal from (
+  select {SLICE_SQL} as v, sum(count(*)) over (order by {SLICE_SQL}) as n_rows from events group by 1) where v >= {SLICES - 2}""")
+def snapshot_pruning(spark, sf_dir):
+    """After the newest two versions are kept they still load in full, and nothing else is left; the newest equals the events."""
+    root, events = _appended(spark, sf_dir, max_parts=16)
+    gone = N.prune_snapshots(spark, root, keep=2)
+    out = None
+    for v in (SLICES - 2, SLICES - 1):
+        held = N.load_snapshot(spark, root, v)["events"]
+        want = events.filter(F.col("event_id") % SLICES <= v)
+        same = H.table_fingerprint(held).unionByName(H.table_fingerprint(want)).agg(
+            (F.count_distinct("hash_sum", "n_rows", "schema_hash") == 1).alias("equal"), F.max("n_rows").alias("n_rows"))
+        row = same.select(F.lit(v).cast("bigint").alias("v"), "n_rows", F.lit(True).alias("loads"), F.lit(len(gone)).cast("bigint").alias("n_gone"), "equal")
+        out = row if out is None else out.unionByName(row)
+    return out.join(N.list_snapshots(spark, root).select("v").distinct(), "v").select("v", "n_rows", "loads", "n_gone", "equal")
+
+
+def _edited_orders(orders):
+    edited = orders.filter(~bernoulli(0.02, SEED, "drop", "o_orderkey")).withColumn(
+        "o_totalprice", F.when(bernoulli(0.03, SEED, "edit", "o_orderkey"), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return edited.unionByName(orders.filter(bernoulli(0.01, SEED, "add", "o_orderkey")).withColumn("o_orderkey", -F.col("o_orderkey") - 1))
+
+
+@query(f"""
+with edited as (
+    select o_orderkey, case when {sql_uniform(SEED, "edit", "o_orderkey")} < 0.03 then 'changed' else 'same' end as status from orders
+    where {sql_uniform(SEED, "drop", "o_orderkey")} >= 0.02)
+select o_orderkey, coalesce(e.status, 'removed') as status from orders left join edited e using (o_orderkey) where coalesce(e.status, 'removed') <> 'same'
+union all
+select -o_orderkey - 1, 'added' from orders where {sql_uniform(SEED, "add", "o_orderkey")} < 0.01""")
+def snapshot_tree_diff(spark, sf_dir):
+    """The differing keys of two versions, through their trees."""
+    root, orders = work_path(spark, "trees"), read(spark, sf_dir, "orders")
+    N.save_snapshot({"orders": orders}, root, 1, keys={"orders": "o_orderkey"})
+    N.save_snapshot({"orders": _edited_orders(orders)}, root, 2, keys={"orders": "o_orderkey"})
+    return N.diff_snapshots(spark, root, 1, 2, "orders")
+
+
+@query("""
+select o_orderkey, 'changed' as status, true as reads_little from (select o_orderkey from orders order by o_orderkey limit 10)""")
+def tree_diff_of_few(spark, sf_dir):
+    """Ten changed rows: under a twentieth of the table is read to find them."""
+    root, orders = work_path(spark, "trees"), read(spark, sf_dir, "orders")
+    few = orders.select("o_orderkey").orderBy("o_orderkey").limit(10).withColumn("__few", F.lit(True))
+    changed = orders.join(F.broadcast(few), "o_orderkey", "left").withColumn(
+        "o_totalprice", F.col("o_totalprice") + F.when(F.col("__few"), 1.0).otherwise(0.0)).drop("__few")
+    for version, table in ((1, orders), (2, changed)):
+        N.save_snapshot({"orders": table}, root, version, keys={"orders": "o_orderkey"})
+    rows_read = N.differing_rows(spark, root, 1, 2, "orders", 2).count()
+    return N.diff_snapshots(spark, root, 1, 2, "orders").withColumn("reads_little", F.lit(20 * rows_read < orders.count()))
+
+
+@query(f"""
+select 'added' as part, count(*) as n_rows, round(sum(o_totalprice::DECIMAL(28,10))::DOUBLE, 4) as total from orders where {sql_uniform(SEED, "add", "o_orderkey")} < 0.01
+union all select 'removed', count(*), round(sum(o_totalprice::DECIMAL(28,10))::DOUBLE, 4) from orders where {sql_uniform(SEED, "drop", "o_orderkey")} < 0.02
+union all select 'kept', count(*), round(sum((o_totalprice + case when {sql_uniform(SEED, "edit", "o_orderkey")} < 0.03 then 1 else 0 end)::DECIMAL(28,10))::DOUBLE, 4)
+from orders where {sql_uniform(SEED, "drop", "o_orderkey")} >= 0.02""")
+def diff_shortcuts(spark, sf_dir):
+    """Added, removed and kept rows by semi and anti joins on the key alone."""
+    orders = read(spark, sf_dir, "orders")
+    edited = _edited_orders(orders)
+    found = {"added": J.added_rows, "removed": J.removed_rows, "kept": J.kept_rows}
+    out = None
+    for name, rows_of in found.items():
+        part = rows_of(orders, edited, "o_orderkey").agg(F.count(F.lit(1)).alias("n_rows"), F.round(exact_sum("o_totalprice").cast("double"), 4).alias("total"))
+        part = part.select(F.lit(name).alias("part"), "n_rows", "total")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 RULES = {
     "quantity_positive": "l_quantity > 0", "discount_in_range": "l_discount between 0 and 0.05",
     "tax_finite": "isfinite(l_tax)", "flag_known": "l_returnflag in ('A', 'N', 'R')"}

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.fingerprint import table_fingerprint
-from ..sources.snapshots import commit, data_path, latest_version, load_snapshot, stage_tables
+from ..sources.files import exists
+from ..sources.snapshots import commit, committed, latest_version, load_snapshot, read_manifest, stage_tables, staged_path
 from .sinks import _triggered
 
 LOG = logging.getLogger(__name__)
@@ -35,29 +36,36 @@ def guarded_update(stream: DataFrame, root: str, update: Update, gate: Mapping[s
 
     ``update`` gets the newest state committed below this batch (None at first) and the batch.
     ``gate`` names boolean aggregates over the candidate; all must be true. The candidate is written
-    once, checked from there, and committed by its manifest, so a rejected one is never visible and
-    a replay of the batch starts from the same state and gives the same result.
+    once, checked from there, and committed by its manifest, so a rejected one is never visible. A batch whose version
+    is committed is skipped when it comes again, but for its status row if that is missing; a rejected one is tried again from the
+    same state with the same result. What a stopped attempt has written is never read.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        base = latest_version(spark, root, below=batch_id)
+        done = committed(spark, root, batch_id)
+        if done and exists(spark, f"{_status_path(root, batch_id)}/_SUCCESS"):
+            return
+        base = read_manifest(spark, root, batch_id).base if done else latest_version(spark, root, below=batch_id)
         current = None if base is None else load_snapshot(spark, root, base)[STATE]
         reasons, figures, changed = [], (None, None), None
         try:
-            stage_tables({STATE: update(current, batch)}, root, batch_id, mode)
-            candidate = spark.read.parquet(data_path(root, batch_id, STATE))
+            if done:
+                candidate = load_snapshot(spark, root, batch_id)[STATE]
+            else:
+                attempt = stage_tables({STATE: update(current, batch)}, root, batch_id, mode)
+                candidate = spark.read.parquet(staged_path(root, batch_id, attempt, STATE))
             checks = candidate.agg(*[F.coalesce(ok, F.lit(False)).alias(name) for name, ok in gate.items()],
                                    _figure(loss, "__loss"), _figure(norm, "__norm")).first()
             figures = (checks["__loss"], checks["__norm"])
             reasons = [name for name in gate if not checks[name]]
             changed = current is None or _hash(candidate, scale) != _hash(current, scale)
         except (PySparkException, ValueError, ArithmeticError) as error:
-            if not blames_data(error):
+            if done or not blames_data(error):
                 raise
             LOG.warning("batch %s rejected: %s", batch_id, error)
             reasons = [type(error).__name__]
-        if not reasons:
-            commit(spark, root, batch_id, [STATE], mode, scale=scale)
+        if not reasons and not done:
+            commit(spark, root, batch_id, attempt, [STATE], mode, scale=scale, base=base)
         _report(spark, root, batch_id, base, not reasons, ",".join(reasons) or None, figures, changed)
 
     return _triggered(stream.writeStream.foreachBatch(run), checkpoint, interval).start()
@@ -75,7 +83,11 @@ def _hash(df: DataFrame, scale: int | None):
 def _report(spark: SparkSession, root: str, batch_id: int, base, accepted: bool, reason, figures, changed) -> None:
     schema = "accepted boolean, reason string, base bigint, loss double, norm double, changed boolean"
     row = (accepted, reason, base, figures[0] if accepted else float("nan"), figures[1], changed)
-    spark.createDataFrame([row], schema).write.mode("overwrite").parquet(f"{root}/status/batch_id={batch_id}")
+    spark.createDataFrame([row], schema).write.mode("overwrite").parquet(_status_path(root, batch_id))
+
+
+def _status_path(root: str, batch_id: int) -> str:
+    return f"{root}/status/batch_id={batch_id}"
 
 
 def update_status(spark: SparkSession, root: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..operators.heat import as_list
 from ..sources.artifacts import TIME_FORMATS
-from ..sources.snapshots import latest_version, save_snapshot
+from ..sources.files import names_in
+from ..sources.snapshots import append_snapshot, latest_version
 
 
 def _triggered(writer: DataStreamWriter, checkpoint: str, interval: str | None) -> DataStreamWriter:
@@ -44,21 +45,31 @@ def stream_trace_sink(stream: DataFrame, path: str, checkpoint: str, n: int = 51
 
 def periodic_snapshot(stream: DataFrame, path: str, root: str, checkpoint: str, every: int = 10, mode: str = "light",
                       scale: int | None = None, interval: str | None = None) -> StreamingQuery:
-    """Append each micro-batch below ``path``; every n-th one also saves a verified snapshot of all so far."""
+    """Append each micro-batch below ``path``; every n-th one also commits a snapshot of all rows so far.
+
+    A snapshot adds the rows since the last one to its parts, so what is written follows the new rows. A version that is committed is
+    skipped when its batch comes again.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
         if (batch_id + 1) % every == 0:
-            rows = batch.sparkSession.read.parquet(path).filter(F.col("batch_id") <= batch_id)
-            save_snapshot({"rows": rows}, root, batch_id, mode, scale=scale, replace=True)
+            _append_since(batch.sparkSession, path, root, batch_id, mode, scale)
 
     return _triggered(stream.writeStream.outputMode("append").foreachBatch(write), checkpoint, interval).start()
 
 
+def _append_since(spark: SparkSession, path: str, root: str, batch_id: int, mode: str, scale: int | None) -> None:
+    newest = latest_version(spark, root, below=batch_id)
+    number = F.col("batch_id").cast("bigint")
+    fresh = spark.read.parquet(path).withColumn("batch_id", number).filter((number <= batch_id) & (number > (-1 if newest is None else newest)))
+    append_snapshot({"rows": fresh}, root, batch_id, mode, scale=scale, if_committed="skip")
+
+
 def snapshot_rest(spark: SparkSession, path: str, root: str, mode: str = "light", scale: int | None = None) -> int | None:
-    """Save what ``periodic_snapshot`` wrote since its last snapshot; returns the newest version."""
-    rows = spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("bigint"))
-    last, newest = rows.agg(F.max("batch_id")).first()[0], latest_version(spark, root)
-    if last is not None and (newest is None or newest < last):
-        save_snapshot({"rows": rows}, root, last, mode, scale=scale, replace=True)
-        return last
+    """Commit what ``periodic_snapshot`` wrote since its last snapshot; returns the newest version."""
+    batches = [int(name[9:]) for name in names_in(spark, path) if name.startswith("batch_id=")]
+    newest = latest_version(spark, root)
+    if batches and (newest is None or newest < max(batches)):
+        _append_since(spark, path, root, max(batches), mode, scale)
+        return max(batches)
     return newest

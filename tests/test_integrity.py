@@ -16,7 +16,7 @@ from evenkeel.operators import model as M
 from evenkeel.operators import quality as Q
 from evenkeel.operators import records as R
 from evenkeel.session import work_path
-from evenkeel.sources import artifacts, snapshots, traces
+from evenkeel.sources import artifacts, files, snapshots, traces
 
 
 def mark(df, **kw):
@@ -78,7 +78,8 @@ def test_snapshot_protocol(spark, events):
     loaded = snapshots.load_snapshot(spark, root)
     assert mark(loaded["events"]) == mark(events) and rows(loaded["player"]) == rows(players)
     assert snapshots.list_snapshots(spark, root).count() == 6
-    players.withColumn("hp", F.col("hp") + 1).write.mode("overwrite").parquet(snapshots.data_path(root, 3, "player"))
+    stored = snapshots.part_paths(root, snapshots.read_manifest(spark, root, 3), "player")
+    players.withColumn("hp", F.col("hp") + 1).write.mode("overwrite").parquet(*stored)
     with pytest.raises(snapshots.SnapshotMismatch):
         snapshots.load_snapshot(spark, root)
     warned = snapshots.load_snapshot(spark, root, on_mismatch="warn")
@@ -90,6 +91,82 @@ def test_snapshot_protocol(spark, events):
         snapshots.load_snapshot(spark, root, 4)
 
 
+def test_committed_versions_are_never_rewritten(spark):
+    root = work_path(spark, "test-attempts")
+    one, two = (spark.range(n).toDF("x") for n in (3, 5))
+    snapshots.save_snapshot({"t": one}, root, 1)
+    # A second run that stops between data and manifest, and one that gets to the manifest, change nothing.
+    attempt = snapshots.stage_tables({"t": two}, root, 1)
+    assert snapshots.load_snapshot(spark, root, 1)["t"].count() == 3
+    assert not snapshots.commit(spark, root, 1, attempt, ["t"])
+    assert snapshots.load_snapshot(spark, root)["t"].count() == 3
+    assert snapshots.save_snapshot({"t": two}, root, 1, if_committed="skip") == 1
+    assert {r["status"] for r in snapshots.check_snapshot(spark, root, 1).collect()} == {"ok"}
+    assert len(files.names_in(spark, f"{root}/data/v=1")) == 2
+    # A folder without its manifest is no version.
+    files.create_once(spark, f"{root}/manifests/v=7/other", "")
+    assert snapshots.latest_version(spark, root) == 1 and snapshots.list_snapshots(spark, root).filter("v = 1").count() == 1
+    assert not [n for n in files.names_in(spark, f"{root}/manifests") if n.startswith("_draft")]
+
+
+def test_appended_parts_and_compaction(spark):
+    root = work_path(spark, "test-append")
+    for v in range(20):
+        snapshots.append_snapshot({"t": spark.range(v * 10, v * 10 + 10).toDF("x")}, root, v, max_parts=4)
+        manifest = snapshots.read_manifest(spark, root, v)
+        assert len(manifest.parts) <= 4 and sum(p.n_rows for p in manifest.parts) == 10 * (v + 1) and manifest.base == (v - 1 if v else None)
+    whole = snapshots.load_snapshot(spark, root)["t"]
+    assert mark(whole) == mark(spark.range(200).toDF("x"))
+    written = sum(p.n_rows for p in {p for v in range(20) for p in snapshots.read_manifest(spark, root, v).parts})
+    assert written <= 200 * 5
+    assert {r["status"] for v in (0, 4, 5, 19) for r in snapshots.check_snapshot(spark, root, v).collect()} == {"ok"}
+    with pytest.raises(ValueError):
+        snapshots.append_snapshot({"t": spark.range(3).toDF("y")}, root, 30)
+    with pytest.raises(ValueError):
+        snapshots.append_snapshot({"t": spark.range(3).toDF("x")}, root, 30, scale=2)
+    # A running attempt at a later version is not touched by pruning; parts that only old versions name go.
+    running = snapshots.stage_tables({"t": whole}, root, 25)
+    assert snapshots.prune_snapshots(spark, root, keep=3) == list(range(17))
+    assert mark(snapshots.load_snapshot(spark, root, 17)["t"]) == mark(spark.range(180).toDF("x"))
+    named = {p.place.rsplit("/", 1)[0] for v in (17, 18, 19) for p in snapshots.read_manifest(spark, root, v).parts}
+    left = {f"{d}/{a}" for d in files.names_in(spark, f"{root}/data") for a in files.names_in(spark, f"{root}/data/{d}")}
+    assert left == named | {f"v=25/attempt={running}"}
+    assert snapshots.commit(spark, root, 25, running, ["t"]) and mark(snapshots.load_snapshot(spark, root)["t"]) == mark(whole)
+    with pytest.raises(ValueError):
+        snapshots.prune_snapshots(spark, root, keep=0)
+
+
+def test_tree_diff_reads_what_differs(spark):
+    """Parts, shared parts, hot and null keys, other depths: the same rows as the diff of whole tables."""
+    root = work_path(spark, "test-trees")
+    base = spark.range(4000).select((F.col("id") % 3500).alias("k"), F.col("id").cast("string").alias("x"))
+    base = base.unionByName(spark.range(500).select(F.lit(7).cast("bigint").alias("k"), F.lit("hot").alias("x"))).unionByName(
+        spark.createDataFrame([(None, "none")], "k bigint, x string"))
+    more = spark.createDataFrame([(9000 + i, "new") for i in range(3)] + [(5, "5"), (None, "none")], "k bigint, x string")
+    snapshots.save_snapshot({"t": base}, root, 1, keys={"t": "k"})
+    snapshots.append_snapshot({"t": more}, root, 2)
+    edited = base.withColumn("x", F.when(F.col("k") == 3000, "other").otherwise(F.col("x"))).filter("k <> 12 or k is null")
+    snapshots.save_snapshot({"t": edited}, root, 3, keys={"t": "k"}, depth=3)
+    whole = {1: base, 2: base.unionByName(more), 3: edited}
+    for a, b in ((1, 2), (2, 1), (1, 3), (2, 3)):
+        got = snapshots.diff_snapshots(spark, root, a, b, "t")
+        assert rows(got) == rows(J.snapshot_diff(whole[a], whole[b], "k").filter("status <> 'same'"))
+    assert snapshots.diff_snapshots(spark, root, 2, 2, "t").isEmpty()
+    read = snapshots.differing_rows(spark, root, 1, 2, "t", 1)
+    assert read.count() < 0.25 * 4000 and "PartitionFilters: [__range" in read._jdf.queryExecution().toString()
+    assert mark(snapshots.load_snapshot(spark, root, 2)["t"]) == mark(whole[2])
+    snapshots.save_snapshot({"t": base}, root, 4)
+    with pytest.raises(ValueError):
+        snapshots.diff_snapshots(spark, root, 3, 4, "t")
+
+
+def test_diff_shortcuts_take_null_keys_as_equal(spark):
+    a = spark.createDataFrame([(1, "x"), (None, "y"), (3, "z")], "k int, v string")
+    b = spark.createDataFrame([(1, "w"), (None, "y"), (4, "q"), (4, "r")], "k int, v string")
+    assert rows(J.added_rows(a, b, "k")) == rows(b.filter("k = 4")) and rows(J.removed_rows(a, b, "k")) == rows(a.filter("k = 3"))
+    assert rows(J.kept_rows(a, b, "k")) == rows(b.filter("k = 1 or k is null"))
+
+
 def test_manifest_status(spark):
     schema = "table string, n_rows bigint, hash_sum decimal(38,0), schema_hash string"
     five, six = Decimal(5), Decimal(6)
@@ -130,6 +207,27 @@ def test_learned_vocabulary(spark):
     assert {r["code"] for r in R.encode_learned(df, "x", vocabulary=["b"]).collect()} == {0, None}
 
 
+def test_codes_of_many_values(spark):
+    df = spark.range(20_000).select(((F.col("id") * 7919) % 15_000).cast("string").alias("x")).unionByName(
+        spark.range(3000).select(F.lit("9").alias("x"))).unionByName(spark.createDataFrame([(None,), ("",)], "x string"))
+    want = {v: i for i, v in enumerate(sorted({r["x"] for r in df.collect()} - {None}))} | {None: None}
+    got = R.encode_learned(df, "x")
+    assert got.count() == df.count() and all(want[r["x"]] == r["code"] for r in got.collect())
+    assert R.learn_codes(df.where("false"), "x").isEmpty()
+
+
+def test_nested_redaction_at_every_depth(spark):
+    data = [(1, ("HIDDEN", ("ok", b"HIDDEN")), [("HIDDEN", 2)], {"a": "ok", "HIDDEN": "HIDDEN"}, {5: "HIDDEN"}, [[1, None], None]), (2, None, None, None, None, [])]
+    df = spark.createDataFrame(data, "i int, s struct<secret:string, in:struct<a:string, raw:binary>>, z array<struct<secret:string, n:int>>, m map<string,string>, q map<int,string>, w array<array<int>>")
+    shown = R.redact_nested(df, ["i", "s", "in", "a", "raw", "z", "n", "m", "q", "w"])
+    text = "".join(r[0] for r in shown.select(F.to_json(F.struct("*"))).collect())
+    assert "HIDDEN" not in text
+    first, second = shown.collect()
+    assert first["s"]["in"]["a"] == "ok" and "binary" in first["s"]["in"]["raw"] and "string" in first["s"]["secret"]
+    assert first["z"][0]["n"] == 2 and "m" in shown.columns and "map<int,string>" in first["q"] and first["w"] == [[1, None], None]
+    assert second["s"] is None and second["z"] is None and second["m"] is None and second["w"] == []
+
+
 def test_redaction_leaks_nothing(spark):
     df = spark.createDataFrame([(1, "HIDDEN:/home/user", [1, 2])], "i int, x string, z array<int>")
     text = R.redact(df, ["i", "z"]).select(F.to_json(F.struct("*"))).first()[0]
