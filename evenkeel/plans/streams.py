@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import accumulators as A
+from ..functions.draws import uniform
 from ..functions.scalars import is_finite
 from ..operators.records import nested_record
 from ..session import work_path
@@ -10,8 +11,9 @@ from ..sources.artifacts import TIME_FORMATS
 from ..sources import snapshots as N
 from ..streaming import guarded as G
 from ..streaming import operators as ST
+from ..streaming import ordered as O
 from ..streaming import sinks as K
-from .folding import CLAMPED_SQL, signed_events
+from .folding import CLAMPED_SQL, SIGNED_SQL, signed_events
 from .registry import off_tie, query, read, sql_off_tie, sql_uniform
 
 SEED = 7
@@ -20,8 +22,9 @@ SLICE_SQL = f"(case when ts < TIMESTAMP '{CUTS[0]}' then 0 when ts < TIMESTAMP '
 
 
 def slice_of(ts="ts"):
-    return F.when(F.col(ts) < F.lit(CUTS[0]).cast("timestamp_ntz"), 0).when(
-        F.col(ts) < F.lit(CUTS[1]).cast("timestamp_ntz"), 1).otherwise(2)
+    at = F.col(ts) if isinstance(ts, str) else ts
+    return F.when(at < F.lit(CUTS[0]).cast("timestamp_ntz"), 0).when(
+        at < F.lit(CUTS[1]).cast("timestamp_ntz"), 1).otherwise(2)
 
 
 def feed(spark, df, start):
@@ -62,6 +65,43 @@ def stream_fold(spark, sf_dir):
     return K.latest_rows(spark, out, "user_id").select("user_id", F.round("state", 4).alias("state"), "n_steps", "n_late")
 
 
+DELAY_HOURS = 48
+LATE_SHARE = 0.02
+JITTER_SQL = sql_uniform(SEED, "jitter", "event_id")
+ARRIVAL_SQL = SLICE_SQL.replace("ts <", f"ts + to_microseconds(({JITTER_SQL} * {DELAY_HOURS - 1} * 3600000000)::BIGINT) <")
+
+
+@query(f"""
+with e as (select user_id, ts, event_id, {SIGNED_SQL}::DECIMAL(38,6) as d,
+                  case when {sql_uniform(SEED, "late", "event_id")} < {LATE_SHARE} then 2 else {ARRIVAL_SQL} end as part from events),
+tops as (select max(ts) filter (where part < 1) as t1, max(ts) filter (where part < 2) as t2 from e),
+marked as (select e.*, coalesce(ts < date_trunc('milliseconds', case part when 1 then t1 when 2 then t2 end) - to_hours({DELAY_HOURS}), false) as late from e, tops)
+select user_id, round(list_reduce(coalesce(list(d order by ts, event_id) filter (where not late), []),
+    lambda a, x: least(500::DECIMAL(38,6), greatest(0::DECIMAL(38,6), (a + x)::DECIMAL(38,6))), 100::DECIMAL(38,6))::DOUBLE, 4) as state,
+    count(*) filter (where not late) as n_steps, count(*) filter (where late) as n_late, 0::BIGINT as n_waiting
+from marked group by user_id""")
+def stream_fold_late(spark, sf_dir):
+    """Rows out of order by up to two days are folded in their place; a share comes at the very end, and of these the older ones are late.
+
+    A row of another key, far ahead in time, ends the stream.
+    """
+    out, mark, folder = (work_path(spark, p) for p in ("ordered", "mark", "feed"))
+    events = signed_events(spark, sf_dir).select("user_id", "ts", "event_id", "delta")
+    shift = (uniform(SEED, "jitter", "event_id") * (DELAY_HOURS - 1) * 3_600_000_000).cast("bigint")
+    arrival = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + shift).cast("timestamp_ntz")
+    part = F.when(uniform(SEED, "late", "event_id") < LATE_SHARE, 2).otherwise(slice_of(arrival))
+    dealt = events.withColumn("part", part)
+    ahead = events.agg(F.max("ts").alias("ts")).select(
+        F.lit(-1).cast(events.schema["user_id"].dataType).alias("user_id"), (F.col("ts") + F.expr(f"interval {3 * DELAY_HOURS} hours")).alias("ts"),
+        F.lit(-1).cast(events.schema["event_id"].dataType).alias("event_id"), F.lit(0.0).alias("delta"))
+    for rows in [dealt.filter(F.col("part") == n).drop("part") for n in range(3)] + [ahead]:
+        rows.write.mode("append").parquet(folder)
+        K.sink_batches(O.ordered_stream_fold(spark.readStream.schema(events.schema).parquet(folder), "user_id", "ts", "event_id", "delta", 0, 500, 100,
+                                             f"{DELAY_HOURS} hours"), out, mark).awaitTermination()
+    last = K.latest_rows(spark, out, "user_id").filter("user_id <> -1")
+    return last.select("user_id", F.round("state", 4).alias("state"), "n_steps", "n_late", "n_waiting")
+
+
 @query("""
 select (event_id % 2)::BIGINT as seed, count(*) as n_rows, round(sum(value::DECIMAL(28,10))::DOUBLE, 4) as total,
        count(distinct user_id) as n_users, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') as last_ts from events group by 1""")

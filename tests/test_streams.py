@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from evenkeel.functions.accumulators import all_finite
 from evenkeel.operators.sampling import promote
 from evenkeel.session import work_path
-from evenkeel.sources import snapshots
-from evenkeel.streaming import guarded, operators, sinks
+from evenkeel.sources import files, snapshots
+from evenkeel.streaming import guarded, operators, ordered, sinks
 
 SCHEMA = "k bigint, ts timestamp, i bigint, d double"
 
@@ -66,7 +66,7 @@ def test_replayed_batch_gives_the_same_state(spark):
         fresh = batch.groupBy("k").agg(F.sum("d").alias("total"))
         return fresh if current is None else fresh.unionByName(current).groupBy("k").agg(F.sum("total").alias("total"))
 
-    # A lost checkpoint makes every batch come again; versions are replaced, not added to.
+    # A lost checkpoint makes every batch come again; committed versions are skipped.
     for _ in range(2):
         batches(spark, parts, lambda s, mark=work_path(spark, "mark"): guarded.guarded_update(
             s, root, update, {"finite": all_finite("total")}, mark))
@@ -80,3 +80,78 @@ def test_failing_update_is_rejected(spark):
         {"finite": all_finite("x")}, mark))
     assert not guarded.update_status(spark, root).first()["accepted"]
     assert snapshots.load_snapshot(spark, root) is None
+
+
+def test_batch_that_stops_before_its_status_or_manifest(spark):
+    """Replays after a stop between manifest and status, and between the data and the manifest of a second run."""
+    root = work_path(spark, "root")
+    calls = []
+
+    def update(current, batch):
+        calls.append(1)
+        fresh = batch.groupBy("k").agg(F.sum("d").alias("total"))
+        return fresh if current is None else fresh.unionByName(current).groupBy("k").agg(F.sum("total").alias("total"))
+
+    def run():
+        batches(spark, [[(1, at(1), 1, 2.0)], [(1, at(3), 4, 3.0)]], lambda s, mark=work_path(spark, "mark"): guarded.guarded_update(
+            s, root, update, {"finite": all_finite("total")}, mark, loss=F.avg("total")))
+
+    run()
+    before = rows(guarded.update_status(spark, root))
+    files.remove(spark, f"{root}/status/batch_id=1")
+    snapshots.stage_tables({"state": spark.createDataFrame([(1, 99.0)], "k bigint, total double")}, root, 1)
+    assert snapshots.load_snapshot(spark, root, 1)["state"].first()["total"] == 5.0
+    run()
+    assert len(calls) == 2 and rows(guarded.update_status(spark, root)) == before
+
+
+def test_periodic_snapshots_add_parts(spark):
+    path, root, mark = (work_path(spark, p) for p in ("rows", "root", "mark"))
+    parts = [[(k, at(k), k, 1.0)] for k in range(5)]
+    batches(spark, parts, lambda s: sinks.periodic_snapshot(s, path, root, mark, every=2))
+    assert sinks.snapshot_rest(spark, path, root) == 4 == sinks.snapshot_rest(spark, path, root)
+    sizes = {v: [p.n_rows for p in snapshots.read_manifest(spark, root, v).parts] for v in (1, 3, 4)}
+    assert sizes == {1: [2], 3: [2, 2], 4: [2, 2, 1]}
+    assert rows(snapshots.load_snapshot(spark, root)["rows"].drop("batch_id")) == rows(spark.read.parquet(path).drop("batch_id"))
+
+
+def plain_fold(rows, lo, hi, init):
+    state = init
+    for _, _, d in sorted(rows):
+        state = min(hi, max(lo, state + d))
+    return state
+
+
+def test_composed_steps_equal_the_loop():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    for n in (1, 2, 3, 7, 64, 1001):
+        steps = [rng.choice([-40, -7, 0, 3, 11, 5000, -5000]) for _ in range(n)]
+        d, lo, hi = ordered.composed(np.array(steps), 0, 100, 200)
+        for start in (0, 30, 100):
+            assert min(hi, max(lo, start + d)) == plain_fold([(0, i, x) for i, x in enumerate(steps)], 0, 100, start)
+
+
+def test_rows_out_of_order_within_the_delay(spark):
+    """A hot key and a few others, shuffled over files by less than the delay; some rows come too late and are counted."""
+    import datetime
+    import random
+
+    rng = random.Random(5)
+    origin = datetime.datetime(2024, 1, 1)
+    made = [(1 if rng.random() < 0.9 else rng.randint(2, 5), origin + datetime.timedelta(seconds=rng.randint(0, 40_000)), i, float(rng.randint(-9, 9))) for i in range(20_000)]
+    arrival = {r[2]: (r[1] - origin).total_seconds() + rng.uniform(0, 3500) for r in made}
+    files_ = [sorted((r for r in made if lo <= arrival[r[2]] < hi), key=lambda r: rng.random()) for lo, hi in ((0, 9000), (9000, 25_000), (25_000, 10**9))]
+    late = [(1, origin + datetime.timedelta(seconds=s), 10**6 + s, 5000.0) for s in range(50)] + [(9, origin, 7, 1.0), (9, None, 8, 1.0)]
+    far = [(-1, origin + datetime.timedelta(days=9), 0, 0.0)]
+    out, mark = work_path(spark, "out"), work_path(spark, "mark")
+    batches(spark, [*files_[:2], files_[2] + late, far], lambda s: sinks.sink_batches(
+        ordered.ordered_stream_fold(s, "k", "ts", "i", "d", 0, 60, 30, "1 hour", portion=1000), out, mark))
+    got = {r["k"]: (r["state"], r["n_steps"], r["n_late"], r["n_waiting"]) for r in sinks.latest_rows(spark, out, "k").collect() if r["k"] >= 0}
+    want = {k: (plain_fold([r[1:] for r in made if r[0] == k], 0, 60, 30), sum(r[0] == k for r in made), 50 if k == 1 else 0, 0) for k in range(1, 6)}
+    assert got == want | {9: (30.0, 0, 2, 0)}
+    per_batch = spark.read.parquet(out).groupBy("batch_id", "k").count()
+    assert per_batch.filter("count > 1").isEmpty()
