@@ -111,12 +111,42 @@ def unit_limbs(col, scale: int = UNIT_SCALE) -> tuple[Column, Column, Column]:
     return tuple(F.when(held, limb * sign) for limb in limbs)
 
 
+HALF_BITS = 17
+PAIRS = ("hh", "hm", "hl", "mm", "ml", "ll")
+
+
 def variance_terms(high: Column, middle: Column, low: Column) -> dict[str, Column]:
-    """What has to be summed for a variance. Limbs that are 0 give NULL terms, which cost nothing."""
-    h, m, l = (limb.cast("decimal(11,0)") for limb in (high, middle, low))
-    large, some = high != 0, middle != 0
-    return {"sh": F.when(large, h), "sm": F.when(some, m), "sl": l, "shh": F.when(large, h * h), "shm": F.when(large & some, h * m),
-            "shl": F.when(large, h * l), "smm": F.when(some, m * m), "sml": F.when(some, m * l), "sll": l * l}
+    """What has to be summed for a variance: bigints of at most 19 bits, so their sums hold for any number of rows below 2**44.
+
+    Each limb is cut into halves of 17 bits, and each product of limbs into four digits of 17 bits, carries left in place.
+    """
+    mask = F.lit((1 << HALF_BITS) - 1).cast("bigint")
+
+    def cut(x: Column) -> tuple[Column, Column]:
+        return F.shiftright(x, HALF_BITS), x.bitwiseAND(mask)
+
+    halves = {name: cut(limb) for name, limb in zip("hml", (high, middle, low))}
+    terms = {f"s{name}{i}": half for name, pair in halves.items() for i, half in zip((1, 0), pair)}
+    for a, b in PAIRS:
+        (a1, a0), (b1, b0) = halves[a], halves[b]
+        (low1, low0), (mid1, mid0), (top1, top0) = (cut(c) for c in (a0 * b0, a0 * b1 + a1 * b0, a1 * b1))
+        terms |= {f"s{a}{b}0": low0, f"s{a}{b}1": low1 + mid0, f"s{a}{b}2": mid1 + top0, f"s{a}{b}3": top1}
+    return terms
+
+
+VARIANCE_TERMS = tuple(f"s{x}{i}" for x in "hml" for i in (1, 0)) + tuple(f"s{p}{i}" for p in PAIRS for i in range(4))
+
+
+def variance_sums(totals: dict[str, Column]) -> dict[str, Column]:
+    """The sums of limbs and of their products, put together from the summed terms."""
+    def joined(name: str, digits: int) -> Column:
+        parts = [totals[f"{name}{i}"].cast("decimal(19,0)") * F.lit(Decimal(1 << HALF_BITS * i)) for i in range(digits)]
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = (whole + part).cast(WHOLE)
+        return whole
+
+    return {f"s{x}": joined(f"s{x}", 2) for x in "hml"} | {f"s{p}": joined(f"s{p}", 4) for p in PAIRS}
 
 
 def variance_of(n: Column, sums: dict[str, Column]) -> Column:
@@ -183,8 +213,8 @@ def stable_variance(col, scale: int = UNIT_SCALE) -> Column:
 
 
 def limb_variance(high: Column, middle: Column, low: Column) -> Column:
-    """The same from ``unit_limbs`` that were computed before: decimal sums read their input repeatedly."""
-    return variance_of(F.count(low), {k: F.sum(v) for k, v in variance_terms(high, middle, low).items()})
+    """The same from ``unit_limbs`` that were computed before, once for all terms."""
+    return variance_of(F.count(low), variance_sums({k: F.sum(v) for k, v in variance_terms(high, middle, low).items()}))
 
 
 def all_finite(*cols) -> Column:

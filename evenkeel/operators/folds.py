@@ -212,18 +212,35 @@ def _replayed(df: DataFrame, group: list[str], position: str, keep: list[str], n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = 0.0
         for batch in batches:
-            out = np.empty(batch.num_rows)
-            columns = [batch.column(c).to_pylist() for c in ("__first", "__start", "__d", "__lo", "__hi")]
-            for i, (first, start, d, lo, hi) in enumerate(zip(*columns)):
-                was = start if first else state
-                state = min(hi, max(lo, was + d))
-                out[i] = was if before else state
+            first, start, d, lo, hi = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__first", "__start", "__d", "__lo", "__hi"))
+            after = states_after(first, start, d, lo, hi, state)
+            was = np.where(first, start, np.concatenate([[state], after[:-1]])) if before else after
+            state = float(after[-1]) if len(after) else state
             kept = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.round(out, SCALE))], names=[*keep, name])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.round(was, SCALE))], names=[*keep, name])
 
     return placed.mapInArrow(run, schema)
 
 
+def states_after(first: np.ndarray, start: np.ndarray, d: np.ndarray, lo: np.ndarray, hi: np.ndarray, state: float) -> np.ndarray:
+    """States after each of a batch's clamp steps s -> min(hi, max(lo, s + d)), by a prefix scan.
+
+    Clamp steps compose to clamp steps. Each round composes every row with what lies twice as far back as in the round before, so
+    n rows take log2(n) rounds over whole arrays. A group's first row forgets what was before it: its step is a constant.
+    """
+    fixed = np.clip(start + d, lo, hi)
+    d, lo, hi = np.where(first, 0.0, d), np.where(first, fixed, lo), np.where(first, fixed, hi)
+    reach = 1
+    while reach < len(d):
+        # Once both bounds agree the way no longer counts; without that, sums of far ways would meet infinity.
+        way = np.where(lo == hi, 0.0, d)
+        d = np.concatenate([way[:reach], way[:-reach] + way[reach:]])
+        low, high = (np.clip(x[:-reach] + way[reach:], lo[reach:], hi[reach:]) for x in (lo, hi))
+        lo, hi = np.concatenate([lo[:reach], low]), np.concatenate([hi[:reach], high])
+        reach *= 2
+    return np.clip(state + np.where(lo == hi, 0.0, d), lo, hi)
+
+
 def recover_all(df: DataFrame, rate: float = 0.1, stop_at_floor: bool = False) -> DataFrame:
     """Passive recovery applied to final states with ``hp`` and ``max_hp``."""
     return df.withColumn("hp", recover(F.col("hp"), F.col("max_hp"), rate, stop_at_floor))

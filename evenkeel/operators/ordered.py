@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.accumulators import NAN, VARIANCE_SUMS, mean_of, quantize, unit_limbs, variance_of, variance_terms
+from ..functions.accumulators import NAN, VARIANCE_TERMS, mean_of, quantize, unit_limbs, variance_of, variance_sums, variance_terms
 from ..session import block_rows as session_block_rows
 from ..session import cut_lineage
 from .heat import as_list, attach, by_heat
@@ -222,17 +222,18 @@ def with_delta(df: DataFrame, key, order_by, col: str, name: str = "delta",
 def running_stats(df: DataFrame, key, order_by, col: str, hot_rows: int | None = None) -> DataFrame:
     """Count, mean and sample variance after each step, from exact running sums."""
     value = F.col(col)
-    terms = variance_terms(*unit_limbs(value))
-    sums = running(df, key, order_by, {
-        "run_n": ("count", quantize(value)),
+    limbs = dict(zip(("__h", "__m", "__l"), unit_limbs(value)))
+    terms = variance_terms(*[F.col(name) for name in limbs])
+    sums = running(df.withColumns(limbs), key, order_by, {
+        "run_n": ("count", F.col("__l")),
         "run_sum": ("sum", quantize(value)),
         **{f"__{name}": ("sum", term) for name, term in terms.items()},
     }, hot_rows)
     n = F.col("run_n")
     return sums.withColumns({
         "run_mean": mean_of(F.col("run_sum"), n),
-        "run_var": F.coalesce(variance_of(n, {name: F.col(f"__{name}") for name in VARIANCE_SUMS}), F.lit(NAN)),
-    }).drop(*[f"__{name}" for name in VARIANCE_SUMS])
+        "run_var": F.coalesce(variance_of(n, variance_sums({name: F.col(f"__{name}") for name in VARIANCE_TERMS})), F.lit(NAN)),
+    }).drop(*limbs, *[f"__{name}" for name in VARIANCE_TERMS])
 
 
 def sequence_features(df: DataFrame, key, order_by, features: Sequence[str], k: int = 4,

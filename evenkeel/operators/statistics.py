@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from typing import Mapping, Sequence
+from typing import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,6 +78,48 @@ def kahan_sum(df: DataFrame, key, value: str, name: str = "kahan_sum") -> DataFr
     return grouped.select(*key, F.coalesce(special, total).alias(name))
 
 
+def ordered_kahan_sum(df: DataFrame, key, order_by, value: str, name: str = "kahan_sum") -> DataFrame:
+    """The literal compensated recurrence y = x - c, t = s + y, c = (t - s) - y, s = t over a key's rows in order, in double.
+
+    Tasks stream through sorted rows batch by batch and carry (s, c) over, so a key of any size takes the memory of a batch;
+    as every step needs the one before, a key is summed by one task. NULL is left out; NaN and infinities go into the sum
+    as they are. ``order_by`` should be a total order within the key. A key without values gives 0.
+    """
+    key, order_by = as_list(key), as_list(order_by)
+    numbered = df.select(*dict.fromkeys([*key, *order_by]), F.col(value).cast("double").alias("__x"))
+    sorted_rows = numbered.repartition(*key).sortWithinPartitions(*key, *order_by).select(*key, F.struct(*key).alias("__key"), "__x")
+    # Keys are told apart by their text, in which NULL differs from all values.
+    marked = sorted_rows.withColumn("__key", F.to_json("__key", {"ignoreNullFields": "false"}))
+    schema = T.StructType([*df.select(*key).schema.fields, T.StructField(name, T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now, s, c = None, None, 0.0, 0.0
+        for batch in batches:
+            keys, values = batch.column("__key").to_pylist(), batch.column("__x").to_pylist()
+            done, sums = [], []
+            for i, (k, x) in enumerate(zip(keys, values)):
+                if k != now:
+                    if now is not None:
+                        done.append(i)
+                        sums.append(s)
+                    now, s, c = k, 0.0, 0.0
+                if x is not None:
+                    y = x - c
+                    t = s + y
+                    s, c = t, (t - s) - y
+            if done:
+                # The key that ends before row i is that of row i - 1, or the one held from the batch before.
+                rows = [batch.slice(i - 1, 1) if i else held for i in done]
+                out = pa.Table.from_batches([r.select(key) for r in rows]).combine_chunks().to_batches()[0]
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(sums, pa.float64())], names=[*key, name])
+            if len(batch):
+                held = batch.slice(len(batch) - 1, 1)
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([*held.select(key).columns, pa.array([s], pa.float64())], names=[*key, name])
+
+    return marked.mapInArrow(run, schema)
+
+
 def logsumexp(df: DataFrame, by, value: str, name: str = "lse", on_nan: str = "error", limit: float = 1e300) -> DataFrame:
     """log(sum(exp(x))) per group, from exact sums per (group, nearest multiple of 32), combined before the shuffle.
 

@@ -88,6 +88,28 @@ def redacted_events(spark, sf_dir):
     return R.redact(read(spark, sf_dir, "events"), ["event_id", "event_type", "value", "ts"])
 
 
+@query("""
+select event_id, event_type as shown_type, '{"__type__":"bigint"}' as shown_user, value as deep_value, '{"__type__":"timestamp_ntz"}' as deep_ts,
+       [value, -value] as marks, '{"__type__":"array<struct<user_id:bigint>>"}' as owners, event_type || '=' || value::VARCHAR as entries from events""")
+def redacted_nested(spark, sf_dir):
+    """Structs in structs, arrays and maps: names and types are applied at every depth."""
+    deep = F.struct("value", "ts").alias("deep")
+    events = read(spark, sf_dir, "events").select(
+        "event_id", F.struct("event_type", "user_id", deep).alias("record"), F.array(F.col("value"), -F.col("value")).alias("marks"),
+        F.array(F.struct("user_id")).alias("owners"), F.create_map(F.lit("value"), F.struct("event_type", "value"), F.lit("who"), F.struct("event_type", "value")).alias("attributes"))
+    shown = R.redact_nested(events, ["event_id", "record", "deep", "event_type", "value", "ts", "marks", "attributes"])
+    entry = F.transform(F.map_entries("attributes"), lambda e: F.concat_ws("=", e["value"]["event_type"], e["value"]["value"]))
+    return shown.select("event_id", F.col("record.event_type").alias("shown_type"), F.col("record.user_id").alias("shown_user"), F.col("record.deep.value").alias("deep_value"),
+                        F.col("record.deep.ts").alias("deep_ts"), "marks", "owners", F.array_join(entry, ";").alias("entries"))
+
+
+@query("""
+select l_orderkey, l_linenumber, dense_rank() over (order by l_extendedprice) - 1 as code from lineitem""")
+def learned_codes_many(spark, sf_dir):
+    """Codes of a column in which most values are distinct."""
+    return R.encode_learned(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice").drop("l_extendedprice")
+
+
 @query("select event_id, user_id, event_type, value from events")
 def nested_roundtrip(spark, sf_dir):
     events = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")

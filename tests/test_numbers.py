@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions import accumulators as A
 from evenkeel.functions import draws as SM
 from evenkeel.functions import scalars as P
+from evenkeel.operators import folds
 from evenkeel.operators import softmax as X
 from evenkeel.operators import statistics as S
 
@@ -219,3 +220,41 @@ def test_draws_are_uniform_and_normal(spark):
     got = spark.range(20_000).agg(F.avg(SM.uniform(1, "a", "id")), F.min(SM.uniform(1, "a", "id")), F.max(SM.uniform(1, "a", "id")),
                                   F.avg(SM.normal(1, "b", "id")), F.stddev(SM.normal(1, "b", "id"))).first()
     assert abs(got[0] - 0.5) < 0.01 and got[1] >= 0 and got[2] < 1 and abs(got[3]) < 0.03 and abs(got[4] - 1) < 0.02
+
+
+def test_ordered_kahan_is_the_literal_recurrence(spark):
+    import random
+
+    rng = random.Random(4)
+    data = [(rng.choice([1, 2, None]), i, rng.choice([1e16, 1.0, -1e16, 0.1, 3e-9]) * rng.random()) for i in range(30_000)]
+    data += [(7, 0, None), (8, 0, float("nan")), (8, 1, 1.0), (9, 0, float("inf")), (9, 1, 5.0)]
+    got = {r["k"]: r["kahan_sum"] for r in S.ordered_kahan_sum(spark.createDataFrame(data, "k int, i int, x double").repartition(7), "k", "i", "x").collect()}
+
+    def plain(key):
+        s = c = 0.0
+        for _, _, x in sorted((r for r in data if r[0] == key), key=lambda r: r[1]):
+            if x is not None:
+                y = x - c
+                t = s + y
+                s, c = t, (t - s) - y
+        return s
+
+    assert got.keys() == {1, 2, None, 7, 8, 9}
+    assert all(repr(got[k]) == repr(plain(k)) for k in got)
+    assert S.ordered_kahan_sum(spark.createDataFrame([], "k int, i int, x double"), "k", "i", "x").isEmpty()
+
+
+def test_scan_of_clamp_steps_equals_the_loop():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 5, 100, 1000):
+        first = rng.random(n) < 0.05
+        start, d = rng.integers(0, 50, n) * 1.0, rng.choice([-60.0, -5.5, 0.0, 2.25, 70.0, 1e15, -1e15], n)
+        lo = rng.integers(0, 3, n) * 1.0
+        hi = lo + rng.integers(0, 60, n)
+        state, want = 12.0, []
+        for f, s, x, a, b in zip(first, start, d, lo, hi):
+            state = min(b, max(a, (s if f else state) + x))
+            want.append(state)
+        assert np.allclose(folds.states_after(first, start, d, lo, hi, 12.0), want, atol=1e-9)
