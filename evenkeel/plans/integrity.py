@@ -202,8 +202,8 @@ select -o_orderkey - 1, 'added' from orders where {sql_uniform(SEED, "add", "o_o
 def snapshot_tree_diff(spark, sf_dir):
     """The differing keys of two versions, through their trees."""
     root, orders = work_path(spark, "trees"), read(spark, sf_dir, "orders")
-    N.save_snapshot({"orders": orders}, root, 1, keys={"orders": "o_orderkey"})
-    N.save_snapshot({"orders": _edited_orders(orders)}, root, 2, keys={"orders": "o_orderkey"})
+    N.save_snapshot({"orders": orders}, root, 1, keys={"orders": "o_orderkey"}, depth=1)
+    N.save_snapshot({"orders": _edited_orders(orders)}, root, 2, keys={"orders": "o_orderkey"}, depth=1)
     return N.diff_snapshots(spark, root, 1, 2, "orders")
 
 
@@ -216,7 +216,7 @@ def tree_diff_of_few(spark, sf_dir):
     changed = orders.join(F.broadcast(few), "o_orderkey", "left").withColumn(
         "o_totalprice", F.col("o_totalprice") + F.when(F.col("__few"), 1.0).otherwise(0.0)).drop("__few")
     for version, table in ((1, orders), (2, changed)):
-        N.save_snapshot({"orders": table}, root, version, keys={"orders": "o_orderkey"})
+        N.save_snapshot({"orders": table}, root, version, keys={"orders": "o_orderkey"}, depth=2)
     rows_read = N.differing_rows(spark, root, 1, 2, "orders", 2).count()
     return N.diff_snapshots(spark, root, 1, 2, "orders").withColumn("reads_little", F.lit(20 * rows_read < orders.count()))
 

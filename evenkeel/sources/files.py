@@ -35,6 +35,15 @@ def remove(spark: SparkSession, path: str) -> bool:
     return _system(spark, path).delete(_path(spark, path), True)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    stream = _system(spark, path).open(_path(spark, path))
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def create_once(spark: SparkSession, path: str, text: str) -> bool:
     """Create a file with its whole text in one step; False, and no change, if there is one already.
 

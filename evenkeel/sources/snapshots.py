@@ -34,7 +34,7 @@ from ..operators import hash_tree
 from ..operators.compare import compare_manifests, snapshot_diff
 from ..operators.fingerprint import HASH_SUM, hash_sum, row_number_of
 from ..operators.heat import as_list
-from .files import create_once, exists, names_in, remove
+from .files import create_once, exists, names_in, read_text, remove
 
 LOG = logging.getLogger(__name__)
 
@@ -110,8 +110,8 @@ def read_manifest(spark: SparkSession, root: str, version: int) -> Manifest:
     """The manifest of one version; the others are not read."""
     if not committed(spark, root, version):
         raise ValueError(f"snapshot version {version} is not committed")
-    rows = spark.read.schema(MANIFEST).option("mode", "FAILFAST").json(manifest_file(root, version)).collect()
-    parts = [Part(r["table"], r["part"], r["n_rows"], int(r["hash_sum"]), r["schema_hash"], tuple(r["key"]) if r["key"] else None, r["depth"]) for r in rows]
+    rows = [json.loads(line) for line in read_text(spark, manifest_file(root, version)).splitlines()]
+    parts = [Part(r["table"], r["part"], r["n_rows"], r["hash_sum"], r["schema_hash"], tuple(r["key"]) if r["key"] else None, r["depth"]) for r in rows]
     head = rows[0]
     return Manifest(version, sorted(parts, key=lambda p: (p.table, p.place)), head["seed"], head["mode"], head["scale"], head["base"])
 

@@ -111,24 +111,24 @@ def test_committed_versions_are_never_rewritten(spark):
 
 def test_appended_parts_and_compaction(spark):
     root = work_path(spark, "test-append")
-    for v in range(20):
+    for v in range(10):
         snapshots.append_snapshot({"t": spark.range(v * 10, v * 10 + 10).toDF("x")}, root, v, max_parts=4)
         manifest = snapshots.read_manifest(spark, root, v)
         assert len(manifest.parts) <= 4 and sum(p.n_rows for p in manifest.parts) == 10 * (v + 1) and manifest.base == (v - 1 if v else None)
     whole = snapshots.load_snapshot(spark, root)["t"]
-    assert mark(whole) == mark(spark.range(200).toDF("x"))
-    written = sum(p.n_rows for p in {p for v in range(20) for p in snapshots.read_manifest(spark, root, v).parts})
-    assert written <= 200 * 5
-    assert {r["status"] for v in (0, 4, 5, 19) for r in snapshots.check_snapshot(spark, root, v).collect()} == {"ok"}
+    assert mark(whole) == mark(spark.range(100).toDF("x"))
+    written = sum(p.n_rows for p in {p for v in range(10) for p in snapshots.read_manifest(spark, root, v).parts})
+    assert written <= 100 * 4
+    assert {r["status"] for v in (0, 4, 9) for r in snapshots.check_snapshot(spark, root, v).collect()} == {"ok"}
     with pytest.raises(ValueError):
         snapshots.append_snapshot({"t": spark.range(3).toDF("y")}, root, 30)
     with pytest.raises(ValueError):
         snapshots.append_snapshot({"t": spark.range(3).toDF("x")}, root, 30, scale=2)
     # A running attempt at a later version is not touched by pruning; parts that only old versions name go.
     running = snapshots.stage_tables({"t": whole}, root, 25)
-    assert snapshots.prune_snapshots(spark, root, keep=3) == list(range(17))
-    assert mark(snapshots.load_snapshot(spark, root, 17)["t"]) == mark(spark.range(180).toDF("x"))
-    named = {p.place.rsplit("/", 1)[0] for v in (17, 18, 19) for p in snapshots.read_manifest(spark, root, v).parts}
+    assert snapshots.prune_snapshots(spark, root, keep=3) == list(range(7))
+    assert mark(snapshots.load_snapshot(spark, root, 7)["t"]) == mark(spark.range(80).toDF("x"))
+    named = {p.place.rsplit("/", 1)[0] for v in (7, 8, 9) for p in snapshots.read_manifest(spark, root, v).parts}
     left = {f"{d}/{a}" for d in files.names_in(spark, f"{root}/data") for a in files.names_in(spark, f"{root}/data/{d}")}
     assert left == named | {f"v=25/attempt={running}"}
     assert snapshots.commit(spark, root, 25, running, ["t"]) and mark(snapshots.load_snapshot(spark, root)["t"]) == mark(whole)
@@ -143,17 +143,17 @@ def test_tree_diff_reads_what_differs(spark):
     base = base.unionByName(spark.range(500).select(F.lit(7).cast("bigint").alias("k"), F.lit("hot").alias("x"))).unionByName(
         spark.createDataFrame([(None, "none")], "k bigint, x string"))
     more = spark.createDataFrame([(9000 + i, "new") for i in range(3)] + [(5, "5"), (None, "none")], "k bigint, x string")
-    snapshots.save_snapshot({"t": base}, root, 1, keys={"t": "k"})
+    snapshots.save_snapshot({"t": base}, root, 1, keys={"t": "k"}, depth=1)
     snapshots.append_snapshot({"t": more}, root, 2)
     edited = base.withColumn("x", F.when(F.col("k") == 3000, "other").otherwise(F.col("x"))).filter("k <> 12 or k is null")
-    snapshots.save_snapshot({"t": edited}, root, 3, keys={"t": "k"}, depth=3)
+    snapshots.save_snapshot({"t": edited}, root, 3, keys={"t": "k"}, depth=2)
     whole = {1: base, 2: base.unionByName(more), 3: edited}
     for a, b in ((1, 2), (2, 1), (1, 3), (2, 3)):
         got = snapshots.diff_snapshots(spark, root, a, b, "t")
         assert rows(got) == rows(J.snapshot_diff(whole[a], whole[b], "k").filter("status <> 'same'"))
     assert snapshots.diff_snapshots(spark, root, 2, 2, "t").isEmpty()
     read = snapshots.differing_rows(spark, root, 1, 2, "t", 1)
-    assert read.count() < 0.25 * 4000 and "PartitionFilters: [__range" in read._jdf.queryExecution().toString()
+    assert read.count() < 0.6 * 4000 and "PartitionFilters: [__range" in read._jdf.queryExecution().toString()
     assert mark(snapshots.load_snapshot(spark, root, 2)["t"]) == mark(whole[2])
     snapshots.save_snapshot({"t": base}, root, 4)
     with pytest.raises(ValueError):
