@@ -6,9 +6,10 @@ Documents lie in ascending order of their id, within shards and from shard to sh
 the shards, one to a row, so that any store Spark can write will do and a lost task leaves nothing behind.
 
 Texts are encoded where they are read, and only packed ids are shuffled, one row for each Arrow batch and
-shard. Text is cut at single spaces that follow a non-space: a byte-level pattern always begins a new
-piece there, so a piece has the same ids in every text; the tokenizers library is asked once for each piece, and a
-bounded table remembers its answer.
+shard. Text is cut before single spaces that follow a non-space, around line breaks between two non-spaces and before marks that follow a letter: a
+byte-level pattern always begins a new piece there, so a piece has the same ids in every text. Each distinct piece of a
+block of texts is looked up once in a bounded memory, the tokenizers library is asked for those that are not there, and
+the ids of all pieces are gathered by number.
 
 Null text is empty and yields the end id alone. Rows without document id come first, in shards without
 ids. Rows of one id stay, ordered by their tokens. An empty table gives no shard. The readers return the
@@ -17,11 +18,10 @@ columns named there; other columns of the input are not carried.
 
 from __future__ import annotations
 
-import re
 import string
 import struct
-from array import array
-from typing import Callable, Iterator
+from functools import lru_cache
+from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import elias_fano
-from .bpe import byte_symbols
+from .arrays import Block, blocks
+from .bpe import Recent, byte_symbols
 from .elias_fano import EliasFano
 from .ranges import with_id_groups
 
@@ -39,87 +40,126 @@ SHARD_BYTES = 8 << 20  # of text
 MAGIC = b"EFTOKEN1"
 HEAD = "<8sBBQQq"  # magic, bytes of a token, whether ids are there, documents, tokens, first id
 CACHE_PIECES = 800_000
+WORDS_AT_ONCE = 20_000
+LONGEST_KNOWN = 64  # bytes of a piece that is remembered
+BLOCK_BYTES = 8 << 20  # of text that is cut at once
 # Signs that neither begin a contraction nor stand in an added token.
 MARKS = "".join(sorted(set(string.punctuation) - set("'<|>")))
-SPACE_AFTER_SPACE = [c + " " for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"]
-OTHER_SPACE = re.compile(r"[^\S\x00-\x7f] ")
-
-
-class Pieces(dict):
-    """The packed ids of pieces, each asked of ``answer`` when it is first met."""
-
-    def __init__(self, answer: Callable[[str], bytes]) -> None:
-        self.answer = answer
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.answer(piece)
-        if "\n" not in piece:  # else it is two words that met by chance
-            self[piece] = found
-        return found
+MARK = np.isin(np.arange(256), [ord(c) for c in MARKS])
+LETTER = np.array([chr(i).isalpha() and i < 0x80 for i in range(256)])
+WHITE = np.array([chr(i).isspace() and i < 0x80 for i in range(256)])
+WIDE_SPACES = [chr(i).encode() for i in range(0x80, 0x3001) if chr(i).isspace()]
+# Not white space by the first byte alone.
+BEGINS_WORD = ~WHITE & ~np.isin(np.arange(256), [raw[0] for raw in WIDE_SPACES])
+
+
+def after_word(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which places of UTF-8 bytes, none of them the first, follow a sign that is not white space."""
+    out = ~WHITE[data[at - 1]]
+    wide = np.flatnonzero(data[at - 1] >= 0x80)
+    for raw in WIDE_SPACES:
+        ends = at[wide]
+        fits = ends >= len(raw)
+        for back, byte in enumerate(reversed(raw), 1):
+            fits &= data[ends - back] == byte  # a place before the first byte wraps, and does not fit anyway
+        out[wide[fits]] = False
+    return out
+
+
+def cut(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of a block begin, and of each text its first piece; one more entry at the end of both."""
+    data, offsets = block.data, block.offsets
+    first = np.zeros(len(data) + 2, bool)  # places where a text begins or the block ends
+    first[offsets] = True
+    spaces = np.flatnonzero((data == 0x20) & ~first[:len(data)])
+    spaces = spaces[after_word(data, spaces)]
+    breaks = np.flatnonzero((data == 0x0A) & ~first[:len(data)] & ~first[1:len(data) + 1])
+    breaks = breaks[after_word(data, breaks) & BEGINS_WORD[data[breaks + 1]]]
+    marks = np.flatnonzero(MARK[data] & ~first[:len(data)])
+    marks = marks[LETTER[data[marks - 1]]]
+    cuts = np.sort(np.concatenate([spaces, breaks, breaks + 1, marks]), kind="stable")
+    starts = np.sort(np.concatenate([offsets[:-1], cuts, [len(data)]]), kind="stable")
+    return starts, np.searchsorted(cuts, offsets) + np.arange(len(offsets))
+
+
+def is_word(piece: bytes) -> bool:
+    """Letters only, with at most a space before them: one word for the pattern."""
+    letters = piece.removeprefix(b" ")
+    if letters.isalpha():
+        return True
+    text = letters.decode()
+    return text.isalpha() and max(text) < "\u0250"
 
 
 class PieceEncoder:
-    """Encodes whole texts as the tokenizer does, remembering the ids of space-delimited pieces."""
+    """Encodes whole texts as the tokenizer does, remembering the ids of pieces."""
 
     def __init__(self, tokenizer_file: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.symbols = byte_symbols()
-        self.heads = Pieces(lambda piece: self._piece("", piece))
-        self.inner = Pieces(lambda piece: self._piece(" ", piece))
-        self.marks = Pieces(self._word)
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return array(self.dtype.char, ids).tobytes()
-
-    def _whole(self, text: str) -> bytes:
-        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _word(self, word: str) -> bytes:
-        """Ids of what the tokenizer's pattern takes as one word: only the library's model is asked."""
-        symbols = self.symbols
-        return self._pack([t.id for t in self.tokenizer.model.tokenize("".join([symbols[b] for b in word.encode()]))])
-
-    def _piece(self, space: str, piece: str) -> bytes:
-        """Ids of a piece, with the space before it if there is one."""
-        stem = piece.rstrip(MARKS)
-        # Letters are one word for the pattern, and the marks behind them another.
-        if stem.isalpha() and max(stem) < "\u0250":
-            return self._word(space + stem) + (self.marks[piece[len(stem):]] if len(stem) < len(piece) else b"")
-        lines = piece.split("\n")
-        # A line break between words is a word of its own.
-        if len(lines) > 1 and all(lines) and len(piece.split()) == len(lines):
-            first = self.inner if space else self.heads
-            return first[lines[0]] + b"".join([self.marks["\n"] + self.heads[line] for line in lines[1:]])
-        return self._whole(space + piece)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        for known in (self.heads, self.inner, self.marks):
-            if len(known) > CACHE_PIECES:
-                known.clear()
-        out = []
-        for text in texts:
-            pieces = cut(text)
-            out.append(self.heads[pieces.pop(0)] + b"".join(map(self.inner.__getitem__, pieces)))
-        return out
-
-
-def cut(text: str) -> list[str]:
-    """Pieces cut at spaces that follow no white space, without these spaces."""
-    if not any(pair in text for pair in SPACE_AFTER_SPACE) and (text.isascii() or not OTHER_SPACE.search(text)):
-        return text.split(" ")
-    pieces: list[str] = []
-    for piece in text.split(" "):
-        if pieces and (not pieces[-1] or pieces[-1][-1].isspace()):
-            pieces[-1] += " " + piece
-        else:
-            pieces.append(piece)
-    return pieces
+        # The library's model alone, for words that the pattern takes whole: words parted by white space, in byte symbols.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        self.symbols = {byte: symbol for byte, symbol in enumerate(byte_symbols())}
+        self.border = self.tokenizer.model.token_to_id(self.symbols[10])
+        self.symbols[10] = f" {self.symbols[10]} "
+        self.known = Recent(CACHE_PIECES // 2)
+
+    def _words(self, words: list[bytes]) -> Iterator[bytes]:
+        """The packed ids of words of letters, each with the space before it if there is one."""
+        for low in range(0, len(words), WORDS_AT_ONCE):
+            asked = b"\n".join(words[low:low + WORDS_AT_ONCE]).decode("latin-1").translate(self.symbols)
+            ids = np.array(self.model.encode_batch_fast([asked], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(ids == self.border).tolist()
+            raw, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+            for start, end in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)]):
+                yield raw[start * width:end * width]
+
+    def _answers(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of distinct pieces."""
+        answers = [*map(self.known.get, pieces)]
+        new = [i for i, found in enumerate(answers) if found is None]
+        words = [i for i in new if is_word(pieces[i])]
+        for i, found in zip(words, self._words([pieces[i] for i in words])):
+            answers[i] = found
+        rest = [i for i in new if answers[i] is None]
+        asked = [pieces[i].decode() for i in rest]
+        for i, found in zip(rest, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False)):
+            answers[i] = np.array(found.ids, self.dtype).tobytes()
+        for i in new:
+            if len(pieces[i]) <= LONGEST_KNOWN:
+                self.known.put(pieces[i], answers[i])
+        return answers
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The packed ids of each text of a binary column."""
+        width = self.dtype.itemsize
+        for block in blocks(texts, BLOCK_BYTES):
+            starts, first = cut(block)
+            pieces = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [
+                None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(block.data))]).dictionary_encode()
+            answers = self._answers(pieces.dictionary.to_pylist())
+            sizes = np.fromiter(map(len, answers), np.int64, len(answers)) // width
+            codes = pieces.indices.to_numpy()
+            counts = sizes[codes]
+            ends = np.cumsum(counts)
+            place = np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - counts), counts)
+            place += np.arange(len(place))
+            tokens = np.frombuffer(b"".join(answers), self.dtype)[place].tobytes()
+            borders = (np.concatenate([[0], ends])[first] * width).tolist()
+            yield from (tokens[a:b] for a, b in zip(borders[:-1], borders[1:]))
+
+
+@lru_cache(maxsize=2)
+def piece_encoder(tokenizer_file: str) -> PieceEncoder:
+    """One for each worker process, so that what it remembers serves later tasks."""
+    return PieceEncoder(tokenizer_file)
 
 
 def build_shard(ids: np.ndarray | None, counts: np.ndarray, tokens: np.ndarray) -> bytes:
@@ -158,15 +198,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
     grouped, _ = with_id_groups(plain, "id", "text", shard_bytes, "grp")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer_file)
+        encoder = piece_encoder(tokenizer_file)
         end = np.array([end_id], encoder.dtype).tobytes()
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            texts: pa.Array = batch.column("text")
-            raw: list[bytes] = []
-            step = max(1, int(len(batch) * (1 << 20) / max(1, texts.nbytes)))
-            for at in range(0, len(batch), step):
-                raw += encoder.encode(texts.slice(at, step).to_pylist())
+            raw = list(encoder.encode(batch.column("text").cast(pa.binary())))
             ids, groups = batch.column("id").to_pylist(), batch.column("grp").to_numpy()
             order = np.argsort(groups, kind="stable")
             cuts = np.flatnonzero(np.diff(groups[order], prepend=groups.min() - 1, append=groups.max() + 1)) if len(order) else [0]

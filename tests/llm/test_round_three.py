@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from evenkeel.llm import centroid_clusters, collocations, golay_dedup
+from evenkeel.llm import centroid_clusters, collocations, golay_dedup, queries
 from test_edges import LINE, SHARED, TEXTS
 
 DOCS = "doc_id bigint, text string, lang string, id bigint, key string, fp bigint, n bigint, rank int, phrase string, salt int"
@@ -222,3 +222,20 @@ def test_wide_components():
         [sum((int(a) - int(b)) ** 2 for a, b in zip(v, c)) for c in vectors[::-1]] for v in vectors]
     with pytest.raises(OverflowError):
         centroid_clusters.cut_off(np.array([[1 << 28]]))
+
+
+def test_pieces_like_the_tokenizer():
+    """Texts of signs that are cut, may not be cut, or look like white space, in one block and alone."""
+    from evenkeel.llm.token_files import PieceEncoder
+
+    signs = ["a", "b", " ", "  ", "\n", "\t", "'s", "'", " ", " ", "　", "\u0085", "é", "“", "日", "1", "!", ",", ";a",
+             "<|endoftext|>", "\r\n", " the", "\x1c", "́", "", " Word", "\U0001f600", "ʼ", "ß", "ª", "x" * 70]
+    chosen = random.Random(7)
+    texts = ["".join(chosen.choices(signs, k=chosen.randint(0, 14))) for _ in range(4000)]
+    encoder = PieceEncoder(queries.tokenizer_file("byte_bpe_50k.json"))
+    want = [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    column = pa.array([t.encode() for t in texts], pa.binary())
+    for _ in range(2):  # asked, then remembered
+        assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(column)] == want
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(column.slice(17, 300))] == want[17:317]
+    assert list(encoder.encode(pa.array([], pa.binary()))) == [] and list(encoder.encode(pa.array([None, b""], pa.binary()))) == [b"", b""]
