@@ -9,6 +9,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import regex
 import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -132,17 +133,17 @@ def personal(text):
 def leaks(docs, items, threshold=0.8):
     """(doc_id, item_id) -> highest weighted similarity of a window of the item's size, if it reaches the threshold."""
     def words(text):
-        return [w.lower() if w.isascii() else ascii_lower(w) for w in re.findall(r"[0-9A-Za-z_\x80-\U0010ffff]+", text or "")]
+        alone = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*"
+        return [w for run in regex.findall(r"[\p{L}\p{M}\p{N}_]+", (text or "").lower()) for w in regex.sub(f"({alone})", r" \1 ", run).split()]
 
-    def weighted(tokens):
-        width = min(5, len(tokens))
+    def weighted(tokens, width):
         out = Counter()
         for i in range(len(tokens) - width + 1):
             gram = tuple(tokens[i:i + width])
             out[gram] += sum(len(w.encode()) for w in gram)
         return out
 
-    targets = [(i, words(t), weighted(words(t))) for i, t in items if words(t)]
+    targets = [(i, words(t), weighted(words(t), min(5, len(words(t))))) for i, t in items if words(t)]
     by_gram = defaultdict(set)
     for place, (_, _, grams) in enumerate(targets):
         for gram in grams:
@@ -153,8 +154,8 @@ def leaks(docs, items, threshold=0.8):
         near = {p for w in range(1, 6) for i in range(len(tokens) - w + 1) for p in by_gram.get(tuple(tokens[i:i + w]), ())}
         for place in near:
             item, target, grams = targets[place]
-            for i in range(len(tokens) - len(target) + 1):
-                window = weighted(tokens[i:i + len(target)])
+            for i in range(max(1, len(tokens) - len(target) + 1)):
+                window = weighted(tokens[i:i + len(target)], min(5, len(target)))
                 both = sum((window & grams).values())
                 score = both / (sum(window.values()) + sum(grams.values()) - both)
                 if score >= threshold:

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from evenkeel.llm import centroid_clusters, collocations, golay_dedup, queries
+from evenkeel.llm import centroid_clusters, collocations, decontaminate, golay_dedup, queries
 from test_edges import LINE, SHARED, TEXTS
 
 DOCS = "doc_id bigint, text string, lang string, id bigint, key string, fp bigint, n bigint, rank int, phrase string, salt int"
@@ -239,3 +239,42 @@ def test_pieces_like_the_tokenizer():
         assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(column)] == want
     assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(column.slice(17, 300))] == want[17:317]
     assert list(encoder.encode(pa.array([], pa.binary()))) == [] and list(encoder.encode(pa.array([None, b""], pa.binary()))) == [b"", b""]
+
+
+def found_leaks(docs, items):
+    index = decontaminate.build_index(items)
+    column = pa.array([None if text is None else text.encode() for _, text in docs], pa.binary())
+    return {(docs[row][0], leak[0]): leak[1] for row, leaks in decontaminate.leaks_of(column, index) for leak in leaks}
+
+
+@pytest.mark.parametrize("kind", ["repeated word", "changed words", "shortened", "punctuation"])
+def test_every_leak_is_found(kind):
+    chosen = random.Random(kind)
+
+    def words(n):
+        return ["".join(chosen.choices("abcdefghijklmnop", k=chosen.randint(2, 9))) for _ in range(n)]
+
+    docs, items = [], []
+    for number in range(60):
+        body = words(chosen.randint(6, 30) if kind == "shortened" else 200)
+        a, b = words(2)
+        times = chosen.choice([20, 30, 40]) if kind == "repeated word" else 0
+        items.append((number, " ".join(body + [a] * times)))
+        if kind != "repeated word":
+            for _ in range(chosen.randint(0, 1 if kind == "shortened" else 5)):
+                body[chosen.randrange(len(body))] = words(1)[0]
+        if kind == "shortened":
+            docs.append((number, " ".join(body[:len(body) - chosen.randint(0, 3)])))
+        else:
+            between = chosen.choice([" ", "“ ", " — ", "… "]) if kind == "punctuation" else " "
+            docs.append((number, between.join(words(30) + body + [b] * times + words(30)).upper()))
+    want = brute.leaks(docs, items)
+    assert found_leaks(docs, items) == pytest.approx(want) and len(want) > 10
+
+
+def test_leaks_in_other_scripts():
+    items = [(1, "Où est la bibliothèque générale de l’École de Médecine à Étampes, près du vieux marché"),
+             (2, "東京都は日本の首都であり世界最大の都市圏の一つである。人口は約千四百万人")]
+    docs = [(1, "x y OÙ EST LA «BIBLIOTHÈQUE GÉNÉRALE» DE L‘ÉCOLE DE MÉDECINE À ÉTAMPES — PRÈS DU VIEUX MARCHÉ"),
+            (2, "これは、東京都は日本の首都であり、世界最大の都市圏の一つである。人口は約千四百万人、です"), (3, None), (4, ""), (5, "。—")]
+    assert found_leaks(docs, items) == brute.leaks(docs, items) == {(1, 1): 1.0, (2, 2): 1.0}
