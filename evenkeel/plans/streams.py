@@ -6,7 +6,7 @@ from ..functions import accumulators as A
 from ..functions.draws import uniform
 from ..functions.scalars import is_finite
 from ..operators.records import nested_record
-from ..session import work_path
+from ..session import state_on_disk, work_path
 from ..sources.artifacts import TIME_FORMATS
 from ..sources import snapshots as N
 from ..streaming import guarded as G
@@ -96,8 +96,10 @@ def stream_fold_late(spark, sf_dir):
         F.lit(-1).cast(events.schema["event_id"].dataType).alias("event_id"), F.lit(0.0).alias("delta"))
     for rows in [dealt.filter(F.col("part") == n).drop("part") for n in range(3)] + [ahead]:
         rows.write.mode("append").parquet(folder)
-        K.sink_batches(O.ordered_stream_fold(spark.readStream.schema(events.schema).parquet(folder), "user_id", "ts", "event_id", "delta", 0, 500, 100,
-                                             f"{DELAY_HOURS} hours"), out, mark).awaitTermination()
+        folded = O.ordered_stream_fold(spark.readStream.schema(events.schema).parquet(folder), "user_id", "ts", "event_id", "delta", 0, 500, 100, f"{DELAY_HOURS} hours")
+        with state_on_disk(spark):
+            running = K.sink_batches(folded, out, mark)
+        running.awaitTermination()
     last = K.latest_rows(spark, out, "user_id").filter("user_id <> -1")
     return last.select("user_id", F.round("state", 4).alias("state"), "n_steps", "n_late", "n_waiting")
 

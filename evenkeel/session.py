@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from typing import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +17,9 @@ DEFAULT_HOT_ROWS = 4_000_000
 # Upper limit on the rows of one key that are ever gathered into one array.
 DEFAULT_BLOCK_ROWS = 8_192
 
+STATE_CONF = "spark.sql.streaming.stateStore.providerClass"
+STATE_ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def build_session(app_name: str = "evenkeel", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library expects; AQE and ANSI stay on."""
@@ -27,7 +32,7 @@ def build_session(app_name: str = "evenkeel", master: str | None = None, **conf:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # State of streams lies on disk and not in the executors' heap.
-        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        STATE_CONF: STATE_ON_DISK,
         **conf,
     }
     for name, value in settings.items():
@@ -43,6 +48,23 @@ def block_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(BLOCK_ROWS_CONF, str(DEFAULT_BLOCK_ROWS)))
 
 
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started in this block keep their state in RocksDB, whatever the session was built with.
+
+    A stream takes the settings of its session when it starts; the session's own setting comes back after the block.
+    """
+    given = spark.conf.get(STATE_CONF, None)
+    spark.conf.set(STATE_CONF, STATE_ON_DISK)
+    try:
+        yield
+    finally:
+        if given is None:
+            spark.conf.unset(STATE_CONF)
+        else:
+            spark.conf.set(STATE_CONF, given)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named in ``spark.checkpoint.dir``.
 

@@ -163,7 +163,8 @@ def ordered_stream_fold(stream: DataFrame, key: str, ts: str, row_id: str, delta
     state equals the batch fold's over the rows that are not late.
 
     Rows are taken from Spark's batches one at a time and kept on disk as sorted runs; what is in memory at once is a batch or a portion
-    (``portion`` rows and the marks), however many rows a key has. The state store must be RocksDB (see ``session``). A row
+    (``portion`` rows and the marks), however many rows a key has. The state store must be RocksDB:
+    start the stream within ``session.state_on_disk``, or in a session of ``build_session``. A row
     without time counts as late; without amount it moves nothing; without id it comes before the others of its time.
     """
     low, high, start = (round(x * UNIT) for x in (lo, hi, init))

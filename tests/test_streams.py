@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions.accumulators import all_finite
 from evenkeel.operators.sampling import promote
-from evenkeel.session import work_path
+from evenkeel import plans
+from evenkeel.session import STATE_CONF, work_path
 from evenkeel.sources import files, snapshots
 from evenkeel.streaming import guarded, operators, ordered, sinks
 
@@ -155,3 +156,15 @@ def test_rows_out_of_order_within_the_delay(spark):
     assert got == want | {9: (30.0, 0, 2, 0)}
     per_batch = spark.read.parquet(out).groupBy("batch_id", "k").count()
     assert per_batch.filter("count > 1").isEmpty()
+
+
+def test_late_fold_in_a_session_built_elsewhere(spark, sf_dir):
+    """A session with Spark's own settings holds stream state in the heap, which cannot hold this fold's."""
+    import oracle
+
+    other, plain = spark.newSession(), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    other.conf.set(STATE_CONF, plain)
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        other.conf.set(name, spark.conf.get(name))
+    assert oracle.compare(plans.QUERIES["stream_fold_late"](other, sf_dir), oracle.connect(sf_dir), plans.ORACLES["stream_fold_late"]) == []
+    assert other.conf.get(STATE_CONF) == plain
