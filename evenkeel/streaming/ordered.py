@@ -170,8 +170,9 @@ def ordered_stream_fold(stream: DataFrame, key: str, ts: str, row_id: str, delta
     low, high, start = (round(x * UNIT) for x in (lo, hi, init))
     reach = high - low + abs(start - low) + abs(start - high)
     cut = F.lit(Decimal(reach) / UNIT).cast(T.DecimalType(38, 6))
-    given = F.col(delta).try_cast(T.DecimalType(38, 6))
-    amount = F.coalesce((F.least(cut, F.greatest(-cut, given)).cast(T.DecimalType(24, 6)) * F.lit(UNIT)).cast("bigint"), F.lit(0))
+    # least and greatest pass over NULL, so an amount that is missing is made 0 first.
+    given = F.coalesce(F.col(delta).try_cast(T.DecimalType(38, 6)), F.lit(0).cast(T.DecimalType(38, 6)))
+    amount = (F.least(cut, F.greatest(-cut, given)).cast(T.DecimalType(24, 6)) * F.lit(UNIT)).cast("bigint")
     marked = stream.withColumn("__time", F.col(ts).cast("timestamp")).withWatermark("__time", delay)
     # The time goes on as a number: Spark would drop late rows of a watermarked column before they could be counted.
     slim = marked.select(key, F.coalesce(F.unix_micros("__time"), F.lit(NEVER)).alias("__ts"),

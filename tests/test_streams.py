@@ -168,3 +168,21 @@ def test_late_fold_in_a_session_built_elsewhere(spark, sf_dir):
         other.conf.set(name, spark.conf.get(name))
     assert oracle.compare(plans.QUERIES["stream_fold_late"](other, sf_dir), oracle.connect(sf_dir), plans.ORACLES["stream_fold_late"]) == []
     assert other.conf.get(STATE_CONF) == plain
+
+
+def test_fold_of_many_keys_meets_few_groups(spark):
+    """Spark calls the fold once for each group of a micro-batch, so groups may not grow with the keys; late rows, NULLs and text keys as ever."""
+    schema = "k string, ts timestamp, i bigint, d double"
+    odd = ['a"b', "", None, "é\n", "0"]
+    parts = [[(k, at(5), n, 2.0) for n, k in enumerate(odd)] + [(str(n), at(n % 50), n, -1.5) for n in range(2, 300)] + [("a\"b", at(5), 0, 2.0), ("x", None, 1, 3.0)],
+             [(None, at(4), 9, 100.0), (None, at(6), None, 1.0), ("", at(6), 1, None), ("0", at(7), 2, 1e30), ("0", at(7), 3, float("nan"))]]
+    out, mark, folder = (work_path(spark, p) for p in ("out", "mark", "test-feed"))
+    for part in parts:
+        spark.createDataFrame(part, schema).write.mode("append").parquet(folder)
+        query = sinks.sink_batches(operators.stream_fold(spark.readStream.schema(schema).parquet(folder), "k", "ts", "i", "d", 0, 10, 5, buckets=3), out, mark)
+        query.awaitTermination()
+        assert sum(o["numRowsTotal"] for o in query.lastProgress["stateOperators"]) <= 3
+    got = {r["k"]: (r["state"], r["n_steps"], r["n_late"]) for r in sinks.latest_rows(spark, out, "k").collect()}
+    want = {str(n): (3.5, 1, 0) for n in range(2, 300)} | {'a"b': (7.0, 1, 1), "é\n": (7.0, 1, 0), None: (8.0, 2, 1), "": (7.0, 2, 0), "0": (10.0, 3, 0), "x": (5.0, 0, 1)}
+    assert got == want
+    assert spark.read.parquet(out).groupBy("batch_id", "k").count().filter("count > 1").isEmpty()
