@@ -186,3 +186,11 @@ def test_fold_of_many_keys_meets_few_groups(spark):
     want = {str(n): (3.5, 1, 0) for n in range(2, 300)} | {'a"b': (7.0, 1, 1), "é\n": (7.0, 1, 0), None: (8.0, 2, 1), "": (7.0, 2, 0), "0": (10.0, 3, 0), "x": (5.0, 0, 1)}
     assert got == want
     assert spark.read.parquet(out).groupBy("batch_id", "k").count().filter("count > 1").isEmpty()
+
+
+def test_missing_amounts_move_nothing_in_the_ordered_fold(spark):
+    out, mark = work_path(spark, "out"), work_path(spark, "mark")
+    parts = [[(1, at(1), 1, 2.0), (1, at(2), 2, None), (1, at(3), 3, float("nan"))], [(-1, at(59), 0, 0.0)]]
+    batches(spark, parts, lambda s: sinks.sink_batches(ordered.ordered_stream_fold(s, "k", "ts", "i", "d", 0, 60, 30, "1 second"), out, mark))
+    got = {r["k"]: (r["state"], r["n_steps"], r["n_waiting"]) for r in sinks.latest_rows(spark, out, "k").collect()}
+    assert got[1] == (32.0, 3, 0)
