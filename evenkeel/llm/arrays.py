@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 4 << 20
+PORTION_BYTES = 1 << 20
+HASH_BYTES = 1 << 18  # whose values are held at once
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -80,6 +82,12 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         low = high
 
 
+def portions(batch: pa.RecordBatch, name: str, limit: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch cut into batches of about ``limit`` bytes of one column."""
+    for block in blocks(batch.column(name).cast(pa.binary()), limit):
+        yield batch.slice(block.low, block.high - block.low)
+
+
 class Words(NamedTuple):
     starts: np.ndarray
     ends: np.ndarray
@@ -110,7 +118,30 @@ def hash_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 
 def hash_words(data: np.ndarray, words: Words) -> np.ndarray:
-    return hash_spans(BYTE_VALUES[data], words.starts, words.ends)
+    """Hashes of words as of stretches of their bytes' values, in tiles of ``HASH_BYTES``; a longer word is summed up piece by piece."""
+    out = np.empty(len(words.starts), np.uint64)
+    low = 0
+    while low < len(out):
+        begin = words.starts[low]
+        high = int(np.searchsorted(words.ends, begin + HASH_BYTES, "right"))
+        if high > low:
+            values = BYTE_VALUES[data[begin:words.ends[high - 1]]]
+            out[low:high] = hash_spans(values, words.starts[low:high] - begin, words.ends[low:high] - begin)
+        else:
+            high = low + 1
+            out[low:high] = mix(np.array([long_sum(data[begin:words.ends[low]])], np.uint64))
+        low = high
+    return out
+
+
+def long_sum(data: np.ndarray) -> int:
+    """The polynomial of the values of some bytes."""
+    up, _ = POWERS.to(HASH_BYTES)
+    total = 0
+    for at in range(0, len(data), HASH_BYTES):
+        values = BYTE_VALUES[data[at:at + HASH_BYTES]]
+        total += int((values * up[:len(values)]).sum(dtype=np.uint64)) * pow(BASE, at, 1 << 64)
+    return total % (1 << 64)
 
 
 def windows(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, blocks, hash_spans, hash_words, runs, windows
+from .arrays import LOWER, blocks, hash_spans, hash_words, portions, runs, windows
 from .quality import IS_LETTER
 
 WIDTH = 5
@@ -42,7 +42,7 @@ BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 16 << 20
 SIEVE_BITS = 22
 ROOT_UNIT = 256  # of the whole numbers that stand for square roots of weights
-TILE = 1 << 15  # shingles whose signed bits are held at once
+TILE = 1 << 13  # shingles whose signed bits are held at once
 
 NO_WORD = r"[^\p{L}\p{M}\p{N}_]+"
 ALONE = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*)"
@@ -253,6 +253,14 @@ def leaks_of(column: pa.Array, indexes: dict[int, WidthIndex]) -> Iterator[tuple
         yield from sorted(found.items())
 
 
+def without_leaks(batches: Iterator[pa.RecordBatch], text_col: str, indexes: dict[int, WidthIndex]) -> Iterator[pa.RecordBatch]:
+    """The rows that do not leak, in portions: no batch is searched or copied as a whole."""
+    for part in (p for batch in batches for p in portions(batch, text_col)):
+        kept = np.ones(len(part), bool)
+        kept[[row for row, _ in leaks_of(part.column(text_col).cast(pa.binary()), indexes)]] = False
+        yield part.filter(pa.array(kept))
+
+
 def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str | None]]]:
     """The items, a bounded number at a time."""
     rows: list[tuple[object, str | None]] = []
@@ -279,9 +287,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             indexes = build_index(shipped.value)
-            for batch in batches:
-                leaks = [(row, *leak) for row, of_row in leaks_of(batch.column("_dc_text"), indexes) for leak in of_row]
-                ids = batch.column(id_col).take(pa.array([k[0] for k in leaks], pa.int64()))
+            for part in (p for batch in batches for p in portions(batch, "_dc_text")):
+                leaks = [(row, *leak) for row, of_row in leaks_of(part.column("_dc_text"), indexes) for leak in of_row]
+                ids = part.column(id_col).take(pa.array([k[0] for k in leaks], pa.int64()))
                 item_ids = pa.array([k[1] for k in leaks], pa.int64() if item_type == "bigint" else None)
                 yield pa.RecordBatch.from_arrays(
                     [ids, item_ids, pa.array([k[2] for k in leaks], pa.float64()), pa.array([k[3] for k in leaks], pa.int64()),
@@ -305,10 +313,6 @@ def _without(docs: DataFrame, rows: list[tuple[object, str | None]], text_col: s
     schema = docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes = build_index(shipped.value)
-        for batch in batches:
-            kept = np.ones(len(batch), bool)
-            kept[[row for row, _ in leaks_of(batch.column(text_col).cast(pa.binary()), indexes)]] = False
-            yield batch.filter(pa.array(kept))
+        return without_leaks(batches, text_col, build_index(shipped.value))
 
     return docs.mapInArrow(keep, schema)

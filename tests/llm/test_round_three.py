@@ -1,6 +1,7 @@
 """Golay fingerprints, collocations and centroid clusters on small and odd tables, against plain Python."""
 
 import random
+import tracemalloc
 
 import brute
 import numpy as np
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from evenkeel.llm import centroid_clusters, collocations, decontaminate, golay_dedup, queries
+from evenkeel.llm import arrays, centroid_clusters, collocations, decontaminate, golay_dedup, queries
 from test_edges import LINE, SHARED, TEXTS
 
 DOCS = "doc_id bigint, text string, lang string, id bigint, key string, fp bigint, n bigint, rank int, phrase string, salt int"
@@ -278,3 +279,43 @@ def test_leaks_in_other_scripts():
     docs = [(1, "x y OÙ EST LA «BIBLIOTHÈQUE GÉNÉRALE» DE L‘ÉCOLE DE MÉDECINE À ÉTAMPES — PRÈS DU VIEUX MARCHÉ"),
             (2, "これは、東京都は日本の首都であり、世界最大の都市圏の一つである。人口は約千四百万人、です"), (3, None), (4, ""), (5, "。—")]
     assert found_leaks(docs, items) == brute.leaks(docs, items) == {(1, 1): 1.0, (2, 2): 1.0}
+
+
+def test_words_are_hashed_like_their_whole_bytes(monkeypatch):
+    """Tiles, and words longer than a tile, give the hashes of one run over all bytes."""
+    chosen = random.Random(5)
+    raw = " ".join("".join(chosen.choices("abcé", k=chosen.choice([1, 3, 15, 16, 17, 40, 200]))) for _ in range(300)).encode()
+    for column in ([raw, None, b"", b" ", raw[:90]], [b"x" * 64], [b""]):
+        block = next(arrays.blocks(pa.array(column, pa.binary())))
+        words = arrays.split_words(block)
+        want = arrays.hash_spans(arrays.BYTE_VALUES[block.data], words.starts, words.ends)
+        for size in (1, 16, 1 << 18):
+            monkeypatch.setattr(arrays, "HASH_BYTES", size)
+            assert arrays.hash_words(block.data, words).tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("text", ["some words " * 381_300, "x" * (4 << 20)], ids=["short words", "one word"])
+def test_hashing_holds_a_small_part(monkeypatch, text):
+    """Beyond its results, hashing the words of 4 MB takes a few MB and not the values of all bytes (over 100 MB)."""
+    monkeypatch.setattr(arrays, "POWERS", arrays._Powers())
+    block = next(arrays.blocks(pa.array([text.encode()], pa.binary()), 8 << 20))
+    words = arrays.split_words(block)
+    tracemalloc.start()
+    arrays.hash_words(block.data, words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(words.starts) + (20 << 20)
+
+
+def test_leaks_are_searched_in_portions():
+    """A batch of many rows is searched and given back about 1 MB at a time; the leaks are those of the whole."""
+    chosen = random.Random(3)
+    texts = [None if n % 50 == 7 else " ".join("".join(chosen.choices("abcdefgé", k=5)) for _ in range(300)) for n in range(1500)]
+    items = [(n, texts[n]) for n in range(0, 1500, 100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500)), pa.array(texts)], names=["doc_id", "text"]).slice(3)
+    whole = decontaminate.build_index(items)
+    kept = list(decontaminate.without_leaks(iter([batch, batch.slice(0, 0)]), "text", whole))
+    assert len(kept) > 1 and all(part.column("text").nbytes < 1.2 * arrays.PORTION_BYTES for part in kept)
+    leaking = {row for row, _ in decontaminate.leaks_of(batch.column("text").cast(pa.binary()), whole)}
+    assert [i for part in kept for i in part.column("doc_id").to_pylist()] == [row + 3 for row in range(1497) if row not in leaking]
+    assert len(leaking) == 14
