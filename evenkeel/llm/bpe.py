@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RESULTS = ("n_tokens", "ids", "decoded")
-CACHE_CHUNKS = 300_000
-CACHE_WORDS = 200_000
+CACHE_CHUNKS = 150_000
+CACHE_WORDS = 100_000
 # Ids fit so many bits; no merge has a number as large as NO_MERGE.
 ID_BITS = 24
 ID_MASK = (1 << ID_BITS) - 1
@@ -295,6 +295,7 @@ class Encoder:
         self.vocabulary = vocabulary
         self.transducer = WordTransducer(vocabulary)
         self.words = Recent(CACHE_WORDS)
+        self.own = {i: i for i in vocabulary.tokens}  # one number for each id, however many words have it
 
     def chunk(self, chunk: str) -> list[int]:
         """The ids of a run of characters without white space."""
@@ -307,7 +308,7 @@ class Encoder:
             ids = self.words.get(word)
             if ids is None:
                 ids = self.transducer.push(word.encode()) + self.transducer.finish()
-                self.words.put(word, ids)
+                self.words.put(word, tuple([self.own[i] for i in ids]))
             out += ids
         return out
 
@@ -375,7 +376,8 @@ class TextCoder:
         found = self.known.get(chunk)
         if found is None:
             ids = self.encoder.chunk(chunk)
-            found = (" ".join(map(str, ids)), Decoder(self.vocabulary).push(ids))
+            decoded = Decoder(self.vocabulary).push(ids)
+            found = (" ".join(map(str, ids)), chunk if decoded == chunk else decoded)  # one string where both are the same
             if len(chunk) <= LONG_CHUNK:
                 self.known.put(chunk, found)
         return found
