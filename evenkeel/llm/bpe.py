@@ -6,6 +6,10 @@ transducer emits a token once it ends farther back; so it holds a bounded number
 long the text or a single word is. ``Decoder`` turns ids back into text and holds at most the few
 bytes of an unfinished character.
 
+Texts are taken about 2 MB at a time: each distinct run of characters is cut into words once, each distinct word is looked up
+once in a bounded memory, the transducer takes the words that are not there together, one merge of each in a step,
+and the ids of all texts are gathered by number.
+
 The tokenizer is read from a file of the tokenizers library: a BPE model on byte-level symbols, with an optional suffix for
 the last symbol of a word, behind the normaliser and patterns named in ``Vocabulary``. Other kinds are refused.
 
@@ -24,29 +28,38 @@ import unicodedata
 from functools import lru_cache
 from typing import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RESULTS = ("n_tokens", "ids", "decoded")
-CACHE_CHUNKS = 150_000
-CACHE_WORDS = 100_000
+CACHE_WORDS = 200_000
 # Ids fit so many bits; no merge has a number as large as NO_MERGE.
 ID_BITS = 24
 ID_MASK = (1 << ID_BITS) - 1
+PACKED = np.dtype("<i4")
 NO_MERGE = 1 << 62
 # Longer chunks go through the transducer piece by piece.
 LONG_CHUNK = 512
+# Longer words, in bytes, go through the transducer one by one.
+LONG_WORD = 64
+WORDS_AT_ONCE = 20_000
+BLOCK_BYTES = 2 << 20  # of text that is encoded at once
+CHUNKS_AT_ONCE = 100_000  # of a block or a longer text
 
 # The pattern of the vocabulary's words, and the characters with Unicode's White_Space property.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 BREAK = re.compile(f"[{WHITE_SPACE}]+")
+OTHER_SPACE = f"[{WHITE_SPACE.replace(' ', '')}]"
 # Python's own splitting takes these four for white space, which Unicode does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 WORD = regex.compile(WORD_PATTERN)
+WORD_OR_END = regex.compile(WORD_PATTERN + "|\n")
 LETTERS = regex.compile(r"[\p{L}]+")
 OTHERS = regex.compile(r"[^\s\p{L}\p{N}]+")
 
@@ -204,6 +217,10 @@ class WordTransducer:
         self.size = {i: len(t.removesuffix(vocabulary.suffix) if vocabulary.suffix else t) for i, t in size.items()}
         # The last symbol may yet become the word's last, so it is not known either.
         self.hold = vocabulary.lookahead + 2
+        pairs = sorted(vocabulary.ranks.items())
+        self.pairs = np.array([pair for pair, _ in pairs] + [NO_MERGE], np.int64)
+        self.merged = np.array([found for _, found in pairs] + [NO_MERGE], np.int64)
+        self.inner, self.last = np.array(vocabulary.inner, np.int64), np.array(vocabulary.last, np.int64)
 
     def push(self, raw: bytes) -> list[int]:
         """Takes more bytes; returns the ids that nothing to come can change."""
@@ -232,6 +249,59 @@ class WordTransducer:
         self.pending.clear()
         return merge(symbols, self.vocabulary.ranks)
 
+    def whole(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of whole words. Short ones are held to their end anyway, and are finished together."""
+        out = [b""] * len(words)
+        for low in range(0, len(words), WORDS_AT_ONCE):
+            sizes: dict[int, list[int]] = {}
+            for i in range(low, min(low + WORDS_AT_ONCE, len(words))):
+                if len(words[i]) <= LONG_WORD:
+                    sizes.setdefault(len(words[i]), []).append(i)
+                else:
+                    out[i] = np.array(self.push(words[i]) + self.finish(), PACKED).tobytes()
+            self._finish_all(words, sizes, out)
+        return out
+
+    def _offers(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merges of pairs of symbols, or NO_MERGE."""
+        pairs = left << ID_BITS | right
+        at = np.searchsorted(self.pairs, pairs)
+        return np.where(self.pairs[at] == pairs, self.merged[at], NO_MERGE)
+
+    def _finish_all(self, words: list[bytes], sizes: dict[int, list[int]], out: list[bytes]) -> None:
+        """What ``merge`` does, for the words of each size: a step takes all that have so many symbols, and merges one pair in each."""
+        most = max(sizes, default=0)
+        symbols, offers, place = np.empty((0, most), np.int64), np.empty((0, most), np.int64), np.empty(0, np.int64)
+        for width in range(most, 0, -1):
+            if width in sizes:
+                raw = np.frombuffer(b"".join([words[i] for i in sizes[width]]), np.uint8).reshape(-1, width)
+                new = self.inner[raw]
+                new[:, -1] = self.last[raw[:, -1]]
+                offered = np.full(new.shape, NO_MERGE)  # nothing follows the last symbol
+                offered[:, :-1] = self._offers(new[:, :-1], new[:, 1:])
+                symbols, offers = np.concatenate([symbols, new]), np.concatenate([offers, offered])
+                place = np.concatenate([place, sizes[width]])
+            at = offers.argmin(1)  # the leftmost of the smallest
+            best = offers[np.arange(len(at)), at]
+            goes = best < NO_MERGE
+            raw, length = symbols[~goes].astype(PACKED).tobytes(), width * PACKED.itemsize
+            for i, start in zip(place[~goes].tolist(), range(0, len(raw), length)):
+                out[i] = raw[start:start + length]
+            symbols, offers, place, at, best = symbols[goes], offers[goes], place[goes], at[goes], best[goes]
+            if width == 1:
+                break
+            rows = np.arange(len(at))
+            symbols[rows, at] = best & ID_MASK
+            stays = np.ones(symbols.shape, bool)
+            stays[rows, at + 1] = False
+            symbols = symbols[stays].reshape(len(at), width - 1)
+            stays[rows, at + 1], stays[rows, at] = True, False
+            offers = offers[stays].reshape(len(at), width - 1)
+            row, pair = rows[at > 0], at[at > 0]
+            offers[row, pair - 1] = self._offers(symbols[row, pair - 1], symbols[row, pair])
+            row, pair = rows[at < width - 2], at[at < width - 2]
+            offers[row, pair] = self._offers(symbols[row, pair], symbols[row, pair + 1])
+
 
 def normal(text: str) -> str:
     """Composed, in lower case letter by letter (a sigma does not look at its neighbours)."""
@@ -364,33 +434,72 @@ class Decoder:
         return self.state.decode(b"", final=True) if self.bytes is not None else ""
 
 
+def gathered(sizes: np.ndarray, values: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The values of the runs with these numbers, in their order; ``values`` has all runs one after another."""
+    counts = sizes[numbers]
+    ends = np.cumsum(counts)
+    place = np.repeat((np.cumsum(sizes) - sizes)[numbers] - (ends - counts), counts)
+    place += np.arange(len(place))
+    return values[place]
+
+
 class TextCoder:
-    """Whole texts to (number of ids, ids in decimal, decoded text), remembering chunks."""
+    """Whole texts to (number of ids, ids in decimal, decoded text), remembering words."""
 
     def __init__(self, path: str) -> None:
         self.vocabulary = Vocabulary(path)
         self.encoder = Encoder(self.vocabulary)
-        self.known = Recent(CACHE_CHUNKS)
-
-    def _learn(self, chunk: str) -> tuple[str, str]:
-        found = self.known.get(chunk)
-        if found is None:
-            ids = self.encoder.chunk(chunk)
-            decoded = Decoder(self.vocabulary).push(ids)
-            found = (" ".join(map(str, ids)), chunk if decoded == chunk else decoded)  # one string where both are the same
-            if len(chunk) <= LONG_CHUNK:
-                self.known.put(chunk, found)
-        return found
-
-    def code(self, text: str) -> tuple[int, str, str]:
+        self.known = Recent(CACHE_WORDS)
+        ids = range(max(self.vocabulary.tokens) + 1)
+        self.written = [pa.array([*map(str, ids)]), pa.array([*map(self.vocabulary.tokens.get, ids)], pa.string())]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The packed ids of distinct words; each that is not remembered goes through the transducer."""
+        answers = [*map(self.known.get, words)]
+        new = [i for i, found in enumerate(answers) if found is None]
+        for i, found in zip(new, self.encoder.transducer.whole([words[i].encode() for i in new])):
+            answers[i] = found
+            if len(words[i]) <= LONG_WORD:
+                self.known.put(words[i], found)
+        return answers
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of some distinct chunks has, and the ids of all of them."""
+        added = pc.match_substring_regex(chunks, self.vocabulary.added_pattern.pattern) if self.vocabulary.added else False
+        apart = pc.or_(pc.greater(pc.utf8_length(chunks), LONG_CHUNK), added)
+        plain = pc.if_else(apart, "", chunks)
+        ended = pc.binary_join(pa.ListArray.from_arrays([0, len(plain)], plain), "\n")[0].as_py() + "\n"
+        words = pa.array(WORD_OR_END.findall(normal(ended)), pa.string()).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        end = distinct.index("\n")
+        answers = self._words(distinct[:end] + distinct[end + 1:])
+        answers.insert(end, b"")
+        sizes = np.array([*map(len, answers)], np.int64) // PACKED.itemsize
+        numbers = words.indices.to_numpy()
+        ids = gathered(sizes, np.frombuffer(b"".join(answers), PACKED), numbers)
+        ends = np.cumsum(sizes[numbers])[numbers == end]
+        counts = np.diff(ends, prepend=0)
+        alone = np.flatnonzero(apart.to_numpy(zero_copy_only=False))
+        if len(alone):
+            found = [np.array(self.encoder.chunk(chunk), PACKED) for chunk in chunks.take(pa.array(alone)).to_pylist()]
+            counts[alone] = [*map(len, found)]
+            ids = np.insert(ids, np.repeat(ends[alone], counts[alone]), np.concatenate(found))
+        return counts, ids
+
+    def code(self, texts: pa.Array) -> list[pa.Array]:
+        """Of each text the number of ids, the ids in decimal and the decoded text."""
         if self.vocabulary.byte_level_decoder:  # characters may span chunks
-            ids = self.encoder.encode(text)
-            decoder = Decoder(self.vocabulary)
-            return len(ids), " ".join(map(str, ids)), decoder.push(ids) + decoder.finish()
-        young, learn = self.known.young, self._learn
-        found = [young.get(c) or learn(c) for c in chunks(text)]
-        ids = " ".join([f[0] for f in found if f[0]])
-        return ids.count(" ") + 1 if ids else 0, ids, " ".join([f[1] for f in found if f[0]])
+            ids, decoder = [self.encoder.encode(text) for text in texts.to_pylist()], Decoder(self.vocabulary)
+            return [pa.array([*map(len, ids)], pa.int64()), pa.array([" ".join(map(str, found)) for found in ids], pa.string()),
+                    pa.array([decoder.push(found) + decoder.finish() for found in ids], pa.string())]
+        split = pc.split_pattern(pc.replace_substring_regex(texts, OTHER_SPACE, " "), " ")
+        chunks = split.values.dictionary_encode()
+        portions = [self._chunks(chunks.dictionary.slice(low, CHUNKS_AT_ONCE)) for low in range(0, len(chunks.dictionary), CHUNKS_AT_ONCE)]
+        counts, ids = map(np.concatenate, zip(*portions))
+        numbers = chunks.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(counts[numbers])])[split.offsets.to_numpy()]
+        places, chosen = pa.array(ends, pa.int32()), pa.array(gathered(counts, ids, numbers))
+        return [pa.array(np.diff(ends)), *(pc.binary_join(pa.ListArray.from_arrays(places, written.take(chosen)), " ") for written in self.written)]
 
 
 def encode_decode(docs: DataFrame, tokenizer_file: str, text_col: str = "text") -> DataFrame:
@@ -401,11 +510,10 @@ def encode_decode(docs: DataFrame, tokenizer_file: str, text_col: str = "text")
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = TextCoder(tokenizer_file)
         for batch in batches:
-            step = max(1, int(len(batch) * (1 << 20) / max(1, batch.column("_bpe_text").nbytes)))
+            step = max(1, int(len(batch) * BLOCK_BYTES / max(1, batch.column("_bpe_text").nbytes)))
             for at in range(0, len(batch), step):
                 part = batch.slice(at, step)
-                found = [coder.code(text) for text in part.column("_bpe_text").to_pylist()]
-                columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+                columns = coder.code(part.column("_bpe_text"))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=[*part.schema.names[:-1], *RESULTS])
 
     schema = inputs.drop("_bpe_text").withColumns({"n_tokens": F.lit(0).cast("bigint"), "ids": F.lit(""), "decoded": F.lit("")}).schema

@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +183,37 @@ def test_bpe_streams_any_cut():
         assert bpe.Encoder(vocabulary).encode(text) == want
 
 
+def test_bpe_takes_distinct_words_of_a_batch_once(monkeypatch):
+    """Each distinct word of some texts goes through the transducer once, however few words are remembered."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 2)
+    name = tokenizer_file("word_bpe_49k.json")
+    tokenizer, coder, source = Tokenizer.from_file(name), bpe.TextCoder(name), random.Random(12)
+    words = ["".join(source.choices("aeinorst", k=source.choice([1, 3, 9, 64, 65, 200]))) for _ in range(200)]
+    marks = [" ", "  ", ", ", "\n", "\xa0", "\u3000", "'s ", "\x1c", "<|endoftext|>", " " + "ab" * 300 + " ", " é\u0301 ", "... "]
+    texts = ["", " \n"] + ["".join(source.choice(words) + source.choice(marks) for _ in range(50)) for _ in range(60)]
+    taken, whole = [], bpe.WordTransducer.whole
+    monkeypatch.setattr(bpe.WordTransducer, "whole", lambda self, some: taken.extend(some) or whole(self, some))
+    for portion in (100_000, 7):
+        taken.clear()
+        monkeypatch.setattr(bpe, "CHUNKS_AT_ONCE", portion)
+        counts, ids, decoded = (column.to_pylist() for column in coder.code(pa.array(texts)))
+        wanted = [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+        assert ids == [" ".join(map(str, want)) for want in wanted] and counts == [*map(len, wanted)]
+        assert decoded == [tokenizer.decode(want, skip_special_tokens=False) for want in wanted]
+        assert portion == 7 or len(taken) == len(set(taken)) > 150
+
+
+def test_bpe_words_together_or_alone(monkeypatch):
+    monkeypatch.setattr(bpe, "WORDS_AT_ONCE", 70)
+    transducer, source = bpe.WordTransducer(bpe.Vocabulary(tokenizer_file("word_bpe_49k.json"))), random.Random(13)
+    words = ["".join(source.choices(source.choice(["ab", "inthaer", "aé東", "=", "'lre"]), k=source.randint(1, 40))).encode() for _ in range(500)]
+    alone = [transducer.push(word) + transducer.finish() for word in words]
+    assert [np.frombuffer(raw, bpe.PACKED).tolist() for raw in transducer.whole(words)] == alone
+    assert transducer.whole([]) == []
+
+
 def test_byte_level_decoder():
     decoder = bpe.Decoder.__new__(bpe.Decoder)
     symbols = bpe.byte_symbols()
